@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,13 @@ def null_ids(col: str) -> F.Column:
     return F.when(F.col(col) != F.lit(NULL_ID), F.col(col)).alias(col)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def per_worker(key, make: Callable):
+    """What ``make`` gave for this key, kept for later tasks of the same Python worker; one thing at a time."""
+    store = sys.__dict__.setdefault("_logmill_per_worker", {})
+    if key not in store:
+        store.clear()
+        store[key] = make()
+    return store[key]
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

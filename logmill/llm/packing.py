@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import Encoder, blocks, read_spec
+from .tokens import blocks, encoder_of, read_spec
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 TIERS = (128, 256, 512, 1024)
@@ -106,14 +106,14 @@ class Packer:
             yield size if size in self.tiers else self.tiers[-1], held
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, end_id: int = 0, step_tokens: int = STEP_TOKENS, block_chars: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, end_id: int = 0, step_tokens: int = STEP_TOKENS, block_chars: int = 2_000_000) -> DataFrame:
     """One row per piece (SCHEMA). tier: the context size that the sequence is for; step_group: sequences of one
     tier that share a training step, each group with ``step_tokens`` token places, so that steps cost alike."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        encoder, packer = Encoder(spec.value), Packer(tiers)
+        encoder, packer = encoder_of(spec.value), Packer(tiers)
         live: dict[int, list] = {}  # key: doc_id, ids as 32-bit bytes, tokens not yet in a sequence
         groups: dict[int, int] = dict.fromkeys(tiers, 0)
         n_keys = n_sequences = 0

@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import per_worker
 from .tokens import PRETOKEN, UNSAFE, Recent, blocks, is_byte_level, read_spec
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -36,7 +37,7 @@ def byte_letters() -> list[str]:
 class Counter:
     """count(texts): tokens of each text."""
 
-    def __init__(self, spec: str, most_pretokens: int = 500_000):
+    def __init__(self, spec: str, most_pretokens: int = 300_000):
         parsed = json.loads(spec)
         if not is_byte_level(parsed):
             raise ValueError("only byte-level BPE tokenizer files are counted here")
@@ -92,7 +93,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(spec.value)
+        text = spec.value
+        counter = per_worker(("counter", hash(text)), lambda: Counter(text))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = [c for a, b in blocks(texts) for c in counter.count(texts[a:b])]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, shared_fs, written
-from .tokens import Encoder, blocks, read_spec
+from .tokens import blocks, encoder_of, read_spec
 
 MAGIC = b"LMTOKEN1"
 FOOTER = "<8sQQQQQQ"
@@ -182,7 +182,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     fs.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value)
+        encoder = encoder_of(spec.value)
         end = np.array([end_id], encoder.dtype).tobytes()
         fs, path = shared_fs(folder)
         shard, own = TaskContext.get().partitionId(), uuid.uuid4().hex

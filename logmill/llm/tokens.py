@@ -9,10 +9,14 @@ whole.
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 
 import numpy as np
 
+from .common import per_worker
+
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏΑ-ΡΣ-ωА-яぁ-ゖァ-ヺ一-龥"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Outside of these, character classes are left to the library.
@@ -75,7 +79,8 @@ class Recent(dict):
 class Encoder:
     """encode(texts): for each text its ids as little-endian bytes of ``dtype``."""
 
-    def __init__(self, spec: str, most_pieces: int = 500_000):
+    def __init__(self, spec: str, most_pieces: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
@@ -87,13 +92,10 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.known = Recent(self._library, most_pieces)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter((i for ids in found for i in ids), self.dtype).tobytes()
-        size, out, at = self.dtype.itemsize, [], 0
-        for ids in found:
-            out.append(flat[at : at + size * len(ids)])
-            at += size * len(ids)
+    def _library(self, texts: list[str], step: int = 20_000) -> list[bytes]:
+        kind, out = self.dtype.char, []
+        for a in range(0, len(texts), step):
+            out += [array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts[a : a + step], add_special_tokens=False)]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -111,7 +113,12 @@ class Encoder:
         return out
 
 
-def blocks(texts: list[str], most_chars: int = 4_000_000):
+def encoder_of(spec: str) -> Encoder:
+    """This worker's encoder for the tokenizer file."""
+    return per_worker(("encoder", hash(spec)), lambda: Encoder(spec))
+
+
+def blocks(texts: list[str], most_chars: int = 2_000_000):
     """Index ranges of about ``most_chars`` characters, so that what is held at once is bounded."""
     start = held = 0
     for i, t in enumerate(texts):
