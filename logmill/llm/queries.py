@@ -48,5 +48,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_packing, op5_token_files, op6_secret_scan, op7_quality_rules, op8_token_counts)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import duplicated_words
+
+    return duplicated_words(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_packing, op5_token_files, op6_secret_scan, op7_quality_rules, op8_token_counts, op9_substring_dedup)}
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op7_quality_rules": quality.oracle()}
