@@ -24,6 +24,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import round_trip
 
@@ -60,5 +66,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_packing, op5_token_files, op6_secret_scan, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_packing, op4_html_extraction, op5_token_files, op6_secret_scan, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_ngram_join)}
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op7_quality_rules": quality.oracle()}
