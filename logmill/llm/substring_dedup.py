@@ -127,7 +127,7 @@ def duplicated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or period > window:
         raise ValueError("the cover must have every difference modulo the period, which is at most the window")
     spark = docs.sparkSession
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchor = window - period + 1
     texts = with_ids(docs.select(id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
