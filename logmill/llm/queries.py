@@ -18,6 +18,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -66,5 +72,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_packing, op4_html_extraction, op5_token_files, op6_secret_scan, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_packing, op4_html_extraction, op5_token_files, op6_secret_scan, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_ngram_join)}
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op7_quality_rules": quality.oracle()}
