@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import slices
 from .tokens import blocks, encoder_of, read_spec
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -140,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names) if cols[0] else None
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in blocks(texts, block_chars):
                 new = []

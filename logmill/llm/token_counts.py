@@ -19,8 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import per_worker
-from .tokens import PRETOKEN, UNSAFE, Recent, blocks, is_byte_level, read_spec
+from .common import per_worker, slices
+from .tokens import Recent, blocks, cutter, is_byte_level, read_spec
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: The byte-level pretoken rule, for texts with characters of any kind.
@@ -82,7 +82,7 @@ class Counter:
         for t in texts:
             parts = self.special.split(t) if self.special else [t]
             totals.append(len(parts) - 1)
-            cut.append([p for part in parts for p in (FULL_PRETOKEN if UNSAFE.search(part) else PRETOKEN).findall(part)])
+            cut.append([p for part in parts for p in (cutter(part) or FULL_PRETOKEN).findall(part)])
         self.known.want(set().union(*cut))
         get = self.known.__getitem__
         return [n + sum(map(get, c)) for n, c in zip(totals, cut, strict=True)]
@@ -95,7 +95,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = spec.value
         counter = per_worker(("counter", hash(text)), lambda: Counter(text))
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = [c for a, b in blocks(texts) for c in counter.count(texts[a:b])]
             yield pa.record_batch(

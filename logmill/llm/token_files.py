@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shared_fs, written
+from .common import scratch_path, shared_fs, slices, written
 from .tokens import blocks, encoder_of, read_spec
 
 MAGIC = b"LMTOKEN1"
@@ -187,7 +187,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         fs, path = shared_fs(folder)
         shard, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         writer = None
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in blocks(texts):
                 if writer is None:

@@ -17,11 +17,28 @@ import numpy as np
 
 from .common import per_worker
 
-_L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏΑ-ΡΣ-ωА-яぁ-ゖァ-ヺ一-龥"
+_L1 = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_L = _L1 + "\u0100-ɏΑ-ΡΣ-ωА-яぁ-ゖァ-ヺ一-龥"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Outside of these, character classes are left to the library.
 UNSAFE = re.compile(f"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xbf\xd7\xf7‐-‧‰-⁞€{_L}]")
-PRETOKEN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+SAFE_LATIN = bytes(b for b in range(256) if not UNSAFE.match(chr(b)))
+
+
+def _pretokens(letters: str) -> re.Pattern:
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{_N}]+| ?[^\s{letters}{_N}]+|\s+(?!\S)|\s+")
+
+
+PRETOKEN, PRETOKEN_LATIN = _pretokens(_L), _pretokens(_L1)
+
+
+def cutter(text: str) -> re.Pattern | None:
+    """What cuts the text into pretokens; None if it has characters outside of the known classes."""
+    try:
+        latin = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None if UNSAFE.search(text) else PRETOKEN
+    return None if latin.translate(None, SAFE_LATIN) else PRETOKEN_LATIN
 
 
 def is_byte_level(spec: dict) -> bool:
@@ -48,10 +65,6 @@ def read_spec(path: str, most_mb: int = 64) -> str:
     return blob.decode()
 
 
-def plain(text: str, specials: list[str]) -> bool:
-    return not (UNSAFE.search(text) or any(s in text for s in specials))
-
-
 class Recent(dict):
     """What was learnt for recent keys: of two generations of ``most`` entries the older one goes."""
 
@@ -101,7 +114,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         if self.cached:
-            cut = {i: PRETOKEN.findall(t) for i, t in enumerate(texts) if plain(t, self.specials)}
+            cut = {i: c.findall(t) for i, t in enumerate(texts) if not any(s in t for s in self.specials) and (c := cutter(t))}
             self.known.want(set().union(*cut.values()))
             ids = self.known.__getitem__
             for i, c in cut.items():
