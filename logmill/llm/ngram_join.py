@@ -192,8 +192,21 @@ def pivots(members: DataFrame) -> DataFrame:
     return best.select(F.col("doc_id").alias("x"), F.bitwise_not("b.minus").alias("y"))
 
 
-def candidates(reps: DataFrame, sketch: np.ndarray, n: int = N, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
-    """reps: (doc_id, text, comp). All pairs (x, y) of different components that share enough of their prefixes."""
+def labelled(batch: pa.RecordBatch, known: list[np.ndarray]) -> pa.RecordBatch:
+    """(doc_id, text) with the component of each representative; copies go."""
+    node, component, copy = known
+    own = batch.column(0).to_numpy(zero_copy_only=False)
+    comp, drop = own.copy(), np.zeros(len(own), bool)
+    if len(node):
+        at = np.minimum(np.searchsorted(node, own), len(node) - 1)
+        hit = node[at] == own
+        comp[hit], drop[hit] = component[at[hit]], copy[at[hit]] == 1
+    return pa.record_batch([*batch.columns, pa.array(comp, pa.int64())], names=["doc_id", "text", "comp"]).filter(pa.array(~drop))
+
+
+def candidates(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+    """reps: (doc_id, text, comp), or (doc_id, text) of all documents with the broadcast labels ``known``. All pairs
+    (x, y) of different components that share enough of their prefixes."""
     spark = reps.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(sketch)
@@ -216,6 +229,8 @@ def candidates(reps: DataFrame, sketch: np.ndarray, n: int = N, percent: int = P
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["bucket", "tokens", "docs", "table"])
 
         for batch in batches:
+            if known is not None:
+                batch = labelled(batch, known.value)
             for doc, text, comp in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 s = shingles(text, roller, n)
                 if not len(s):
@@ -274,7 +289,7 @@ def candidates(reps: DataFrame, sketch: np.ndarray, n: int = N, percent: int = P
         first, second = np.where(swap, y["doc"], x["doc"]), np.where(swap, x["doc"], y["doc"])
         return pa.table({"x": first, "y": second, "shared": counts, "asked": np.minimum(x["matches"], y["matches"]).astype(np.int64)})
 
-    met = reps.select("doc_id", "text", "comp").mapInArrow(post, POSTINGS).groupBy("bucket").applyInArrow(meet, "x long, y long, shared long, asked long")
+    met = reps.mapInArrow(post, POSTINGS).groupBy("bucket").applyInArrow(meet, "x long, y long, shared long, asked long")
     return met.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.min("asked").alias("asked")).filter("shared >= asked").select("x", "y")
 
 
@@ -294,23 +309,10 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     copies = links.select(F.col("u").alias("node"), F.lit(None).cast("long").alias("component")).join(classes.select(F.col("rep").alias("node")), "node", "left_anti")
     labels = written(merged.union(copies), "labels")
     known = _known(spark, labels.select("node", F.coalesce("component", F.lit(NULL_ID)).alias("component"), F.col("component").isNull().cast("int").alias("copy")), ["node", "component", "copy"])
-    if known is not None:
-
-        def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            node, component, copy = known.value
-            for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                comp, drop = own.copy(), np.zeros(len(own), bool)
-                if len(node):
-                    at = np.minimum(np.searchsorted(node, own), len(node) - 1)
-                    hit = node[at] == own
-                    comp[hit], drop[hit] = component[at[hit]], copy[at[hit]] == 1
-                yield pa.record_batch([*batch.columns, pa.array(comp, pa.int64())], names=["doc_id", "text", "comp"]).filter(pa.array(~drop))
-
-        reps = texts.mapInArrow(label, "doc_id long, text string, comp long")
-    else:
+    reps = texts
+    if known is None:
         reps = texts.join(labels.withColumn("hit", F.lit(True)), F.col("doc_id") == F.col("node"), "left").filter("hit IS NULL OR component IS NOT NULL").select("doc_id", "text", F.coalesce("component", "doc_id").alias("comp"))
-    pairs = written(candidates(reps, sketch, n, percent, buckets), "candidates")
+    pairs = written(candidates(reps, sketch, known, n, percent, buckets), "candidates")
     far = verified(pairs, texts, n, percent)
     final = components(links.union(near).union(far))
     out = signed.filter("kind = 0").join(final, F.col("doc_id") == F.col("node"), "left")

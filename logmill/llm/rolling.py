@@ -7,14 +7,14 @@ import xxhash
 
 #: Odd multipliers; windows are hashed as polynomials in them, modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-MOST_WORDS = 1_000_000
+MOST_WORDS = 250_000
 
 
 class WordHashes(dict):
     """word -> 64-bit hash, for recent words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS // 2:
+        if len(self) >= MOST_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
