@@ -11,11 +11,15 @@ as many shared prefix shingles as the smaller of its two l.
 
 Groups of copies are never expanded into pairs:
 - documents with the same set form a class, joined through its smallest id;
-- a first round links class representatives by a few smallest shingle hashes to one pivot each and verifies
+- a first round links class representatives by a few smallest shingle hashes to a pivot or two each and verifies
   that; it merges groups of near copies at linear cost. It is no filter: whatever it misses is found next;
-- the exact round then looks only for pairs between different components, all of them: a link within a
-  component could not change the components.
-Pairs are verified on whole sets. Links never come to the driver.
+- documents with the same hub (a pivot that they share several of these hashes with) are compared in blocks, in
+  tasks of bounded size that give out links only: those outside of the hub's largest component with all;
+- the exact round then looks for links between different components and hubs, all of them: a link within a
+  component could not change the components. It counts matches between a document and a component (the document's prefix
+  shingles that any member of fitting size shares), which is no less than for any single member;
+- a document left as candidate of a small component is verified against each member; of a large one in blocks.
+Links are verified on whole sets. They never come to the driver.
 
 Defined results: null text counts as empty; empty sets link with nothing; a null id counts as the smallest
 id; rows that share an id are one document and link if any of their texts does; empty tables give no rows;
@@ -39,12 +43,16 @@ N, PERCENT = 5, 75
 SKETCH_CELLS, SKETCH_SLICE = 1 << 20, 1 << 14
 #: Shingle hashes of a document that the first round groups by.
 ANCHORS = 8
-MOST_MATCHES, VERIFY_COST = 4, 8.0
+MOST_MATCHES, VERIFY_COST = 128, 4.0
+#: Components up to SMALL are verified member by member; larger ones in blocks of so many shingles.
+SMALL, BLOCK_SHINGLES = 8, 1_000_000
+#: Shared smallest hashes from which a pivot is a document's hub.
+HUB_VOTES = 3
 #: Ids that may be sent to all executors; beyond, they are joined.
 MOST_BROADCAST = 2_000_000
 SIGNATURE = "kind int, doc_id long, n long, s1 long, s2 long, anchors array<long>, slice int, counts binary"
 POSTINGS = "bucket long, tokens binary, docs binary, table binary"
-TABLE = np.dtype([("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("matches", "<i4")])
+TABLE = np.dtype([("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("matches", "<i4"), ("size", "<i8"), ("hub", "<i8")])
 
 
 def shingles(text: bytes, roller: Roller, n: int = N) -> np.ndarray:
@@ -144,11 +152,10 @@ def _known(spark: SparkSession, table: DataFrame, columns: list[str]):
     return spark.sparkContext.broadcast([a[order] for a in arrays])
 
 
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(x, y) with the texts of both. Only texts of documents that occur in pairs are shuffled, if these are few
-    enough to name to all executors; else all are."""
-    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    known = _known(pairs.sparkSession, wanted, ["doc_id"])
+def _named(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents with these ids, if they are few enough to name to all executors, so that only their texts are
+    shuffled by the join that follows; else all documents."""
+    known = _known(docs.sparkSession, ids.distinct(), ["doc_id"])
     if known is not None:
 
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +165,13 @@ def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
                 yield batch.filter(pa.array(ids[at] == own if len(ids) else np.zeros(len(own), bool)))
 
-        docs = docs.mapInArrow(some, docs.schema)
+        return docs.mapInArrow(some, docs.schema)
+    return docs
+
+
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(x, y) with the texts of both."""
+    docs = _named(pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))), docs)
     left = docs.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text"))
     right = docs.select(F.col("doc_id").alias("y"), F.col("text").alias("y_text"))
     return pairs.join(left, "x").join(right, "y").select("x", "y", "x_text", "y_text")
@@ -183,30 +196,32 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCE
 
 
 def pivots(members: DataFrame) -> DataFrame:
-    """members: (doc_id, anchors). Per document the pair with the pivot that it shares most anchors with; the
-    pivot of an anchor is its smallest document."""
+    """members: (doc_id, anchors) -> (x, y, hub). The pivot of an anchor is its smallest document; y is the one that x
+    shares most anchors with, hub the smallest one that it shares HUB_VOTES with, or null."""
     each = members.select("doc_id", F.explode("anchors").alias("anchor"))
     least = each.groupBy("anchor").agg(F.min("doc_id").alias("y"), F.max("doc_id").alias("z")).filter("y < z").select("anchor", "y")
-    votes = each.join(least, "anchor").filter("doc_id <> y").groupBy("doc_id", "y").count()
-    best = votes.groupBy("doc_id").agg(F.max(F.struct("count", F.bitwise_not("y").alias("minus"))).alias("b"))
-    return best.select(F.col("doc_id").alias("x"), F.bitwise_not("b.minus").alias("y"))
+    votes = each.join(least, "anchor").groupBy("doc_id", "y").count()
+    best = F.max_by(F.when(F.col("doc_id") != F.col("y"), F.col("y")), F.struct((F.col("doc_id") != F.col("y")).cast("int"), "count", F.bitwise_not("y")))
+    return votes.groupBy(F.col("doc_id").alias("x")).agg(best.alias("y"), F.min(F.when(F.col("count") >= HUB_VOTES, F.col("y"))).alias("hub"))
 
 
 def labelled(batch: pa.RecordBatch, known: list[np.ndarray]) -> pa.RecordBatch:
-    """(doc_id, text) with the component of each representative; copies go."""
-    node, component, copy = known
+    """(doc_id, text) with each representative's component, its size, and the hub; copies go."""
+    node, component, copy, size, hub = known
     own = batch.column(0).to_numpy(zero_copy_only=False)
-    comp, drop = own.copy(), np.zeros(len(own), bool)
+    comp, drop, n, hubs = own.copy(), np.zeros(len(own), bool), np.ones(len(own), np.int64), own.copy()
     if len(node):
         at = np.minimum(np.searchsorted(node, own), len(node) - 1)
         hit = node[at] == own
-        comp[hit], drop[hit] = component[at[hit]], copy[at[hit]] == 1
-    return pa.record_batch([*batch.columns, pa.array(comp, pa.int64())], names=["doc_id", "text", "comp"]).filter(pa.array(~drop))
+        comp[hit], drop[hit], n[hit], hubs[hit] = component[at[hit]], copy[at[hit]] == 1, size[at[hit]], hub[at[hit]]
+    return pa.record_batch([*batch.columns, *(pa.array(x, pa.int64()) for x in (comp, n, hubs))], names=["doc_id", "text", "comp", "size", "hub"]).filter(pa.array(~drop))
 
 
-def candidates(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
-    """reps: (doc_id, text, comp), or (doc_id, text) of all documents with the broadcast labels ``known``. All pairs
-    (x, y) of different components that share enough of their prefixes."""
+def matches(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+    """reps: (doc_id, text, comp, size, hub), or (doc_id, text) of all documents with the broadcast labels ``known``.
+
+    (x, comp, size, shared, asked) per token bucket: documents and components of other documents, not smaller than
+    the document's own, how many of the bucket's tokens they share, and how many a link must share in all."""
     spark = reps.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(sketch)
@@ -231,14 +246,14 @@ def candidates(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, perc
         for batch in batches:
             if known is not None:
                 batch = labelled(batch, known.value)
-            for doc, text, comp in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for doc, text, comp, size, hub in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 s = shingles(text, roller, n)
                 if not len(s):
                     continue
                 p, matches = prefix(s, sketch, floor, percent)
                 tokens.append(p)
                 owners.append(np.full(len(p), len(table), np.int64))
-                table.append((doc, comp, len(s), matches))
+                table.append((doc, comp, len(s), matches, size, hub))
                 held += len(p)
                 if held > 4_000_000:
                     yield flush()
@@ -255,42 +270,100 @@ def candidates(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, perc
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        comp = about["comp"][owner]
-        mixed = np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts)
+        comps, first_of, comp = np.unique(about["comp"], return_index=True, return_inverse=True)
+        hubs = about["hub"]
+        rank = np.empty(len(comps), np.int64)
+        rank[np.lexsort((comps, about["size"][first_of]))] = np.arange(len(comps))  # by size, then id
+        mixed = np.minimum.reduceat(comp[owner], starts) < np.maximum.reduceat(comp[owner], starts)
         ends = np.r_[starts[1:], len(tokens)]
-        found: list[np.ndarray] = []
-        pairs, counts, held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        pairs, counts, asked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
 
         def settle() -> None:
-            nonlocal pairs, counts, found, held
-            every = np.concatenate([pairs, *found])
+            nonlocal pairs, counts, asked, found, held
+            every = np.concatenate([pairs, *(f[0] for f in found)])
             weight = np.concatenate([counts, np.ones(len(every) - len(pairs), np.int64)])
+            least = np.concatenate([asked, *(f[1] for f in found)])
             pairs, inverse = np.unique(every, return_inverse=True)
             counts = np.bincount(inverse, weight, len(pairs)).astype(np.int64)
+            asked = np.full(len(pairs), 1 << 30, np.int64)
+            np.minimum.at(asked, inverse, least)
             found, held = [], 0
 
         for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            own = owner[a:b]
-            info = about[own]
-            order = np.argsort(info["n"], kind="stable")
-            own, info = own[order], info[order]
-            reach = np.searchsorted(info["n"], 100 * info["n"].astype(np.int64) // percent, side="right")  # length filter
-            for i in range(len(own) - 1):
-                j = np.arange(i + 1, reach[i])
-                j = j[(info["comp"][j] != info["comp"][i]) & (info["doc"][j] != info["doc"][i])]
-                if len(j):
-                    found.append(np.minimum(own[j], own[i]) * len(about) + np.maximum(own[j], own[i]))
-                    held += len(j)
-                    if held > 1_000_000:
-                        settle()
+            own = np.unique(owner[a:b])
+            own = own[np.lexsort((about["n"][own], hubs[own], comp[own]))]
+            c, h, size, asks = comp[own], hubs[own], about["n"][own].astype(np.int64), about["matches"][own].astype(np.int64)
+            rest = need(size, percent) - asks
+            cuts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (h[1:] != h[:-1]), True])
+            codes, least = [], []
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # all documents against c[i]'s of one hub
+                low = np.searchsorted(size[i:j], need(size, percent))
+                high = np.searchsorted(size[i:j], 100 * size // percent, side="right")
+                x = np.flatnonzero((low < high) & (rank[c] < rank[c[i]]) & (h != h[i]))
+                if len(x):
+                    # a link shares that many of the prefixes, and all it needs but what lies behind the one that ends first
+                    overlap = -(-percent * (size[x] + size[i + low[x]]) // (100 + percent))
+                    behind = np.maximum(rest[x], rest[i:j].max())
+                    codes.append(own[x] * len(comps) + c[i])
+                    least.append(np.maximum(np.minimum(asks[x], asks[i:j].min()), overlap - behind))
+            if codes:
+                code, asked_least = np.concatenate(codes), np.concatenate(least)
+                order = np.lexsort((asked_least, code))
+                code, asked_least = code[order], asked_least[order]
+                once = np.r_[True, code[1:] != code[:-1]]
+                found.append((code[once], asked_least[once]))
+                held += int(once.sum())
+            if held > 1_000_000:
+                settle()
         settle()
-        x, y = about[pairs // len(about)], about[pairs % len(about)]
-        swap = x["doc"] > y["doc"]
-        first, second = np.where(swap, y["doc"], x["doc"]), np.where(swap, x["doc"], y["doc"])
-        return pa.table({"x": first, "y": second, "shared": counts, "asked": np.minimum(x["matches"], y["matches"]).astype(np.int64)})
+        target = pairs % len(comps)
+        return pa.table({"x": about["doc"][pairs // len(comps)], "comp": comps[target], "size": about["size"][first_of[target]], "shared": counts, "asked": asked})
+
+    return reps.mapInArrow(post, POSTINGS).groupBy("bucket").applyInArrow(meet, "x long, comp long, size long, shared long, asked long")
 
-    met = reps.mapInArrow(post, POSTINGS).groupBy("bucket").applyInArrow(meet, "x long, y long, shared long, asked long")
-    return met.groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.min("asked").alias("asked")).filter("shared >= asked").select("x", "y")
+
+def candidates(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+    """All (x, comp, size) that share enough of their prefixes for a link with any member."""
+    met = matches(reps, sketch, known, n, percent, buckets)
+    return met.groupBy("x", "comp").agg(F.max("size").alias("size"), F.sum("shared").alias("shared"), F.min("asked").alias("asked")).filter("shared >= asked").select("x", "comp", "size")
+
+
+def verified_blocks(xs: DataFrame, ys: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """xs, ys: (group, doc_id, comp, n). For each x, a link (u, v) with each other component of its group's ys, if one
+    of it in a block is similar enough. The xs and ys of a group meet in blocks of BLOCK_SHINGLES shingles."""
+    parts = lambda df, name: df.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias(name))
+    shape = parts(xs, "ni").join(parts(ys, "nj"), "group")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = xs.join(shape, "group").select("group", "doc_id", "comp", F.lit(0).alias("side"), F.pmod(F.xxhash64("doc_id"), "ni").alias("i"), upto("nj").alias("j"))
+    right = ys.join(shape, "group").select("group", "doc_id", "comp", F.lit(1).alias("side"), upto("ni").alias("i"), F.pmod(F.xxhash64("doc_id"), "nj").alias("j"))
+    placed = written(left.unionAll(right), "blocks")
+
+    def compare(table: pa.Table) -> pa.Table:
+        roller = Roller()
+        sides = np.array(table.column("side").to_pylist())
+        ids = np.array(table.column("doc_id").to_pylist(), np.int64)
+        comp = np.array(table.column("comp").to_pylist(), np.int64)
+        sets = [shingles(t, roller, n) for t in byte_texts(table.column("text").combine_chunks())]
+        ys = np.flatnonzero(sides == 1)
+        links: list[tuple[int, int]] = []
+        if len(ys):
+            sizes = np.array([len(sets[k]) for k in ys])
+            tokens = np.concatenate([sets[k] for k in ys])
+            owner = np.repeat(np.arange(len(ys)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for k in np.flatnonzero(sides == 0).tolist():
+                a, b = np.searchsorted(tokens, sets[k]), np.searchsorted(tokens, sets[k], side="right")
+                at = np.repeat(a, b - a) + np.arange(int((b - a).sum())) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+                both = np.bincount(owner[at], minlength=len(ys))
+                good = ys[(both > 0) & (comp[ys] != comp[k]) & (100 * both >= percent * (sizes + len(sets[k]) - both))]
+                _, first = np.unique(comp[good], return_index=True)
+                links += [(int(ids[k]), int(ids[g])) for g in good[first]]
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    return placed.join(_named(placed.select("doc_id"), docs), "doc_id").groupBy("group", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, cells: int = SKETCH_CELLS, buckets: int | None = None) -> DataFrame:
@@ -303,17 +376,35 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = written(each.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("anchors").alias("anchors")), "classes")
     links = written(each.join(classes.drop("anchors"), ["n", "s1", "s2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "class_links")
 
+    reps_n = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
     first = written(pivots(classes.select(F.col("rep").alias("doc_id"), "anchors").dropDuplicates(["doc_id", "anchors"])), "pivots")
-    near = written(verified(first, texts, n, percent), "near")
+    pairs = first.select("x", "y").union(first.select("x", F.col("hub").alias("y"))).filter("x <> y").distinct()
+    near = written(verified(pairs, texts, n, percent), "near")
     merged = components(near)  # of representatives; copies are no candidates
-    copies = links.select(F.col("u").alias("node"), F.lit(None).cast("long").alias("component")).join(classes.select(F.col("rep").alias("node")), "node", "left_anti")
-    labels = written(merged.union(copies), "labels")
-    known = _known(spark, labels.select("node", F.coalesce("component", F.lit(NULL_ID)).alias("component"), F.col("component").isNull().cast("int").alias("copy")), ["node", "component", "copy"])
+    sizes = merged.groupBy("component").agg((F.count("*") + 1).alias("size"))
+    comps = merged.join(sizes, "component").select("node", "component", "size").union(sizes.select(F.col("component").alias("node"), "component", "size"))
+    hubs = first.filter("hub IS NOT NULL").select(F.col("x").alias("node"), "hub")
+    of_reps = comps.join(hubs, "node", "full").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("hub", "node").alias("hub"), F.lit(0).alias("copy"))
+    copies = links.select(F.col("u").alias("node")).join(classes.select(F.col("rep").alias("node")), "node", "left_anti").select("node", F.lit(NULL_ID).alias("component"), F.lit(0).cast("long").alias("size"), F.lit(NULL_ID).alias("hub"), F.lit(1).alias("copy"))
+    labels = written(of_reps.union(copies), "labels")
+    known = _known(spark, labels, ["node", "component", "copy", "size", "hub"])
     reps = texts
     if known is None:
-        reps = texts.join(labels.withColumn("hit", F.lit(True)), F.col("doc_id") == F.col("node"), "left").filter("hit IS NULL OR component IS NOT NULL").select("doc_id", "text", F.coalesce("component", "doc_id").alias("comp"))
-    pairs = written(candidates(reps, sketch, known, n, percent, buckets), "candidates")
-    far = verified(pairs, texts, n, percent)
+        own = texts.join(labels.withColumn("hit", F.lit(True)), F.col("doc_id") == F.col("node"), "left").filter("hit IS NULL OR copy = 0")
+        reps = own.select("doc_id", "text", F.coalesce("component", "doc_id").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("hub", "doc_id").alias("hub"))
+    found = written(candidates(reps, sketch, known, n, percent, buckets), "candidates")
+    members = labels.filter("copy = 0").select(F.col("component").alias("comp"), F.col("node").alias("doc_id"), "hub").join(reps_n, "doc_id")
+    single = found.filter("size = 1").select("x", F.col("comp").alias("y"))
+    several = found.filter(F.col("size").between(2, SMALL)).join(members, "comp").select("x", F.col("doc_id").alias("y"))
+    large = found.filter(F.col("size") > SMALL).select(F.col("comp").alias("group"), F.col("x").alias("doc_id"), F.lit(NULL_ID).alias("comp")).join(reps_n, "doc_id")
+    by_comp = members.select(F.col("comp").alias("group"), "doc_id", "comp", "n")
+    by_hub = members.select(F.col("hub").alias("group"), "doc_id", "comp", "n")
+    most = by_hub.groupBy("group", "comp").count().groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("_most"), F.sum("count").alias("_all"))
+    apart = by_hub.join(most.filter("_all > 1"), "group").filter("comp <> _most").drop("_most", "_all")
+    columns = ["group", "doc_id", "comp", "n"]
+    far = verified(written(single.union(several), "pairs"), texts, n, percent)
+    far = far.union(verified_blocks(large.select(columns), by_comp.select(columns), texts, n, percent))
+    far = far.union(verified_blocks(apart.select(columns), by_hub.select(columns), texts, n, percent))
     final = components(links.union(near).union(far))
     out = signed.filter("kind = 0").join(final, F.col("doc_id") == F.col("node"), "left")
     return out.select(null_ids("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("component_id", null_ids("component_id"))

@@ -6,6 +6,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from logmill.llm import ngram_join
 from logmill.llm.components import components
 from logmill.llm.ngram_join import need, prefix, representatives, similarity_components
 
@@ -57,7 +60,7 @@ def test_table(spark, sf):
     assert check(spark, rows) > 5
 
 
-def test_near_copies(spark):
+def test_near_copies(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(500)}"
     passage = [word() for _ in range(60)]
@@ -75,6 +78,12 @@ def test_near_copies(spark):
     rows += [(None, rows[0][1]), (None, None), (7, rows[7][1]), (7, "quite another text of some more words"), (900, ""), (901, " \n "), (902, "a b"), (903, "A  b")]
     for kw in ({}, {"cells": 64}, {"buckets": 1}):
         assert check(spark, rows, **kw) > 50
+    monkeypatch.setattr(ngram_join, "pivots", lambda m: m.limit(0).select(F.col("doc_id").alias("x"), F.col("doc_id").alias("y"), F.col("doc_id").alias("hub")))
+    check(spark, rows)  # the exact round alone finds all
+    monkeypatch.undo()
+    for name, value in (("SMALL", 1), ("BLOCK_SHINGLES", 300), ("HUB_VOTES", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    check(spark, rows)
 
 
 def test_odd_rows(spark):
@@ -88,8 +97,6 @@ def test_odd_rows(spark):
 
 
 def test_larger_id_sets_are_joined(spark, sf, monkeypatch):
-    from logmill.llm import ngram_join
-
     monkeypatch.setattr(ngram_join, "MOST_BROADCAST", -1)
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(120).collect()]
     check(spark, [*rows, (None, rows[0][1])])
