@@ -37,6 +37,8 @@ BLOCK, PASSAGE = 16, 64
 STOP, RANK, COSINE = 200, 192, 0.35
 NEAR, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
 MOST_ITEM_WORDS = 2_000_000
+#: Words of documents whose windows are vectors at one time.
+SEARCHED_WORDS = 40_000
 SEED = 11
 FOUND = "doc_id long, item_id long, start_word long, n_words long, cosine double, lcs long, item_words long, answer double"
 
@@ -184,7 +186,7 @@ def range_sums(ids: DataFrame, weight, rank: int, seed: int = SEED) -> np.ndarra
                 if len(part[0]):
                     parts.append(part)
                     held += len(part[0])
-                if held > 50_000:
+                if held > 10_000:
                     multiply(parts)
                     parts, held = [], 0
         if parts:
@@ -311,11 +313,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(items.value, shared.value, vectors.value, cosine)
-        for batch in slices(batches, 128):
-            docs = [np.frombuffer(b.as_buffer(), np.uint32) for b in batch.column(1)]
-            out = []
-            for doc_id, found in zip(batch.column(0).to_pylist(), searcher.search(docs), strict=True):
-                out += [(doc_id, searcher.items[i].item_id, a, n, c, lcs, searcher.items[i].size, answer) for i, a, n, c, lcs, answer in found]
+        for batch in slices(batches):
+            keys, docs, held, out = [], [], 0, []
+
+            def settle() -> None:
+                nonlocal keys, docs, held
+                for doc_id, found in zip(keys, searcher.search(docs), strict=True):
+                    out.extend((doc_id, searcher.items[i].item_id, a, n, c, lcs, searcher.items[i].size, answer) for i, a, n, c, lcs, answer in found)
+                keys, docs, held = [], [], 0
+
+            for doc_id, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys.append(doc_id)
+                docs.append(np.frombuffer(blob.as_buffer(), np.uint32))
+                held += len(docs[-1])
+                if held > SEARCHED_WORDS:
+                    settle()
+            if docs:
+                settle()
             if out:
                 kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.int64(), pa.float64()]
                 yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in schema.split(", ")])
