@@ -102,7 +102,7 @@ class SegmentReader(DataSourceReader):
     def partitions(self):
         found = [s for s in list_segments(self.folder) if self.topic in (None, s.topic) and self.partition in (None, s.partition)]
         kept = []
-        for s, after in zip(found, [*found[1:], None], strict=True):
+        for s, after in zip(found, [*found[1:], None], strict=False):
             ends = after.base if after is not None and (after.topic, after.partition) == (s.topic, s.partition) else None
             if (self.most is None or s.base <= self.most) and (ends is None or ends > self.least):
                 kept.append(s)
