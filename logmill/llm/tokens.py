@@ -103,7 +103,7 @@ class Encoder:
         self.cached = is_byte_level(parsed)
         self.specials = [t["content"] for t in parsed.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Recent(self._library, most_pieces)
+        self.known = Recent(self._pretokens, most_pieces)
 
     def _library(self, texts: list[str], step: int = 20_000) -> list[bytes]:
         kind, out = self.dtype.char, []
@@ -111,6 +111,27 @@ class Encoder:
             out += [array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts[a : a + step], add_special_tokens=False)]
         return out
 
+    def _pretokens(self, new: list[str], step: int = 1000) -> list[bytes]:
+        """Ids of pretokens. Words that begin with a space part again where they are joined, so the library gets many
+        at a time and tells which id is of which word."""
+        words = [i for i, p in enumerate(new) if p[0] == " " and p[1:].isalpha()]
+        out: list[bytes | None] = [None] * len(new)
+        size = self.dtype.itemsize
+        for a in range(0, len(words), step):
+            part = words[a : a + step]
+            found = self.tok.encode("".join([new[i] for i in part]), add_special_tokens=False)
+            of_word = np.array(found.word_ids)
+            ends = (np.flatnonzero(of_word[1:] != of_word[:-1]) + 1) * size
+            if len(ends) + 1 == len(part):
+                flat = np.array(found.ids, self.dtype).tobytes()
+                cuts = [0, *ends.tolist(), len(flat)]
+                for i, b, e in zip(part, cuts, cuts[1:], strict=False):
+                    out[i] = flat[b:e]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._library([new[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         if self.cached:
