@@ -21,9 +21,11 @@ def assign_offsets(df: DataFrame, order: list[str], partition: str = "partition"
 
 
 def high_watermarks(log: DataFrame, partitions: int) -> DataFrame:
-    """Per partition, also an empty one: number of records and next offset."""
+    """Per partition, also an empty one: number of records and next offset. Records that have no offsets yet will get
+    dense ones, so their number is the next offset and nothing need be sorted."""
+    following = F.max("offset") + 1 if "offset" in log.columns else F.count("*")
     all_parts = log.sparkSession.range(partitions).select(F.col("id").cast("int").alias("partition"))
-    seen = log.groupBy("partition").agg(F.count("*").alias("records"), (F.max("offset") + 1).alias("next_offset"))
+    seen = log.groupBy("partition").agg(F.count("*").alias("records"), following.alias("next_offset"))
     return all_parts.join(seen, "partition", "left").select("partition", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("next_offset", F.lit(0)).alias("next_offset"))
 
 

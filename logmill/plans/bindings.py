@@ -34,7 +34,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.high_watermarks(event_log(spark, sf_dir), PARTITIONS)
+    return log.high_watermarks(routed(spark, sf_dir), PARTITIONS)
 
 
 def committed(spark: SparkSession, sf_dir: str) -> DataFrame:
