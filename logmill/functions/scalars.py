@@ -47,3 +47,26 @@ def is_silent(samples: Column, threshold: int = 200) -> Column:
 
 def kbps_to_bytes(kbps: Column) -> Column:
     return kbps * 1000.0 / 8.0
+
+
+#: Log levels, the least severe first.
+LEVELS = ("trace", "debug", "info", "warn", "error", "fatal")
+
+
+def level_at_least(level: Column, least: str) -> Column:
+    """Whether a log level is as severe as ``least``; unknown levels are not."""
+    return level.isin(*LEVELS[LEVELS.index(least) :])
+
+
+def silence_of_payload(payload: Column, threshold: int = 200) -> Column:
+    """Silence of 16-bit little-endian samples in a payload; a last odd byte doesn't count, and under one sample the
+    flag is not set."""
+    digits = F.hex(payload)
+    n = F.floor(F.octet_length(payload) / 2).cast("int")
+
+    def sample(i: Column) -> Column:
+        word = F.conv(F.concat(F.substr(digits, i * 4 + 3, F.lit(2)), F.substr(digits, i * 4 + 1, F.lit(2))), 16, 10).cast("int")
+        return F.abs(F.when(word >= 32768, word - 65536).otherwise(word)).cast("long")
+
+    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda a, i: a + sample(i))
+    return F.when(n >= 1, F.floor(total / n) < threshold).otherwise(False)

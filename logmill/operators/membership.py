@@ -76,3 +76,21 @@ def linearizable(values: DataFrame, value: str) -> DataFrame:
     each = values.groupBy(value).agg(F.count("*").alias("_n"))
     total = each.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count("*").alias("n_distinct"), F.min(value).alias("least"), F.max(value).alias("most"))
     return total.withColumn("linearizable", F.coalesce((F.col("n") == F.col("n_distinct")) & (F.col("least") == 1) & (F.col("most") == F.col("n")), F.col("n") == 0))
+
+
+def snapshot(topics_: DataFrame, brokers_: DataFrame, counter: DataFrame) -> DataFrame:
+    """The state as one JSON text. Registries are metadata: a row a topic and a broker."""
+    t = topics_.agg(F.array_sort(F.collect_list(F.struct("name", "num_partitions"))).alias("topics"))
+    b = brokers_.agg(F.array_sort(F.collect_list(F.struct("broker_id", "address"))).alias("brokers"))
+    return t.join(b, how="cross").join(counter, how="cross").select(F.to_json(F.struct("topics", "brokers", "counter")).alias("state"))  # one row each
+
+
+def restore(state: DataFrame) -> DataFrame:
+    """(kind, name, value) of what a snapshot holds."""
+    parsed = state.select(F.from_json("state", "topics array<struct<name: string, num_partitions: int>>, brokers array<struct<broker_id: string, address: string>>, counter long").alias("s"))
+    rows = F.concat(
+        F.transform("s.topics", lambda t: F.struct(F.lit("topic").alias("kind"), t["name"].alias("name"), t["num_partitions"].cast("string").alias("value"))),
+        F.transform("s.brokers", lambda b: F.struct(F.lit("broker").alias("kind"), b["broker_id"].alias("name"), b["address"].alias("value"))),
+        F.array(F.struct(F.lit("counter").alias("kind"), F.lit("counter").alias("name"), F.col("s.counter").cast("string").alias("value"))),
+    )
+    return parsed.select(F.explode(rows).alias("r")).select("r.*")

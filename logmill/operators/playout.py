@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codecs import encode_media
+from ..functions.scalars import silence_of_payload
+
 
 def starts(packets: DataFrame, interval_ms: int, delay_ms: int) -> DataFrame:
     """Per stream: its first and last sequence to play and the deadline of sequence 0 (base_ms)."""
@@ -65,3 +68,9 @@ def fill_forward(df: DataFrame, key: str, order: list[str], value: str, good: st
     """Adds the last value of a good row up to and with each row; null before the first."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.last(F.when(F.expr(good), F.col(value)), ignorenulls=True).over(w))
+
+
+def prepare_frames(payloads: DataFrame, interval_ms: int, threshold: int = 200) -> DataFrame:
+    """(stream, sequence, payload) -> what a sender puts on the wire: time stamp, silence flag, and the packet."""
+    flagged = payloads.withColumn("timestamp_ms", F.col("sequence") * interval_ms).withColumn("flags", silence_of_payload(F.col("payload"), threshold).cast("int"))
+    return flagged.withColumn("packet", encode_media(F.col("sequence"), F.col("timestamp_ms"), F.col("flags"), F.col("payload")))

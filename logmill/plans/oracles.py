@@ -149,6 +149,9 @@ WHEN kind = 'noop' THEN 'unknown command kind: noop' END AS error FROM c"""),
     "packet_decode": with_(E, SENT, "k AS (SELECT *, CASE WHEN sequence % 7 = 6 THEN 'malformed' WHEN sequence % 11 = 10 THEN 'retransmit' ELSE 'media' END AS kind FROM sent)", select="SELECT stream, sequence AS sent, kind, CASE WHEN kind <> 'malformed' THEN sequence ELSE -1 END AS sequence, CASE WHEN kind = 'media' THEN sequence * 20 ELSE -1 END AS timestamp_ms, CASE WHEN kind = 'media' THEN (sequence % 2)::INTEGER ELSE -1 END AS flags, CASE WHEN kind = 'media' THEN payload END AS payload FROM k"),
     "silence_flag": "SELECT event_id, floor(floor(value) * 36 / 8) < 200 AS silent FROM events",
     "config_values": "SELECT * FROM (VALUES ('port', '12abc', 12, false, 12.0::DOUBLE), ('name', 'broker-1', -1, false, 0.0), ('enabled', 'true', -1, true, 0.0), ('rate', '2.5x', 2, false, 2.5), ('a', 'b=c', -1, false, 0.0)) v(key, value, as_int, as_bool, as_double)",
+    "log_level_filter": "SELECT event_id, ['trace', 'debug', 'info', 'warn', 'error', 'fatal'][user_id % 6 + 1] AS level FROM events WHERE user_id % 6 >= 3",
+    "prepare_frames": with_(E, SENT, select="SELECT stream, sequence, sequence * 20 AS timestamp_ms, (floor(value) * 2 < 200)::INTEGER AS flags, 28::BIGINT AS n_bytes FROM sent"),
+    "registry_snapshot": with_(E, COMMANDS, select="SELECT 'topic' AS kind, topic AS name, arg_min(parts, log_index)::VARCHAR AS value FROM c WHERE kind = 'create_topic' AND parts > 0 GROUP BY topic UNION ALL SELECT 'broker', broker, arg_max(address, log_index) FROM c WHERE kind = 'register_broker' GROUP BY broker UNION ALL SELECT 'counter', 'counter', count(*)::VARCHAR FROM c WHERE kind = 'increment_counter'"),
     "stream_tumbling_counts": with_(E, select=f"SELECT w AS window_start_ms, event_type, count(*) AS n FROM (SELECT ms // {HOUR_MS} * {HOUR_MS} AS w, event_type FROM e) WHERE w + {HOUR_MS} <= (SELECT max(ms) FROM e) - 600000 GROUP BY w, event_type"),
     "stream_sessions": with_(E, SESSIONS, select=f"SELECT user_id, session_start, session_end, n FROM (SELECT *, lead(session_start) OVER (PARTITION BY user_id ORDER BY session_start) AS after FROM ses) WHERE after IS NOT NULL OR session_end + {6 * HOUR_MS} <= (SELECT max(ms) FROM e)"),
     "stream_dedup": "SELECT event_id, user_id FROM events",

@@ -385,6 +385,26 @@ def config_values(spark, sf):
     return config.parse_config(lines).select("key", "value", scalars.config_int(v, -1).alias("as_int"), scalars.config_bool(v, False).alias("as_bool"), scalars.config_double(v, 0.0).alias("as_double"))
 
 
+@query
+def log_level_filter(spark, sf):
+    level = F.element_at(F.array(*map(F.lit, scalars.LEVELS)), (F.col("user_id") % 6 + 1).cast("int"))
+    return b.events(spark, sf).withColumn("level", level).filter(scalars.level_at_least(F.col("level"), "warn")).select("event_id", "level")
+
+
+@query
+def prepare_frames(spark, sf):
+    """Payloads of 8 equal samples of floor(value) * 2, little-endian."""
+    sample = codecs.unsigned(F.floor("value") * 2, 2)
+    sent = b.sent(spark, sf).withColumn("payload", F.concat(*[sample] * 8))
+    return playout.prepare_frames(sent, b.INTERVAL_MS).select("stream", "sequence", "timestamp_ms", "flags", F.octet_length("packet").cast("long").alias("n_bytes"))
+
+
+@query
+def registry_snapshot(spark, sf):
+    counter = _commands(spark, sf).filter("kind = 'increment_counter'").agg(F.count("*").alias("counter"))
+    return membership.restore(membership.snapshot(topic_registry(spark, sf), broker_registry(spark, sf), counter))
+
+
 def _stream(spark, sf):
     """events as a stream, its time stamp in the session's zone."""
     schema = b.table(spark, sf, "events").schema

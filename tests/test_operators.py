@@ -1,6 +1,7 @@
 """Operators on small literal inputs."""
 
 import random
+import struct
 import zlib
 
 import pytest
@@ -219,6 +220,9 @@ def test_codecs(spark):
     assert [(r["frame"], None if r["payload"] is None else bytes(r["payload"]), r["error"]) for r in got] == [(0, b"ab", None), (1, b"", None), (2, None, "frame too large")]
     silence = spark.createDataFrame([([12000] * 160,), ([5] * 160,), ([],), ([199, 200],), ([200, 200],)], "s array<smallint>").select(scalars.is_silent(F.col("s"))).collect()
     assert [r[0] for r in silence] == [False, True, True, True, False]
+    pcm = [struct.pack("<160h", *[12000, -12000] * 80), struct.pack("<160h", *[5] * 160) + b"x", b"", b"z", struct.pack("<h", -32768)]
+    payload = spark.createDataFrame([(p,) for p in pcm], "p binary").select(scalars.silence_of_payload(F.col("p"))).collect()
+    assert [r[0] for r in payload] == [False, True, False, False, False]
 
 
 def test_config(spark):
