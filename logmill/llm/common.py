@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import sys
 import tempfile
@@ -20,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to Python in one Arrow batch, where the session doesn't say: texts are long.
+BATCH_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_of(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns (all, if none is named), in Arrow batches of a bounded number of texts."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY) == "10000":  # Spark's own default
+        conf.set(BATCH_KEY, str(BATCH_ROWS))
+    return df.select(*columns) if columns else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,11 +68,20 @@ def per_worker(key, make: Callable):
     """What ``make`` gave for this key, kept for later tasks of the same Python worker; one thing at a time."""
     store = sys.__dict__.setdefault("_logmill_per_worker", {})
     if key not in store:
-        store.clear()
+        if store:
+            store.clear()
+            release_memory()
         store[key] = make()
     return store[key]
 
 
+def release_memory() -> None:
+    """Gives memory that Python and Arrow have freed back to the machine, so that a worker that is kept is small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows, so that few texts are Python objects at once."""
     for batch in batches:

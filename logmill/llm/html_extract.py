@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, texts_of, written
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -215,7 +215,7 @@ def votes(pages: DataFrame, html_col: str = "html", url_col: str = "url", top: i
         if total:
             yield out()
 
-    return pages.select(url_col, html_col).mapInArrow(run, "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 1).alias("votes"))
+    return texts_of(pages, url_col, html_col).mapInArrow(run, "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 1).alias("votes"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -235,7 +235,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             texts = [Page(h or "").extract(w) for h, w in zip(batch.column(2).to_pylist(), best, strict=True)]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(best, pa.string())], names=[id_col, url_col, "text", "n_chars", "host_path"])
 
-    rows = pages.select(id_col, url_col, html_col)
+    rows = texts_of(pages, id_col, url_col, html_col)
     if known is None:
         host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
         rows = rows.withColumn("_host", host).join(winners.withColumnRenamed("host", "_host"), "_host", "left").select(id_col, url_col, html_col, "winner")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts
+from .common import byte_texts, texts_of
 
 #: Labelled phrases of the base scan.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -111,7 +111,7 @@ def template_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str
                     total.update(vocabulary.intersection(words(line)))
         yield pa.record_batch([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["token", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = texts_of(docs, text_col).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {bytes(r["token"]): r["n"] for r in rows}
 
 
@@ -153,7 +153,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
             names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[id_col, *names, "blocks"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA.replace("doc_id", id_col, 1) + ", blocks array<struct<line: long, label: string, containment: double>>")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, SCHEMA.replace("doc_id", id_col, 1) + ", blocks array<struct<line: long, label: string, containment: double>>")
 
 
 def _sql_list(items: list[str]) -> str:

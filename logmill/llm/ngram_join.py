@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, byte_texts, null_ids, with_ids, written
+from .common import NULL_ID, byte_texts, null_ids, slices, texts_of, with_ids, written
 from .components import components
-from .rolling import Roller, mix
+from .rolling import Roller, mix, roller
 
 N, PERCENT = 5, 75
 SKETCH_CELLS, SKETCH_SLICE = 1 << 20, 1 << 14
@@ -55,15 +55,15 @@ POSTINGS = "bucket long, tokens binary, docs binary, table binary"
 TABLE = np.dtype([("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("matches", "<i4"), ("size", "<i8"), ("hub", "<i8")])
 
 
-def shingles(text: bytes, roller: Roller, n: int = N) -> np.ndarray:
+def shingles(text: bytes, rolling: Roller, n: int = N) -> np.ndarray:
     """The distinct shingle hashes of a text, rising."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = roller.hashes(words)
+    h = rolling.hashes(words)
     if len(words) < n:
-        return mix(roller.windows(h, len(words)) + np.uint64(len(words)))
-    return np.unique(roller.windows(h, n))
+        return mix(rolling.windows(h, len(words)) + np.uint64(len(words)))
+    return np.unique(rolling.windows(h, n))
 
 
 def need(n, percent: int = PERCENT):
@@ -83,14 +83,14 @@ def signatures(docs: DataFrame, n: int = N, cells: int = SKETCH_CELLS) -> DataFr
     per task the slices of its part of the count sketch (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, sketch, step = Roller(), np.zeros(cells, np.uint32), min(SKETCH_SLICE, cells)
+        rolling, sketch, step = roller(), np.zeros(cells, np.uint32), min(SKETCH_SLICE, cells)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
         names = [x.split()[0] for x in SIGNATURE.split(", ")]
         pack = lambda rows: pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
-                s = shingles(text, roller, n)
+                s = shingles(text, rolling, n)
                 np.add.at(sketch, (s % np.uint64(cells)).astype(np.int64), 1)
                 sums = (int(mix(s).sum(dtype=np.uint64)), int((mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) * s).sum(dtype=np.uint64)))
                 a, b = (x - (1 << 64) if x >> 63 else x for x in sums)
@@ -132,12 +132,13 @@ def sketch_of(signed: DataFrame, cells: int = SKETCH_CELLS) -> np.ndarray:
 def prefix(s: np.ndarray, sketch: np.ndarray, floor: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The prefix of a set and the matches it asks for."""
     size = len(s)
-    count = sketch[(s % np.uint64(len(sketch))).astype(np.int64)].astype(np.int64)
-    s = s[np.lexsort((s, count))]
+    count = sketch[(s % np.uint64(len(sketch))).astype(np.int64)]
+    order = np.argsort(count, kind="stable")  # of equal counts the smaller hash comes first, as the set is rising
+    s, count = s[order], count[order].astype(np.int64)
     base = size - need(size, percent)
     most = min(MOST_MATCHES, need(size, percent))
-    listed = np.cumsum(np.maximum(np.sort(count)[: base + most] - floor, 0))
-    cost = [listed[base + m - 1] * (1 + VERIFY_COST / m) for m in range(1, most + 1)]
+    listed = np.cumsum(np.maximum(count[: base + most] - floor, 0))
+    cost = listed[base : base + most] * (1 + VERIFY_COST / np.arange(1, most + 1))
     matches = int(np.argmin(cost)) + 1
     return s[: base + matches], matches
 
@@ -181,14 +182,14 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCE
     """Those of the pairs (x, y) whose whole sets are similar enough, as edges (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, last, sets = Roller(), None, None
-        for batch in batches:
+        rolling, last, sets = roller(), None, None
+        for batch in slices(batches):
             ys, texts, others = batch.column(1).to_pylist(), byte_texts(batch.column(2)), byte_texts(batch.column(3))
             good = []
             for x_text, y_text in zip(texts, others, strict=True):
                 if y_text != last:
-                    last, sets = y_text, shingles(y_text, roller, n)
-                good.append(similar(shingles(x_text, roller, n), sets, percent))
+                    last, sets = y_text, shingles(y_text, rolling, n)
+                good.append(similar(shingles(x_text, rolling, n), sets, percent))
             keep = pa.array(good, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(keep), pa.array(ys, pa.int64()).filter(keep)], names=["u", "v"])
 
@@ -228,7 +229,7 @@ def matches(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent
     floor = int(np.median(sketch)) + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, sketch = Roller(), shared.value
+        rolling, sketch = roller(), shared.value
         tokens, owners, table, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -243,11 +244,11 @@ def matches(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent
                 rows.append((int(bucket[part[0]]), t[part].tobytes(), local.astype("<u4").tobytes(), about[used].tobytes()))
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["bucket", "tokens", "docs", "table"])
 
-        for batch in batches:
+        for batch in slices(batches):
             if known is not None:
                 batch = labelled(batch, known.value)
             for doc, text, comp, size, hub in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                s = shingles(text, roller, n)
+                s = shingles(text, rolling, n)
                 if not len(s):
                     continue
                 p, matches = prefix(s, sketch, floor, percent)
@@ -255,7 +256,7 @@ def matches(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent
                 owners.append(np.full(len(p), len(table), np.int64))
                 table.append((doc, comp, len(s), matches, size, hub))
                 held += len(p)
-                if held > 4_000_000:
+                if held > 1_500_000:
                     yield flush()
                     tokens, owners, table, held = [], [], [], 0
         if table:
@@ -341,11 +342,11 @@ def verified_blocks(xs: DataFrame, ys: DataFrame, docs: DataFrame, n: int = N, p
     placed = written(left.unionAll(right), "blocks")
 
     def compare(table: pa.Table) -> pa.Table:
-        roller = Roller()
+        rolling = roller()
         sides = np.array(table.column("side").to_pylist())
         ids = np.array(table.column("doc_id").to_pylist(), np.int64)
         comp = np.array(table.column("comp").to_pylist(), np.int64)
-        sets = [shingles(t, roller, n) for t in byte_texts(table.column("text").combine_chunks())]
+        sets = [shingles(t, rolling, n) for t in byte_texts(table.column("text").combine_chunks())]
         ys = np.flatnonzero(sides == 1)
         links: list[tuple[int, int]] = []
         if len(ys):
@@ -369,7 +370,7 @@ def verified_blocks(xs: DataFrame, ys: DataFrame, docs: DataFrame, n: int = N, p
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, cells: int = SKETCH_CELLS, buckets: int | None = None) -> DataFrame:
     """One row per document: its id, n_shingles, component_id (the smallest id that links reach)."""
     spark = docs.sparkSession
-    texts = with_ids(docs.select(id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = with_ids(texts_of(docs, id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(texts, n, cells), "signatures")
     sketch = sketch_of(signed, cells)
     each = signed.filter("kind = 0 AND n > 0")

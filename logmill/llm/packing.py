@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, texts_of
 from .tokens import blocks, encoder_of, read_spec
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -155,4 +155,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if (out := rows(packer.finish())) is not None:
             yield out
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA.replace("doc_id", id_col, 1))
+    return texts_of(docs, id_col, text_col).mapInArrow(run, SCHEMA.replace("doc_id", id_col, 1))

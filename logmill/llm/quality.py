@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import texts_of
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Ends of a line that count as punctuation, separators of menus, phrases of notices.
@@ -118,7 +120,7 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 cols = [pa.array([getattr(j, n) for j in found], pa.bool_() if n in ("base_failed", "kept") else pa.int64()) for n in names]
                 yield pa.record_batch([batch.column(0).cast(pa.int64()), *cols, pa.array([j.cleaned for j in found], pa.string())], names=[id_col, *names, "cleaned"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA.replace("doc_id", id_col, 1) + ", cleaned string")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, SCHEMA.replace("doc_id", id_col, 1) + ", cleaned string")
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -140,7 +142,7 @@ def clean_documents(docs: DataFrame, text_col: str = "text", length_col: str | N
                     columns[k] = pa.array([o if j.cleaned == t else len(j.cleaned) for o, t, j in zip(old, texts, found, strict=True)], batch.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([j.kept for j in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts_of(docs).mapInArrow(run, docs.schema)
 
 
 def oracle() -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import per_worker
+
 #: Odd multipliers; windows are hashed as polynomials in them, modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MOST_WORDS = 250_000
@@ -50,6 +52,11 @@ class Roller:
         return mix((total[length:] - total[:-length]) * self.inverse[which][: n - length + 1])
 
 
+def roller() -> Roller:
+    """This worker's roller."""
+    return per_worker("roller", Roller)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import texts_of
+
 #: Kind, pattern, whether ASCII letters match in either case, group and least length of it.
 BASE = (
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 12),
@@ -216,7 +218,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 arrays = [pa.array(c, pa.int64() if i < n_base else pa.string()) for i, c in enumerate(cols)]
                 yield pa.record_batch([batch.column(0).cast(pa.int64()), *arrays], names=[id_col, *counts, "base_sha256", "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, {', '.join(f'{c} long' for c in counts)}, base_sha256 string, spans string")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, f"{id_col} long, {', '.join(f'{c} long' for c in counts)}, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
@@ -254,4 +256,4 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None
                     columns[k] = pa.array([len(t) if f else o for t, f, o in zip(texts, spans, old, strict=True)], batch.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts_of(docs).mapInArrow(run, docs.schema)

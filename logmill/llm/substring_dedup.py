@@ -34,8 +34,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, null_ids, with_ids
-from .rolling import Roller
+from .common import byte_texts, null_ids, slices, texts_of, with_ids
+from .rolling import roller
 
 WINDOW = 50
 #: A perfect difference set; every residue modulo 31 is a difference of two of its members.
@@ -129,17 +129,17 @@ def duplicated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchor = window - period + 1
-    texts = with_ids(docs.select(id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = with_ids(texts_of(docs, id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, hs, ids, pos = Roller(), [], [], []
-        for batch in batches:
+        rolling, hs, ids, pos = roller(), [], [], []
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
                 words = text.split()
                 if len(words) < window:
                     continue
                 at = cover_positions(len(words) - anchor + 1, cover, period)
-                hs.append(roller.windows(roller.hashes(words), anchor)[at])
+                hs.append(rolling.windows(rolling.hashes(words), anchor)[at])
                 pos.append(at.astype(np.int32))
                 ids.append(np.full(len(at), doc, np.int64))
         if not hs:
@@ -174,7 +174,7 @@ def duplicated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ids, first, last = ranges(*_gather(found, 1, np.int64, np.int64, np.int64))
         rows: list[tuple] = []
         if len(ids):
-            roller, h1s, h2s, docs, at = Roller(), [], [], [], []
+            rolling, h1s, h2s, docs, at = roller(), [], [], [], []
             span = _spans(ids)
             for doc, ordinal, text in _rows_in_order(texts):
                 if doc not in span:
@@ -186,9 +186,9 @@ def duplicated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 np.add.at(mask, np.clip(last[a:b] + 1, 0, len(mask) - 1), -1)
                 starts_in = np.flatnonzero(np.cumsum(mask[:-1]) > 0)
                 if len(starts_in):
-                    h = roller.hashes(words)
-                    h1s.append(roller.windows(h, window, 0)[starts_in])
-                    h2s.append((roller.windows(h, window, 1)[starts_in] >> np.uint64(32)).astype(np.uint32))
+                    h = rolling.hashes(words)
+                    h1s.append(rolling.windows(h, window, 0)[starts_in])
+                    h2s.append((rolling.windows(h, window, 1)[starts_in] >> np.uint64(32)).astype(np.uint32))
                     docs.append(np.full(len(starts_in), doc, np.int64))
                     at.append(starts_in + (ordinal << ORDINAL))
             if h1s:

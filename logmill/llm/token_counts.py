@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import per_worker, slices
+from .common import per_worker, slices, texts_of
 from .tokens import Recent, blocks, cutter, is_byte_level, read_spec
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -103,4 +103,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA.replace("doc_id", id_col, 1))
+    return texts_of(docs, id_col, text_col).mapInArrow(run, SCHEMA.replace("doc_id", id_col, 1))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shared_fs, slices, written
+from .common import scratch_path, shared_fs, slices, texts_of, written
 from .tokens import blocks, encoder_of, read_spec
 
 MAGIC = b"LMTOKEN1"
@@ -200,7 +200,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         fs.move(f"{path}/_{own}", f"{path}/shard-{shard:06d}-{own}.tok")
         yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([f"shard-{shard:06d}-{own}.tok"]), pa.array([len(writer.ends)], pa.int64()), pa.array([writer.total], pa.int64())], names=["shard", "name", "n_docs", "n_tokens"])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(shards, id_col).sortWithinPartitions(id_col, text_col)
+    ordered = texts_of(docs).select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(shards, id_col).sortWithinPartitions(id_col, text_col)
     done = written(ordered.mapInArrow(run, "shard long, name string, n_docs long, n_tokens long"), "manifest")
     rows, start, out = sorted(done.collect(), key=lambda r: r["shard"]), 0, []
     for r in rows:
