@@ -7,12 +7,15 @@
    matrix W, A'(A W) is summed over the tasks, and the Nystroem formula gives the first right singular vectors
    and values from that one pass. Its size depends on the benchmark and RANK only.
 3. Search: documents are looked at in windows of three sizes that overlap by half, so an item lies whole in a
-   window of at most twice the next power of two of its length. Window and item vectors are folded in (scaled by the
-   inverse singular values); a window within COSINE of an item is a candidate.
+   window of at most twice the next power of two of its length. An item is indexed under the places of its
+   rarest words: PARAPHRASE of all its places in a window leave at least k of any (places - needed + k) in it, so a
+   window with less is no leak, and no other window is left out (prefix filter with k matches).
 4. Candidates are checked: the longest common subsequence of item and window (bit-parallel, exact, on word
    ids) must hold NEAR of the item's words; or PARAPHRASE of them if also ANSWER of the item's answer, its last
-   quarter of words, stands in order in the window. Items without any weighted word are checked against every
-   window.
+   quarter of words, stands in order in the window. So all windows that pass are found, at any size of the benchmark
+   and for items of stop words too.
+5. Findings have the cosine of window and item, folded in (scaled by the inverse singular values). It tells windows
+   with the same count apart and drops none.
 
 The benchmark is what is broadcast; MOST_ITEM_WORDS bounds it. The texts are read once; ids go to the shared
 folder. Nothing is shuffled but sums and findings, so no document, source or passage can skew a task.
@@ -23,6 +26,7 @@ are reported each; items without words are ignored; empty tables give no rows; f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +38,14 @@ from .common import slices, texts_of, written
 from .licenses import words
 
 BLOCK, PASSAGE = 16, 64
-STOP, RANK, COSINE = 200, 192, 0.35
+STOP, RANK = 200, 192
 NEAR, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
+#: Of the places that a leak needs, those that must stand among the indexed ones. Any value finds the same leaks.
+INDEXED = 0.3
 MOST_ITEM_WORDS = 2_000_000
-#: Words of documents whose windows are vectors at one time.
+#: Words of documents that are searched at one time, and index entries of their windows.
 SEARCHED_WORDS = 40_000
+MOST_ENTRIES = 4_000_000
 SEED = 11
 FOUND = "doc_id long, item_id long, start_word long, n_words long, cosine double, lcs long, item_words long, answer double"
 
@@ -71,6 +78,7 @@ class Item:
     def __init__(self, item_id, ids: list[int]):
         self.item_id, self.ids, self.size = item_id, ids, len(ids)
         self.masks = masks(ids)
+        self.need = next(k for k in range(self.size + 1) if k >= PARAPHRASE * self.size)
         tail = ids[-max(1, -(-len(ids) // 4)) :]
         self.answer, self.n_answer = masks(tail), len(tail)
         self.blocks = 1  # of a half window
@@ -79,7 +87,7 @@ class Item:
 
     def check(self, window: list[int]) -> tuple[int, float] | None:
         lcs = common_length(self.masks, self.size, window)
-        if lcs < PARAPHRASE * self.size:
+        if lcs < self.need:
             return None
         answer = common_length(self.answer, self.n_answer, window) / self.n_answer
         return (lcs, answer) if lcs >= NEAR * self.size or answer >= ANSWER else None
@@ -218,67 +226,78 @@ def singular_vectors(ranged: np.ndarray, seed: int = SEED) -> np.ndarray:
     return (u / np.maximum(s, 1e-9)).astype(np.float32)
 
 
+class Postings:
+    """Items of one window size under their rarest words: for a word, items and the number of its indexed places."""
+
+    def __init__(self, items: list[Item], own: list[int], count: np.ndarray):
+        self.own, words_of, items_of = np.array(own, np.int64), [], []
+        self.least = np.zeros(len(own), np.int64)
+        for j, i in enumerate(own):
+            item = items[i]
+            k = max(1, math.ceil(INDEXED * item.need))
+            rare = sorted(item.ids, key=lambda w: (count[w], w))[: item.size - item.need + k]
+            self.least[j] = k
+            words_of += rare
+            items_of += [j] * len(rare)
+        code, self.places = np.unique(np.array(words_of, np.int64) * len(own) + np.array(items_of, np.int64), return_counts=True)
+        self.item = code % len(own)
+        self.start = np.searchsorted(code // len(own), np.arange(len(count) + 1))
+        self.degree = np.diff(self.start)
+
+    def candidates(self, window: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and their items that hold enough of the indexed places; (window, word): distinct, by window."""
+        windows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ends = np.flatnonzero(np.r_[window[1:] != window[:-1], True]) + 1 if len(window) else window
+        entries, a = np.cumsum(self.degree[word]), 0
+        while a < len(window):
+            z = int(ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(entries[ends - 1], MOST_ENTRIES + (entries[a - 1] if a else 0), "right") - 1)])
+            degree = self.degree[word[a:z]]
+            at = np.repeat(self.start[word[a:z]] - (np.cumsum(degree) - degree), degree) + np.arange(int(degree.sum()))
+            cell, back = np.unique(np.repeat(window[a:z], degree) * len(self.own) + self.item[at], return_inverse=True)
+            hit = cell[np.bincount(back, self.places[at], len(cell)) >= self.least[cell % len(self.own)]]
+            windows.append(hit // len(self.own))
+            items.append(self.own[hit % len(self.own)])
+            a = z
+        return np.concatenate(windows), np.concatenate(items)
+
+
 class Searcher:
-    def __init__(self, rows: list[tuple], weight: np.ndarray, vectors: np.ndarray, cosine: float):
-        self.items, self.cosine = Benchmark(rows).items, cosine
-        self.weight, self.fold = weight, vectors * weight[:, None]
-        self.member = np.zeros((len(self.items), len(weight)), np.bool_)
-        latent = np.zeros((len(self.items), self.fold.shape[1]), np.float32)
-        for i, item in enumerate(self.items):
-            self.member[i, item.ids] = True
-            latent[i] = self.fold[item.ids].sum(axis=0)
-        norm = np.linalg.norm(latent, axis=1)
-        self.blind = [i for i in range(len(self.items)) if norm[i] < 1e-6]
-        self.latent = latent / np.maximum(norm, 1e-9)[:, None]
-        self.sizes: dict[int, np.ndarray] = {}
+    def __init__(self, rows: list[tuple], count: np.ndarray, weight: np.ndarray, vectors: np.ndarray):
+        self.items, self.n = Benchmark(rows).items, len(weight)
+        self.fold = vectors * weight[:, None]
+        latent = np.stack([self.fold[item.ids].sum(axis=0) for item in self.items])
+        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+        self.sizes: dict[int, Postings] = {}
         for blocks in sorted({x.blocks for x in self.items}):
-            self.sizes[blocks] = np.array([i for i, x in enumerate(self.items) if x.blocks == blocks and i not in set(self.blind)], np.int64)
-
-    def windows(self, n_blocks: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-        first = np.arange(0, max(1, n_blocks - blocks), blocks)
-        return first, np.minimum(first + 2 * blocks, n_blocks)
+            self.sizes[blocks] = Postings(self.items, [i for i, x in enumerate(self.items) if x.blocks == blocks], count)
 
     def search(self, docs: list[np.ndarray]) -> list[list[tuple[int, int, int, float, int, float]]]:
         """Per document its best finding of each item: (item, start, words, cosine, lcs, answer)."""
-        n_blocks = np.array([-(-len(d) // BLOCK) for d in docs])
-        base = np.r_[0, np.cumsum(n_blocks)]
-        table = np.zeros((int(base[-1]) + 1, self.fold.shape[1]), np.float32)
-        for d, b in zip(docs, base.tolist(), strict=False):
-            at = np.flatnonzero(self.weight[d] > 0)
-            if len(at):
-                block = at // BLOCK
-                starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                table[b + block[starts] + 1] = np.add.reduceat(self.fold[d[at]], starts, axis=0)
-        np.cumsum(table, axis=0, out=table)
+        lengths = np.array([len(d) for d in docs])
+        n_blocks = -(-lengths // BLOCK)
+        word = np.concatenate(docs).astype(np.int64)
+        owner = np.repeat(np.arange(len(docs)), lengths)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         found: list[list] = [[] for _ in docs]
-        for blocks, own in self.sizes.items():
-            firsts, lasts, owner = [], [], []
-            for k, nb in enumerate(n_blocks.tolist()):
-                if nb:
-                    a, z = self.windows(nb, blocks)
-                    firsts.append(a + base[k])
-                    lasts.append(z + base[k])
-                    owner.append(np.full(len(a), k))
-            if not firsts or not len(own):
-                continue
-            first, last, owner_of = np.concatenate(firsts), np.concatenate(lasts), np.concatenate(owner)
-            vectors = table[last] - table[first]
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)[:, None]
-            cosines = vectors @ self.latent[own].T
-            for w, j in zip(*np.nonzero(cosines >= self.cosine), strict=True):
-                k = int(owner_of[w])
-                self._check(docs[k], int(own[j]), (int(first[w]) - int(base[k])) * BLOCK, (int(last[w]) - int(base[k])) * BLOCK, float(cosines[w, j]), found[k])
-        for i in self.blind:
-            for k, nb in enumerate(n_blocks.tolist()):
-                for a, z in zip(*self.windows(nb, self.items[i].blocks), strict=True) if nb else ():
-                    self._check(docs[k], i, int(a) * BLOCK, int(z) * BLOCK, 0.0, found[k])
+        for blocks, postings in self.sizes.items():
+            size = blocks * BLOCK  # of a half; a window is a half and the next one
+            windows = np.where(n_blocks > 0, np.maximum(1, -(-n_blocks // blocks) - 1), 0)
+            base = np.cumsum(windows) - windows
+            some = postings.degree[word] > 0
+            half, own, w = place[some] // size, owner[some], word[some]
+            first, second = half < windows[own], half > 0
+            code = np.unique(np.r_[(base[own] + half)[first], (base[own] + half - 1)[second]] * self.n + np.r_[w[first], w[second]])
+            for window, i in zip(*postings.candidates(code // self.n, code % self.n), strict=True):
+                k = int(np.searchsorted(base, window, "right")) - 1
+                self._check(docs[k], int(i), int(window - base[k]) * size, found[k])
         return [self._best(f) for f in found]
 
-    def _check(self, doc: np.ndarray, i: int, a: int, z: int, cosine: float, found: list) -> None:
-        window, item = doc[a:z], self.items[i]
-        if np.count_nonzero(self.member[i][window]) < PARAPHRASE * item.size:
-            return  # fewer common words than a subsequence needs
+    def _check(self, doc: np.ndarray, i: int, a: int, found: list) -> None:
+        item = self.items[i]
+        window = doc[a : a + 2 * item.blocks * BLOCK]
         if (hit := item.check(window.tolist())) is not None:
+            vector = self.fold[window].sum(axis=0)
+            cosine = float(vector @ self.latent[i]) / max(float(np.linalg.norm(vector)), 1e-6)
             found.append((i, a, len(window), cosine, *hit))
 
     @staticmethod
@@ -290,7 +309,7 @@ class Searcher:
         return [best[i] for i in sorted(best)]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:
     """One row (FOUND) per document and benchmark item that leaked into it: the window with the most of it."""
     spark = docs.sparkSession
     context = spark.sparkContext
@@ -307,12 +326,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     (count,) = [np.frombuffer(r["blob"], "<i8") for r in _sum_blobs(ids.filter("kind = 1").select(F.lit(0).alias("slice"), F.col("ids").alias("blob")), "<i8").collect()] or [np.zeros(known.n, np.int64)]
     weight = weights(count)
     ids = ids.filter("kind = 0")
-    shared = context.broadcast(weight)
+    shared, counted = context.broadcast(weight), context.broadcast(count)
     vectors = context.broadcast(singular_vectors(range_sums(ids, shared, min(rank, known.n))))
     items = context.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(items.value, shared.value, vectors.value, cosine)
+        searcher = Searcher(items.value, counted.value, shared.value, vectors.value)
         for batch in slices(batches):
             keys, docs, held, out = [], [], 0, []
 

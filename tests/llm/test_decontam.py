@@ -1,6 +1,8 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -101,3 +103,47 @@ def test_odd_rows(spark):
     assert kept.columns == odd(spark).columns and kept.count() == odd(spark).count() - 1
     assert re.match(r"doc_id", find_leaks(odd(spark), items.filter("item_id = 2")).columns[0])
     assert decontam.RANK > 0
+
+
+def test_no_accepted_window_is_lost(spark, sf):
+    """Items of a larger benchmark, whole or with many words changed, at random places of long documents."""
+    rng = random.Random(5)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"]]
+    long = [t.split() for t in texts if len(t.split()) > 150]
+    items = []
+    for k in range(400):
+        body = rng.choice(long)
+        a = rng.randrange(len(body) - 60)
+        items.append((k, " ".join(body[a : a + rng.randrange(15, 60)])))
+    items.append((400, " ".join(w for w, _ in Counter(w for t in texts for w in t.lower().split()).most_common(20))))  # stop words
+    docs, want = [(k, t) for k, t in enumerate(texts)], set()
+    for k, (item_id, text) in enumerate(items * 3):
+        w = text.split()
+        for i in rng.sample(range(len(w)), len(w) * (0, 1, 3)[k // len(items)] // 8):
+            w[i] = rng.choice(rng.choice(long))
+        body = rng.choice(long)
+        cut = rng.randrange(len(body))
+        docs.append((100_000 + k, " ".join(body[:cut] + w + body[cut:])))
+        item, words = decontam.Item(item_id, text_words(text)), text_words(docs[-1][1])
+        half = item.blocks * decontam.BLOCK
+        if any(item.check(words[a : a + 2 * half]) for a in range(0, len(words), half)[: max(1, -(-len(words) // half) - 1)]):
+            want.add((docs[-1][0], item_id))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 900 and not want - {(r["doc_id"], r["item_id"]) for r in found}
+    assert all(-1.001 <= r["cosine"] <= 1.001 for r in found)
+
+
+def test_index_entries_in_parts(monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(str(min(rng.randrange(40), rng.randrange(40))) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    known = decontam.Benchmark(rows)
+    count = np.array([1000, *(rng.randrange(50) for _ in range(known.n - 1))])
+    docs = [np.array([rng.randrange(known.n) for _ in range(rng.choice([0, 5, 60, 400]))], np.uint32) for _ in range(40)]
+    docs += [np.array(known.items[i].ids, np.uint32) for i in range(0, 60, 7)]
+    search = lambda: decontam.Searcher(rows, count, np.ones(known.n, np.float32), np.eye(known.n, dtype=np.float32)).search(docs)
+    got = search()
+    want = [{i for i, item in enumerate(known.items) for a in range(0, max(1, -(-len(d) // 16) - item.blocks) * 16 if len(d) else 0, item.blocks * 16) if item.check(d[a : a + 32 * item.blocks].tolist())} for d in docs]
+    assert [{f[0] for f in found} for found in got] == want and sum(map(len, want)) > 9
+    monkeypatch.setattr(decontam, "MOST_ENTRIES", 3)
+    assert search() == got
