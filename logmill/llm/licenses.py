@@ -1,10 +1,12 @@
-"""License scan: an exact set-similarity join of text blocks (lines) with license templates by containment.
+"""License scan: an exact set-similarity join of text blocks with license templates by containment. Blocks are the
+lines, and across line ends the runs of words of a template's length, so hard-wrapped notices are found too.
 
 Tokens are ordered by their frequency in all blocks of the corpus, the rarest first. A template is indexed
 under its prefix, the rarest |T| - ceil(t |T|) + 1 tokens: a block that holds at least t of the template must
 hold one of them (prefix filter). A block with too few tokens is skipped (length filter), and from the place
 of the first common token in both orders the overlap still possible is bounded (positional filter). What
-remains is verified, so exactly the blocks with containment >= t are found.
+remains is verified, so exactly the blocks with containment >= t are found. Runs are only looked at for templates
+that the whole text holds to t.
 
 The templates are a parameter and the only thing that is sent to the executors; MOST_TEMPLATE_TOKENS bounds
 them. The corpus is read twice (frequencies, join) and never shuffled; the frequencies that are gathered are
@@ -17,7 +19,7 @@ tables give no rows; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,6 +69,7 @@ class TemplateIndex:
 
     def __init__(self, templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int], threshold: float):
         sets = [(label, set(words(text.encode()))) for label, text in templates]
+        self.span = [math.ceil(len(words(text.encode())) / threshold - 1e-9) for _, text in templates]
         order = sorted(set().union(*(s for _, s in sets)), key=lambda t: (frequency.get(t, 0), t))
         self.rank = {t: i for i, t in enumerate(order)}
         self.labels = [label for label, _ in sets]
@@ -80,6 +83,10 @@ class TemplateIndex:
 
     def matches(self, block: list[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of each template that the block's words hold to the threshold."""
+        return [(self.labels[i], overlap / len(self.tokens[i])) for i, overlap in self.hits(block)]
+
+    def hits(self, block: list[bytes]) -> list[tuple[int, int]]:
+        """(template, number of its words in the block) of the same."""
         if self.prefix.isdisjoint(block):
             return []
         distinct = set(block)
@@ -96,9 +103,35 @@ class TemplateIndex:
                     continue
                 overlap = sum(r in place for r in self.tokens[i])
                 if overlap >= need:
-                    found.append((self.labels[i], overlap / size))
+                    found.append((i, overlap))
         return found
 
+    def runs(self, block: list[bytes], i: int) -> Iterator[tuple[int, int, int]]:
+        """(first, last, overlap): of each stretch of runs of span words that hold template i, the one with most of it."""
+        own, span, need = set(self.tokens[i]), self.span[i], self.need[i]
+        held: Counter = Counter()
+        inside: deque[tuple[int, int]] = deque()
+        best = None
+        for at, word in enumerate(block):
+            r = self.rank.get(word)
+            if r not in own:
+                continue
+            inside.append((at, r))
+            held[r] += 1
+            while at - inside[0][0] >= span:
+                _, gone = inside.popleft()
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+            if len(held) >= need:
+                if best is not None and inside[0][0] > best[1]:
+                    yield best
+                    best = None
+                if best is None or len(held) > best[2]:
+                    best = (inside[0][0], at, len(held))
+        if best is not None:
+            yield best
+
 
 def template_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, int]:
     """In how many blocks of the whole corpus each template token stands; a row a token comes to the driver."""
@@ -116,7 +149,7 @@ def template_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row (SCHEMA) and ``blocks``: the found blocks as (line number, label, containment). score: the highest
+    """Per row (SCHEMA) and ``blocks``: the found blocks as (number of the first line, label, containment). score: the highest
     containment; 1 where a labelled phrase stands."""
     vocabulary = set(words(" ".join(t for _, t in templates).encode()))
     if not templates or len(vocabulary) > MOST_TEMPLATE_TOKENS:
@@ -129,11 +162,19 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             for text in byte_texts(batch.column(1)):
-                n, at, all_words, blocks = 0, [], [], []
+                n, at, all_words, blocks, lines, held = 0, [], [], [], [], {}
                 for number, line in enumerate(text.split(b"\n")):
                     block = words(line)
-                    blocks += [(number, label, score) for label, score in index.matches(block)]
+                    for i, overlap in index.hits(block):
+                        blocks.append((number, index.labels[i], overlap / len(index.tokens[i])))
+                        held[number, i] = overlap
                     all_words += block
+                    lines += [number] * len(block)
+                for i, _ in index.hits(all_words) if lines and lines[0] < lines[-1] else ():
+                    for first, last, overlap in index.runs(all_words, i):
+                        a, z = lines[first], lines[last]
+                        if a < z and all(held.get((k, i), 0) < overlap for k in range(a, z + 1)):
+                            blocks.append((a, index.labels[i], overlap / len(index.tokens[i])))
                 n = len(all_words)
                 joined, base, places = b" " + b" ".join(all_words) + b" ", set(), 0
                 for probe, label in probes:
@@ -161,7 +202,7 @@ def _sql_list(items: list[str]) -> str:
 
 
 def oracle() -> str:
-    """The same rows by comparing every block with every template."""
+    """The same rows by comparing every line with every template; it has no blocks across line ends."""
     rows = ", ".join(f"('{label}', {_sql_list(sorted(w.decode() for w in set(words(text.encode()))))})" for label, text in TEMPLATES)
     probes = ", ".join(f"('{label}', {_sql_list(p.split())})" for p, label in PHRASES)
     upper, word = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

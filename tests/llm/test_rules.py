@@ -134,3 +134,22 @@ def test_labelled_junk_goes_and_clean_stays(spark, sf):
 def test_bad_templates():
     with pytest.raises(ValueError):
         licenses.scan_licenses(None, templates=())
+
+
+def test_wrapped_licenses(spark):
+    """Every template, hard-wrapped and with comment marks, as file headers have them."""
+    import textwrap
+
+    texts = []
+    for _, text in licenses.TEMPLATES:
+        for width, mark in ((72, ""), (40, "# "), (25, " * ")):
+            texts.append("Some words before.\n\n" + "\n".join(mark + line for line in textwrap.wrap(text, width)) + "\n\nand some after")
+    texts.append("This program is\nfree\n\n" + "filler words\n" * 60 + "under the terms of the GNU General Public License as published by the Free Software Foundation")
+    texts.append("\n".join(textwrap.wrap(licenses.TEMPLATES[2][1], 60)) + "\nfiller" * 99 + "\n" + "\n".join(textwrap.wrap(licenses.TEMPLATES[2][1], 60)))
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r for r in rows}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        for i in range(3 * k, 3 * k + 3):
+            assert label in got[i]["labels"].split(",") and got[i]["score"] == 1, texts[i]
+    assert got[3 * len(licenses.TEMPLATES)]["labels"] == ""
+    assert [b["label"] for b in got[3 * len(licenses.TEMPLATES) + 1]["blocks"]] == ["mit", "mit"]
