@@ -1,8 +1,9 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by their running text (links count against them, semantic tags and names for
-them). A page votes for the generalised paths (tags with their classes, digits masked) of its best containers;
-votes are summed per host in Spark. Pages are then extracted from the container at their host's winning path,
+them; text counts for all containers around it, a little less at each level). A container stands for the article or main
+around it, or the parents that have running text of their own, so headline, lead and sections stay together. A page
+votes for the generalised paths (tags with their classes, digits masked) of its best containers so widened; votes are summed per host in Spark. Pages are then extracted from the container at their host's winning path,
 or from their own best container where the page hasn't that path.
 
 The text is what stands in the container without menus, headers, footers, sidebars, notices, adverts, forms,
@@ -47,6 +48,9 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu
 NOISE_NAMES = frozenset("nav navbar navigation menu header footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus respond reply replies share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget newsletter subscribe subscription login signup search toolbar masthead copyright skip".split())
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
 MOST_BROADCAST = 200_000
+#: What counts of a text one container further up, and where that is the whole page.
+DECAY, PAGE_DECAY = 0.9, 0.5
+WHOLE = frozenset(("", "html", "body"))
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
@@ -150,24 +154,38 @@ class Page:
             if self.tag[node] not in ("script", "style", "template", "noscript"):
                 self.noise[node] = False
         self.container, self.link = [0] * len(self.tag), [False] * len(self.tag)
+        self.article, self.main = [0] * len(self.tag), [0] * len(self.tag)
         for n in range(1, len(self.tag)):
             p = self.parent[n]
             self.noise[n] = self.noise[n] or self.noise[p]
             self.container[n] = n if self.tag[n] in CONTAINERS else self.container[p]
             self.link[n] = self.tag[n] == "a" or self.link[p]
+            self.article[n] = self.article[p] or (n if self.tag[n] == "article" else 0)
+            self.main[n] = self.main[p] or (n if self.tag[n] == "main" else 0)
+        self.direct: dict[int, float] = defaultdict(float)
+        for node, text in self.texts:
+            if not self.noise[node] and (size := len(text.strip())):
+                self.direct[self.container[node]] += -size if self.link[node] else size
 
     def scores(self) -> dict[int, float]:
-        """Of the containers: running text below, less link text; half of it counts for the container above."""
+        """Of the containers: running text below, less link text, DECAY of it at each level up."""
         own: dict[int, float] = defaultdict(float)
-        for node, text in self.texts:
-            if not self.noise[node] and (size := len(text.strip())):
-                c = self.container[node]
-                value = -size if self.link[node] else size
+        for c, value in self.direct.items():
+            own[c] += value
+            while c:
+                c = self.container[self.parent[c]]
+                value *= PAGE_DECAY if self.tag[c] in WHOLE else DECAY
                 own[c] += value
-                if c:
-                    own[self.container[self.parent[c]]] += value / 2
         return {c: v * self.good[c] for c, v in own.items() if v > 0}
 
+    def widened(self, c: int) -> int:
+        """The outermost article around c, else the main; else c or its highest parent in a row with text of its own."""
+        if found := self.article[c] or self.main[c]:
+            return found
+        while c and self.tag[up := self.container[self.parent[c]]] not in WHOLE and self.direct.get(up, 0) > 0:
+            c = up
+        return c
+
     def best(self) -> int | None:
         found = self.scores()
         return min(found, key=lambda c: (-found[c], c)) if found else None
@@ -179,10 +197,10 @@ class Page:
         return " ".join(unescape("".join(t for n, t in self.texts if inside[n] and not self.noise[n])).split())
 
     def extract(self, winner: str | None) -> str:
-        roots = {n for n in range(1, len(self.tag)) if self.path[n] == winner and not self.noise[n]} if winner else set()
+        roots = {self.widened(n) for n in range(1, len(self.tag)) if self.path[n] == winner and not self.noise[n]} if winner else set()
         text = self.text(roots) if roots else ""
         if not text and (best := self.best()) is not None:
-            text = self.text({best})
+            text = self.text({self.widened(best)})
         return text
 
 
@@ -208,7 +226,7 @@ def votes(pages: DataFrame, html_col: str = "html", url_col: str = "url", top: i
                 every, host = sum(found.values()), host_of(url)
                 for c in sorted(found, key=lambda c: (-found[c], c))[:top]:
                     if c:
-                        total[host, page.path[c]] += round(found[c] / every, 3)
+                        total[host, page.path[page.widened(c)]] += round(found[c] / every, 3)
             if len(total) > 100_000:
                 yield out()
                 total.clear()

@@ -76,3 +76,26 @@ def test_hosts_agree(spark):
 
 def test_host():
     assert [host_of(u) for u in ("https://u:p@WWW.a.B:80/c", "mailto:x", None, "http://x?y")] == ["www.a.b", "", "", "x"]
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div", "div class='page'", "section"])
+@pytest.mark.parametrize("inner", ["div", "div class=content", "div class='article-body text'"])
+def test_headline_and_lead_stay(spark, outer, inner):
+    body = " ".join([STORY.replace("<here>", "here")] * 6)
+    html = f"<body><div class=nav><a href=x>A</a></div><{outer}><h1>The headline</h1><p>A short lead.</p><{inner}><p>{body}</p></div></{outer.split()[0]}><footer>(c)</footer></body>"
+    want = f"The headline A short lead. {body}"
+    html = html.replace("& ", "&amp; ")
+    assert Page(html).extract(None) == want
+    if outer in ("article", "div"):
+        rows = spark.createDataFrame([(i, f"http://h/{i}", html) for i in range(3)], "page_id long, url string, html string")
+        assert {r["text"] for r in extract_pages(rows).collect()} == {want}
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_sections_stay(spark, outer):
+    text = "Running text of this part that goes on for a good while and ends. " * 4
+    html = f"<body><{outer}><section class=intro><p>{text}</p></section><section class=middle><div><div><p>{text * 3}</p></div></div></section><section class=close><p>{text}</p></section></{outer}></body>"
+    want = " ".join((text * 5).split())
+    assert Page(html).extract(None) == want
+    rows = spark.createDataFrame([(i, f"http://h/{i}", html) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in extract_pages(rows).collect()} == {want}
