@@ -406,9 +406,10 @@ def registry_snapshot(spark, sf):
 
 
 def _stream(spark, sf):
-    """events as a stream, its time stamp in the session's zone."""
+    """events as a stream, its time stamp in the session's zone. All files are one batch: with more, the rows of a later file
+    that are older than the watermark of those before would be dropped as late."""
     schema = b.table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 64)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     is_folder = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
     folder = is_folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(is_folder).isDirectory()
     stream = raw.load(f"{sf}/events.parquet", format="parquet") if folder else raw.option("pathGlobFilter", "events.parquet").load(sf, format="parquet")
