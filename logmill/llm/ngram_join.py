@@ -397,7 +397,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     members = labels.filter("copy = 0").select(F.col("component").alias("comp"), F.col("node").alias("doc_id"), "hub").join(reps_n, "doc_id")
     single = found.filter("size = 1").select("x", F.col("comp").alias("y"))
     several = found.filter(F.col("size").between(2, SMALL)).join(members, "comp").select("x", F.col("doc_id").alias("y"))
-    large = found.filter(F.col("size") > SMALL).select(F.col("comp").alias("group"), F.col("x").alias("doc_id"), F.lit(NULL_ID).alias("comp")).join(reps_n, "doc_id")
+    large = found.filter(F.col("size") > SMALL).select(F.col("comp").alias("group"), F.col("x").alias("doc_id"), F.col("x").alias("comp")).join(reps_n, "doc_id")
     by_comp = members.select(F.col("comp").alias("group"), "doc_id", "comp", "n")
     by_hub = members.select(F.col("hub").alias("group"), "doc_id", "comp", "n")
     most = by_hub.groupBy("group", "comp").count().groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("_most"), F.sum("count").alias("_all"))

@@ -125,3 +125,21 @@ def test_components(spark):
         a, b = sorted((root(a), root(b)))
         parent[b] = a
     assert {n: got.get(n, n) for n in parent} == {n: root(n) for n in parent}
+
+
+def test_large_component_of_the_null_id(spark, monkeypatch):
+    """A link to it that only the exact round finds: the first round's links of document 2 are dropped."""
+    from logmill.llm import ngram_join
+
+    base, calls, plain = [f"w{i}" for i in range(400)], [], ngram_join.verified
+    rows = [(None, " ".join(base)), (1, " ".join([*base[:-1], "x"])), (2, " ".join([*base[:-1], "y"]))]
+
+    def verified(*args):
+        calls.append(1)
+        out = plain(*args)
+        return out.filter("u <> 2 AND v <> 2") if len(calls) == 1 else out
+
+    monkeypatch.setattr(ngram_join, "verified", verified)
+    monkeypatch.setattr(ngram_join, "SMALL", 1)
+    got = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3 and {r["component_id"] for r in got} == {None}
