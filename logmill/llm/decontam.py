@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, written
+from .common import NULL_ID, slices, texts_of, written
 from .licenses import words
 
 BLOCK, PASSAGE = 16, 64
@@ -357,7 +357,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` into which no item leaked. Rows that share an id go together; rows without id stay."""
-    leaks = written(find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).filter("_leak IS NOT NULL").distinct(), "leaks")
+    """The rows of ``docs`` into which no item leaked. Rows that share an id go together, and so do rows without id."""
+    leaks = written(find_leaks(docs, benchmark, id_col, text_col).select(F.coalesce(id_col, F.lit(NULL_ID)).alias("_leak")).distinct(), "leaks")
     small = leaks.count() <= most_broadcast
-    return docs.join(F.broadcast(leaks) if small else leaks, F.col(id_col) == F.col("_leak"), "left_anti")
+    return docs.join(F.broadcast(leaks) if small else leaks, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("_leak"), "left_anti")

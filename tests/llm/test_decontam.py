@@ -134,6 +134,12 @@ def test_no_accepted_window_is_lost(spark, sf):
     assert all(-1.001 <= r["cosine"] <= 1.001 for r in found)
 
 
+def test_leaked_document_without_id_goes(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "so alpha beta gamma delta epsilon it is"), (1, "another text"), (2, "alpha beta gamma delta epsilon")], "doc_id long, text string")
+    assert [r["doc_id"] for r in without_leaks(docs, items).collect()] == [1]
+
+
 def test_index_entries_in_parts(monkeypatch):
     rng = random.Random(3)
     rows = [(i, " ".join(str(min(rng.randrange(40), rng.randrange(40))) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
