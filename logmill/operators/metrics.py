@@ -65,15 +65,17 @@ def throughput(df: DataFrame, by: str, ms: str) -> DataFrame:
 
 def span_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
     """spans: (trace_id, span_id, parent_span_id (0: a root), start_ms, end_ms). Adds depth and duration, level by level:
-    each level is an equi-join of the spans with the level above."""
+    each level is an equi-join of the spans with the level above. Spans deeper than max_depth levels are an error."""
     level = spans.filter("parent_span_id = 0").withColumn("depth", F.lit(0))
     out, depth = level, 0
-    while depth < max_depth:
+    while True:
         above = level.select("trace_id", F.col("span_id").alias("parent_span_id"))
         depth += 1
         level = spans.filter("parent_span_id <> 0").join(above, ["trace_id", "parent_span_id"], "left_semi").withColumn("depth", F.lit(depth))
         if level.isEmpty():
             break
+        if depth > max_depth:
+            raise ValueError(f"spans lie deeper than max_depth = {max_depth} levels")
         out = out.unionByName(level)
     return out.withColumn("duration_ms", F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)))
 

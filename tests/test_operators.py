@@ -228,3 +228,12 @@ def test_codecs(spark):
 def test_config(spark):
     lines = spark.createDataFrame(list(enumerate(["# comment", "", "port=9092", "name = broker-1", "enabled=true", "port=1"])), "line_no int, line string")
     assert rows(with_environment(parse_config(lines), {"name": "env"})) == [("enabled", "true"), ("name", "env"), ("port", "1")]
+
+
+def test_deep_spans_are_an_error(spark):
+    from logmill.operators import metrics
+
+    spans = spark.createDataFrame([(1, k, k - 1, 0, 1) for k in range(1, 6)], "trace_id long, span_id long, parent_span_id long, start_ms long, end_ms long")
+    assert metrics.span_tree(spans, 4).count() == 5
+    with pytest.raises(ValueError):
+        metrics.span_tree(spans, 3)
