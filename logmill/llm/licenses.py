@@ -178,9 +178,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
                 n = len(all_words)
                 joined, base, places = b" " + b" ".join(all_words) + b" ", set(), 0
                 for probe, label in probes:
-                    found = joined.find(probe)
+                    found, upto, place = joined.find(probe), 0, 0
                     while found >= 0:
-                        at.append(joined.count(b" ", 0, found))
+                        place, upto = place + joined.count(b" ", upto, found), found
+                        at.append(place)
                         base.add(label)
                         places += 1
                         found = joined.find(probe, found + 1)
@@ -202,8 +203,9 @@ def _sql_list(items: list[str]) -> str:
 
 
 def oracle() -> str:
-    """The same rows by comparing every line with every template; it has no blocks across line ends."""
-    rows = ", ".join(f"('{label}', {_sql_list(sorted(w.decode() for w in set(words(text.encode()))))})" for label, text in TEMPLATES)
+    """The same rows by comparing every line, and every run of a template's span of words, with every template."""
+    sets = [(label, text, sorted(w.decode() for w in set(words(text.encode())))) for label, text in TEMPLATES]
+    rows = ", ".join(f"({i}, '{label}', {_sql_list(s)}, {math.ceil(len(words(text.encode())) / THRESHOLD - 1e-9)}, {math.ceil(THRESHOLD * len(s) - 1e-9)})" for i, (label, text, s) in enumerate(sets))
     probes = ", ".join(f"('{label}', {_sql_list(p.split())})" for p, label in PHRASES)
     upper, word = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
@@ -212,10 +214,13 @@ w AS (SELECT doc_id, r, regexp_extract_all(t, '{word}') AS w FROM d),
 probe(label, p) AS (VALUES {probes}),
 place AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS pos FROM w, probe),
 base AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS b FROM place GROUP BY r),
-template(label, s) AS (VALUES {rows}),
-block AS (SELECT r, list_distinct(regexp_extract_all(l, '{word}')) AS s FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
-found AS (SELECT r, label, len(list_intersect(block.s, template.s)) / len(template.s) AS c FROM block, template
-          WHERE len(list_intersect(block.s, template.s)) >= ceil({THRESHOLD} * len(template.s) - 1e-9)),
+template(k, label, s, span, need) AS (VALUES {rows}),
+line AS (SELECT r, list_distinct(regexp_extract_all(l, '{word}')) AS s FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
+whole AS (SELECT r, k, w, template.s FROM (SELECT r, w, list_distinct(w) AS u FROM w), template WHERE len(list_intersect(u, template.s)) >= need),
+word AS (SELECT r, k, i, w[i] AS x FROM (SELECT r, k, w, s, unnest(range(1, len(w) + 1)) AS i FROM whole) WHERE list_contains(s, w[i])),
+run AS (SELECT r, k, max(n) AS n FROM (SELECT a.r, a.k, a.i, count(DISTINCT b.x) AS n FROM word a JOIN template USING (k) JOIN word b ON b.r = a.r AND b.k = a.k AND b.i BETWEEN a.i - span + 1 AND a.i GROUP BY a.r, a.k, a.i) GROUP BY r, k),
+found AS (SELECT r, label, len(list_intersect(line.s, template.s)) / len(template.s) AS c FROM line, template WHERE len(list_intersect(line.s, template.s)) >= need
+          UNION ALL SELECT r, label, n / len(s) FROM run JOIN template USING (k) WHERE n >= need),
 labelled AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM place UNION SELECT r, label FROM found) GROUP BY r),
 labelled_base AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY r),
 best AS (SELECT r, max(c) AS c FROM found GROUP BY r)

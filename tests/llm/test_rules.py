@@ -146,10 +146,23 @@ def test_wrapped_licenses(spark):
             texts.append("Some words before.\n\n" + "\n".join(mark + line for line in textwrap.wrap(text, width)) + "\n\nand some after")
     texts.append("This program is\nfree\n\n" + "filler words\n" * 60 + "under the terms of the GNU General Public License as published by the Free Software Foundation")
     texts.append("\n".join(textwrap.wrap(licenses.TEMPLATES[2][1], 60)) + "\nfiller" * 99 + "\n" + "\n".join(textwrap.wrap(licenses.TEMPLATES[2][1], 60)))
-    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    got = {r["doc_id"]: r for r in rows}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan_licenses(docs)
+    against_sql(docs, found.drop("blocks"), licenses.oracle())
+    got = {r["doc_id"]: r for r in found.collect()}
     for k, (label, _) in enumerate(licenses.TEMPLATES):
         for i in range(3 * k, 3 * k + 3):
             assert label in got[i]["labels"].split(",") and got[i]["score"] == 1, texts[i]
     assert got[3 * len(licenses.TEMPLATES)]["labels"] == ""
     assert [b["label"] for b in got[3 * len(licenses.TEMPLATES) + 1]["blocks"]] == ["mit", "mit"]
+
+
+def test_many_phrases_take_linear_time(spark):
+    import time
+
+    n = 200_000
+    docs = spark.createDataFrame([(1, "cc by nc " * n)], "doc_id long, text string")
+    began = time.time()
+    row = licenses.scan_licenses(docs).drop("blocks").first()
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (3 * n, n, 0, 3 * n - 3)
+    assert time.time() - began < 30
