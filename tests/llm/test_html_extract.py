@@ -99,3 +99,56 @@ def test_sections_stay(spark, outer):
     assert Page(html).extract(None) == want
     rows = spark.createDataFrame([(i, f"http://h/{i}", html) for i in range(3)], "page_id long, url string, html string")
     assert {r["text"] for r in extract_pages(rows).collect()} == {want}
+
+
+@pytest.mark.parametrize(
+    "comments",
+    [
+        "<div class='comment-list'><article class='comment'><p>Reader says hello</article></div>",
+        "<section id=comments><article><p>Reader says hello</article><article><p>Another one</article></section>",
+        "<div itemscope itemtype='https://schema.org/Comment'><p>Reader says hello</div>",
+        "<ol class=replies><li><article class='reply-2'>Reader says hello</article></ol>",
+    ],
+)
+def test_comments_of_readers_go(comments):
+    assert Page(comments).extract(None) == ""
+    assert Page(f"<body><div class='post has-comments'><article>{BODY}{comments}</article></div>{comments}").extract(None) == STORY
+    assert Page(f"<body><div class='page-with-sidebar'><div class=content>{BODY}</div>{comments}</div>").extract(None) == STORY
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<p>before</p><a title="x>link</a>', "before"),  # the tag never ends
+        ('<p>before</p><p title="x>lost</p> <p class="y">after</p>', "before after"),  # the value runs to the next quote
+        ("<p class=it's>one</p><p class=b's>two</p>", "one two"),  # no quote opens within a value
+        ("<p a=1 a='<div>' b = \"c>d\" / >one</p x=y>two", "one two"),
+        ("a < b <p>c<!-->d<!-- e --!>f<? g ?>h</ i>j<!-- k", "a < b cdfhj"),
+        ("<p>x<br/>y<img alt='a>b'>z", "x yz"),
+        ("<p>one <a ", "one"),
+    ],
+)
+def test_broken_markup(html, text):
+    assert " ".join(Page(html).extract(None).split()) == text
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div>" * 100_000 + "deep", "deep"),
+        ("<div>x" * 100_000, " ".join("x" * 100_000)),
+        ("<b>" * 100_000 + "</i>" * 100_000 + "x", "x"),
+        ("<i><table>" + "<b>" * 50_000 + "</i>" * 50_000 + "x", "x"),
+        ("t" + "<a " * 200_000, "t"),
+        ("<p>" + "<!--" * 200_000, ""),
+        ("<div>" * 50_000 + "<p>t</p><div>a</div>" * 50_000, " ".join("ta" * 50_000)),
+        ("a" + "<x y='" * 100_000, "a"),
+    ],
+)
+def test_hostile_pages_take_linear_time(html, text):
+    import time
+
+    began = time.process_time()
+    page = Page(html)
+    assert page.extract("/div" * 50) == text
+    assert time.process_time() - began < 20
