@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import codecs, scalars
 from ..operators import control, estimators, groups, log, membership, metrics, playout, routing
 from ..sources import config, segments
+from ..sources.storage import scratch_folder
 from ..streaming import processors
-from ..streaming.run import all_available, shared_folder
+from ..streaming.run import all_available
 from . import bindings as b
 
 P = b.PARTITIONS
@@ -127,7 +128,7 @@ def segment_files(spark, sf):
     segments.register(spark)
     whole = b.event_log(spark, sf).select("partition", "offset", F.col("props").alias("payload"), "size")
     laid = log.layout(whole, SEGMENT_BYTES, INDEX_BYTES).join(whole.drop("size"), ["partition", "offset"])
-    folder = shared_folder(spark)
+    folder = scratch_folder(spark, "segments")
     segments.write_segments(laid, folder, "events").write.parquet(f"{folder}/written")
     return spark.read.format("segments").load(folder).select("topic", "partition", "offset", "len", F.col("payload").cast("string").alias("payload"))
 
@@ -442,7 +443,7 @@ def stream_ema(spark, sf):
 @query
 def stream_playout(spark, sf):
     """The packets as written to a table of their own, played as a stream."""
-    folder = shared_folder(spark)
+    folder = scratch_folder(spark, "packets")
     b.arrived(spark, sf).select("stream", "sequence", "arrival_ms", "payload", F.timestamp_millis("arrival_ms").alias("at")).write.parquet(f"{folder}/packets")
     rows = spark.readStream.schema("stream long, sequence long, arrival_ms long, payload string, at timestamp").parquet(f"{folder}/packets")
     return all_available(processors.keyed(rows, "stream", processors.Playout(b.INTERVAL_MS, b.DELAY_MS), "at"))

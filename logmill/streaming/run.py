@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.storage import scratch_folder
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROCKSDB, STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.providerClass"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="logmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/logmill/{uuid.uuid4().hex}"
+def started(stream: DataFrame, folder: str) -> StreamingQuery:
+    """Writes all input there is to ``folder``/out, exactly once; started again on the same folder it goes on where it
+    stopped. State is kept in RocksDB; the session's own setting is as before afterwards."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKSDB)  # read when the query starts
+    try:
+        return stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
 
 
-def all_available(stream: DataFrame) -> DataFrame:
-    """Processes all input there is, exactly once to Parquet, and reads the result."""
+def all_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Processes all input there is and reads the result."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    folder = shared_folder(spark)
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    folder = folder or scratch_folder(spark, "stream")
+    started(stream, folder).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query has dropped as older than its watermark, over its recent batches."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
