@@ -6,14 +6,14 @@ import contextlib
 import ctypes
 import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import partitions_for, scratch_folder
+
 #: Stands in for a null id inside the operators; results carry null again.
 NULL_ID = -(2**63)
 
@@ -22,35 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that go to Python in one Arrow batch, where the session doesn't say: texts are long.
-BATCH_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def texts_of(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns (all, if none is named), in Arrow batches of a bounded number of texts."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_KEY) == "10000":  # Spark's own default
-        conf.set(BATCH_KEY, str(BATCH_ROWS))
-    return df.select(*columns) if columns else df
+#: Bytes of texts that go to Python in one Arrow batch, and the session's setting of it.
+BATCH_BYTES, BATCH_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of the input for each of the partitions that texts are shuffled to.
+PARTITION_BYTES = 64 << 20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="logmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+def small_batches(spark: SparkSession) -> None:
+    """For applications: a session whose Arrow batches have Spark's default size gets smaller ones, as its tasks hold
+    several of them. Operators leave the session as it is; any size gives the same rows."""
+    if spark.conf.get(BATCH_KEY) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/logmill/{name}-{uuid.uuid4().hex}"
+def text_partitions(df: DataFrame) -> int:
+    """Shuffle partitions for the texts of ``df``: the session's, more for an input of over PARTITION_BYTES for each."""
+    return partitions_for(df, PARTITION_BYTES)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` to the shared folder and reads it back."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -94,17 +87,6 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
-def shared_fs(uri: str):
-    """A pyarrow file system and the path within it, for files of our own formats in shared storage."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizer files lie on this machine; LOGMILL_TOKENIZERS names another folder."""
     folder = os.environ.get("LOGMILL_TOKENIZERS")

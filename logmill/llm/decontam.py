@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, slices, texts_of, written
+from .common import NULL_ID, slices, written
 from .licenses import words
 
 BLOCK, PASSAGE = 16, 64
@@ -322,7 +322,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if not known.items:
         return spark.createDataFrame([], schema)
     vocabulary = context.broadcast(known.vocabulary)
-    ids = written(_ids(texts_of(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_col), vocabulary, known.n), "word_ids")
+    ids = written(_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), vocabulary, known.n), "word_ids")
     (count,) = [np.frombuffer(r["blob"], "<i8") for r in _sum_blobs(ids.filter("kind = 1").select(F.lit(0).alias("slice"), F.col("ids").alias("blob")), "<i8").collect()] or [np.zeros(known.n, np.int64)]
     weight = weights(count)
     ids = ids.filter("kind = 0")

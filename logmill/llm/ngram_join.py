@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, byte_texts, null_ids, slices, texts_of, with_ids, written
+from .common import NULL_ID, byte_texts, null_ids, slices, with_ids, written
 from .components import components
 from .rolling import Roller, mix, roller
 
@@ -370,7 +370,7 @@ def verified_blocks(xs: DataFrame, ys: DataFrame, docs: DataFrame, n: int = N, p
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, cells: int = SKETCH_CELLS, buckets: int | None = None) -> DataFrame:
     """One row per document: its id, n_shingles, component_id (the smallest id that links reach)."""
     spark = docs.sparkSession
-    texts = with_ids(texts_of(docs, id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = with_ids(docs.select(id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(texts, n, cells), "signatures")
     sketch = sketch_of(signed, cells)
     each = signed.filter("kind = 0 AND n > 0")

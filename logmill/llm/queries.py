@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses, quality
-from .common import table, tokenizer_path
+from .common import small_batches, table, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -72,5 +73,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_packing, op4_html_extraction, op5_token_files, op6_secret_scan, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_ngram_join)}
+def _application(f: Callable) -> Callable:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _application(f) for f in (op1_license_scan, op2_decontamination, op3_packing, op4_html_extraction, op5_token_files, op6_secret_scan, op7_quality_rules, op8_token_counts, op9_substring_dedup, op10_ngram_join)}
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op7_quality_rules": quality.oracle()}

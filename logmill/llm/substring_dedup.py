@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, null_ids, slices, texts_of, with_ids
+from .common import byte_texts, null_ids, slices, with_ids
 from .rolling import roller
 
 WINDOW = 50
@@ -129,7 +129,7 @@ def duplicated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchor = window - period + 1
-    texts = with_ids(texts_of(docs, id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = with_ids(docs.select(id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, hs, ids, pos = roller(), [], [], []

@@ -1,7 +1,8 @@
 """Token-id files: the ids of all documents as one array, with Elias-Fano coded document boundaries.
 
-A table becomes shard files in ascending id order. A shard holds its documents' ids one after another (2 or 4
-bytes each), and two Elias-Fano sequences: the documents' ends within the shard and their ids. Both take about
+A table becomes shard files in ascending id order, cut by ranges of id and text, and again after SHARD_TOKENS, so their
+number follows the input and a task holds the boundaries of one shard. A shard holds its documents' ids one after another
+(2 or 4 bytes each), and two Elias-Fano sequences: the documents' ends within the shard and their ids. Both take about
 2 + log2(universe / n) bits an entry; a sample of every 64th one bit makes select() a short scan, so a
 document's place is found without a table of 64-bit offsets.
 
@@ -12,7 +13,7 @@ Layout of a shard, little-endian: ids | boundaries | doc ids | footer (MAGIC, it
 lengths of the two coded parts, number of leading null ids).
 
 Defined results: null text is empty (the end id alone); null ids come first; equal ids are ordered by text
-and keep one entry per row; an empty table gives no shards; further columns are ignored.
+and keep one entry per row (many rows of one id spread over tasks by the first 64 characters); an empty table gives no shards; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shared_fs, slices, texts_of, written
+from ..sources.storage import file_system, qualified, scratch_folder
+from .common import slices, text_partitions, written
 from .tokens import blocks, encoder_of, read_spec
 
 MAGIC = b"LMTOKEN1"
 FOOTER = "<8sQQQQQQ"
 SAMPLE = 64
+#: Ids after which a shard is closed, at the next document.
+SHARD_TOKENS = 1 << 27
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -110,7 +115,7 @@ class EliasFano:
 
 class ShardWriter:
     def __init__(self, out, item: int):
-        self.out, self.item, self.ends, self.ids, self.total, self.nulls = out, item, [], [], 0, 0
+        self.out, self.item, self.ends, self.ids, self.total, self.nulls = out, item, array("Q"), array("q"), 0, 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.out.write(ids)
@@ -122,8 +127,8 @@ class ShardWriter:
             self.ids.append(doc_id)
 
     def close(self) -> None:
-        ends = EliasFano.encode(np.array(self.ends, np.uint64)).to_bytes()
-        ids = np.array(self.ids, np.int64)
+        ends = EliasFano.encode(np.frombuffer(self.ends, np.uint64)).to_bytes()
+        ids = np.frombuffer(self.ids, np.int64)
         first = int(ids[0]) if len(ids) else 0
         coded = struct.pack("<q", first) + EliasFano.encode((ids - first).view(np.uint64)).to_bytes()
         self.out.write(ends)
@@ -172,41 +177,52 @@ class ShardReader:
                 yield ids[k], ends[k], held[ends[k] - ends[0] : ends[k + 1] - ends[0]]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Writes the shards and returns the manifest: shard, path, n_docs, n_tokens, start (tokens of all shards
-    before). The manifest, a row a shard, is the only thing that comes to the driver."""
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Writes the shards and returns the manifest: path, n_docs, n_tokens, start (tokens of all shards before). The
+    manifest, a row a shard, is the only thing that comes to the driver. A shard's name tells its place: the task's number,
+    then its own within the task; of a task that ran twice the manifest has the files of one run."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fs, path = shared_fs(folder)
+    folder = qualified(spark, folder)
+    fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(spec.value)
         end = np.array([end_id], encoder.dtype).tobytes()
-        fs, path = shared_fs(folder)
-        shard, own = TaskContext.get().partitionId(), uuid.uuid4().hex
+        fs, path = file_system(folder)
+        task, own, made = TaskContext.get().partitionId(), uuid.uuid4().hex, []
         writer = None
+
+        def close() -> None:
+            nonlocal writer
+            writer.close()
+            name = f"shard-{task:07d}-{len(made):05d}-{own}.tok"
+            fs.move(f"{path}/_{own}", f"{path}/{name}")
+            made.append((name, len(writer.ends), writer.total))
+            writer = None
+
         for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in blocks(texts):
-                if writer is None:
-                    writer = ShardWriter(fs.open_output_stream(f"{path}/_{own}"), encoder.dtype.itemsize)
                 for doc_id, found in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
+                    if writer is None:
+                        writer = ShardWriter(fs.open_output_stream(f"{path}/_{own}"), encoder.dtype.itemsize)
                     writer.add(doc_id, found + end)
-        if writer is None:
-            return
-        writer.close()
-        fs.move(f"{path}/_{own}", f"{path}/shard-{shard:06d}-{own}.tok")
-        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([f"shard-{shard:06d}-{own}.tok"]), pa.array([len(writer.ends)], pa.int64()), pa.array([writer.total], pa.int64())], names=["shard", "name", "n_docs", "n_tokens"])
-
-    ordered = texts_of(docs).select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(shards, id_col).sortWithinPartitions(id_col, text_col)
-    done = written(ordered.mapInArrow(run, "shard long, name string, n_docs long, n_tokens long"), "manifest")
-    rows, start, out = sorted(done.collect(), key=lambda r: r["shard"]), 0, []
-    for r in rows:
-        out.append((r["shard"], f"{folder}/{r['name']}", r["n_docs"], r["n_tokens"], start))
+                    if writer.total >= shard_tokens:
+                        close()
+        if writer is not None:
+            close()
+        yield pa.record_batch([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["name", "n_docs", "n_tokens"])
+
+    ordered = texts.repartitionByRange(partitions or text_partitions(texts), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    done = written(ordered.mapInArrow(run, "name string, n_docs long, n_tokens long"), "manifest")
+    start, out = 0, []
+    for r in sorted(done.collect()):
+        out.append((f"{folder}/{r['name']}", r["n_docs"], r["n_tokens"], start))
         start += r["n_tokens"]
-    return spark.createDataFrame(out, "shard long, path string, n_docs long, n_tokens long, start long")
+    return spark.createDataFrame(out, "path string, n_docs long, n_tokens long, start long")
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -215,7 +231,7 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, path = shared_fs(uri)
+                fs, path = file_system(uri)
                 with fs.open_input_file(path) as file:
                     cols: list[list] = [[], [], [], []]
                     for doc_id, at, ids in ShardReader(file):
@@ -233,4 +249,4 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Writes the token files of ``docs`` to the shared folder and reads them back."""
-    return read_token_files(write_token_files(docs, tokenizer, scratch_path(spark, "tokens"), end_id))
+    return read_token_files(write_token_files(docs, tokenizer, scratch_folder(spark, "tokens"), end_id))

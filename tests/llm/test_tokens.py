@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 from logmill.llm.common import tokenizer_path
 from logmill.llm.packing import Packer, pack
 from logmill.llm.token_counts import Counter, count_tokens
-from logmill.llm.token_files import EliasFano, ShardReader, read_token_files, round_trip, shared_fs, write_token_files
+from logmill.llm.token_files import EliasFano, ShardReader, read_token_files, round_trip, write_token_files
+from logmill.sources.storage import file_system
 from logmill.llm.tokens import Encoder, read_spec
 
 from .common import empty, odd
@@ -126,14 +127,30 @@ def test_token_files(spark, sf):
 
 def test_random_access(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60")
-    manifest = write_token_files(docs, PATH, f"file://{tmp_path}/t", shards=2)
+    manifest = write_token_files(docs, PATH, f"file://{tmp_path}/t", partitions=2)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     seen = 0
     for row in manifest.collect():
-        fs, path = shared_fs(row["path"])
+        fs, path = file_system(row["path"])
         reader = ShardReader(fs.open_input_file(path))
         for i in range(reader.n):
             doc_id, ids = reader.document(i)
             assert ids.tolist() == [*ids_of(texts[doc_id]), 2]
             seen += 1
     assert seen == len(texts) == read_token_files(manifest).count()
+
+
+def test_shards_roll_and_rows_without_id_spread(spark, tmp_path):
+    texts = [f"text {i % 90:03} " * 20 for i in range(120)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    manifest = write_token_files(docs, PATH, f"file://{tmp_path}/t", partitions=4, shard_tokens=1000)
+    rows = sorted(manifest.collect(), key=lambda r: r["start"])
+    assert len({r["path"].rsplit("/", 1)[1].split("-")[1] for r in rows}) > 2 and len(rows) > 4
+    assert max(r["n_tokens"] for r in rows) < 1000 + 200
+    got = [(r["start"], r["n_tokens"], r["ids_crc32"]) for r in sorted(read_token_files(manifest).collect(), key=lambda r: r["start"])]
+    start, want = 0, []
+    for t in sorted(texts):
+        ids = [*ids_of(t), 2]
+        want.append((start, len(ids), crc(ids)))
+        start += len(ids)
+    assert got == want
