@@ -18,8 +18,12 @@ Data flow, each step linear in the input whatever the groups of copies:
 Copies in thousands hence meet as one entry a task or bucket, never as pairs. Texts are shuffled once (steps 3
 and 5 read the same exchange). Windows are compared by 96 bits of two independent hashes.
 
+Buckets of documents go by a hash of the id, rows without id by a hash of the text; there are BUCKETS a partition and
+a partition per PARTITION_BYTES of the input at least.
+
 Defined results: null text has no words; a null id counts as the smallest id; rows with the same id are each
-cut on their own and never against each other; documents under 50 words lose nothing; empty tables give no
+cut on their own and never against each other (MOST_ROWS of one id at most, else an error); ids below ALL_NULL are an
+error; documents under 50 words lose nothing; empty tables give no
 rows; further columns are ignored.
 """
 
@@ -34,13 +38,20 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, null_ids, slices, with_ids
+from .common import NULL_ID, byte_texts, slices, text_partitions
 from .rolling import roller
 
 WINDOW = 50
 #: A perfect difference set; every residue modulo 31 is a difference of two of its members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ORDINAL = 40  # bits of a window start below the number of the row among those with its id
+MOST_ROWS = 1 << (63 - ORDINAL)
+#: Rows without id are all the same, smallest document: numbers from NULL_ID to here.
+ALL_NULL = NULL_ID + (1 << 40)
+#: Buckets for each shuffle partition: several, so that partitions are about as large.
+BUCKETS = 4
+#: The primes of XXH64.
+XXH_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 BLOB = "bucket long, kind int, a binary, b binary, c binary"
 
 
@@ -68,12 +79,26 @@ def _bucket_of(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def doc_buckets(ids: np.ndarray, n: int) -> np.ndarray:
-    """The document bucket of each id; bucket_column() is the same in SQL."""
-    return np.mod(ids, n)
+    """The document bucket of each id, by Spark's 64-bit hash of it; bucket_column() is the same in SQL."""
+    a, b, c, d, e = (np.uint64(x) for x in XXH_PRIMES)
+    left = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = (np.uint64(42 + 8) + e) ^ (left(ids.astype(np.int64).view(np.uint64) * b, 31) * a)
+    h = left(h, 27) * a + d
+    h = (h ^ (h >> np.uint64(33))) * b
+    h = (h ^ (h >> np.uint64(29))) * c
+    return np.mod((h ^ (h >> np.uint64(32))).view(np.int64), n)
 
 
 def bucket_column(id_col: str, n: int) -> F.Column:
-    return F.pmod(F.col(id_col), F.lit(n)).cast("long")
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("long")
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text). Rows without id get numbers below ALL_NULL by their texts, so that they spread over the buckets."""
+    own = F.col(id_col).cast("long")
+    without = F.lit(NULL_ID) + F.pmod(F.xxhash64(text_col), F.lit(ALL_NULL - NULL_ID))
+    known = F.when(own < ALL_NULL, F.raise_error(F.lit(f"ids below {ALL_NULL} are not supported")).cast("long")).otherwise(own)
+    return docs.select(F.when(own.isNull(), without).otherwise(known).alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def _split(values: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -126,10 +151,10 @@ def duplicated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: id, n_words, n_removed, kept_sha256, and kept: its remaining words."""
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or period > window:
         raise ValueError("the cover must have every difference modulo the period, which is at most the window")
-    spark = docs.sparkSession
-    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = numbered(docs, id_col, text_col)
+    partitions = text_partitions(texts)
+    n = buckets or BUCKETS * partitions
     anchor = window - period + 1
-    texts = with_ids(docs.select(id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, hs, ids, pos = roller(), [], [], []
@@ -233,13 +258,13 @@ def duplicated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         arrays[4] = arrays[4].cast(pa.string())
         return pa.table(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    by_doc = texts.withColumn("bucket", bucket_column("doc_id", n)).groupBy("bucket")
-    anchors = texts.mapInArrow(find_anchors, BLOB)
-    shared = anchors.groupBy("bucket").applyInArrow(join_anchors, BLOB)
-    windows = by_doc.cogroup(shared.groupBy("bucket")).applyInArrow(find_windows, BLOB)
-    removed = windows.groupBy("bucket").applyInArrow(join_windows, BLOB)
-    out = by_doc.cogroup(removed.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return out.select(null_ids("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
+    dealt = lambda df: df.repartition(partitions, "bucket").groupBy("bucket")
+    by_doc = dealt(texts.withColumn("bucket", bucket_column("doc_id", n)))
+    shared = dealt(texts.mapInArrow(find_anchors, BLOB)).applyInArrow(join_anchors, BLOB)
+    windows = by_doc.cogroup(dealt(shared)).applyInArrow(find_windows, BLOB)
+    removed = dealt(windows).applyInArrow(join_windows, BLOB)
+    out = by_doc.cogroup(dealt(removed)).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return out.select(F.when(F.col("doc_id") >= ALL_NULL, F.col("doc_id")).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
 
 
 def _out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +278,8 @@ def _passed(table: pa.Table) -> list[tuple]:
 
 
 def _later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which windows also stand in a document with a smaller id, among these."""
+    """Which windows also stand in a document with a smaller id, among these. Rows without id have the same, smallest one."""
+    doc = np.maximum(doc, ALL_NULL - 1)
     order = np.lexsort((doc, h2, h1))
     a, b, d = h1[order], h2[order], doc[order]
     starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -269,5 +295,7 @@ def _rows_in_order(texts: pa.Table) -> Iterator[tuple[int, int, bytes]]:
     previous, ordinal = None, 0
     for doc, text in sorted(zip(ids, found, strict=True)):
         ordinal = ordinal + 1 if doc == previous else 0
+        if ordinal >= MOST_ROWS:
+            raise ValueError(f"over {MOST_ROWS} rows share the id {doc}")
         previous = doc
         yield doc, ordinal, text

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from logmill.llm.substring_dedup import COVER, PERIOD, cover_positions, duplicated_words
@@ -73,6 +74,23 @@ def test_odd_rows(spark):
     assert duplicated_words(empty(spark)).count() == 0
 
 
+def test_rows_spread_over_buckets(spark):
+    """Ids that are multiples of the number of buckets, and rows that all have none."""
+    from logmill.llm.substring_dedup import ALL_NULL, bucket_column, doc_buckets, numbered
+
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"{d}-{i}" for i in range(20)] + passage[d % 7 :] + [f"{d}+{i}" for i in range(20)]) for d in range(64)]
+    assert check(spark, [(16 * d, t) for d, t in enumerate(texts)], buckets=16) > 3000
+    assert check(spark, [(None, t) for t in texts], buckets=16) == 0
+    assert check(spark, [(None if d % 3 else d, t) for d, t in enumerate(texts)] + [(None, texts[0])] * 3, buckets=16) > 900
+    df = spark.createDataFrame([(16 * d, t) for d, t in enumerate(texts)] + [(None, t) for t in texts], "doc_id long, text string")
+    got = numbered(df, "doc_id", "text").select("doc_id", bucket_column("doc_id", 16).alias("b")).collect()
+    assert len({r["b"] for r in got if r["doc_id"] >= ALL_NULL}) > 12 and len({r["b"] for r in got if r["doc_id"] < ALL_NULL}) > 12
+    assert doc_buckets(np.array([r["doc_id"] for r in got]), 16).tolist() == [r["b"] for r in got]
+    with pytest.raises(Exception, match="not supported"):
+        duplicated_words(spark.createDataFrame([(-(2**63) + 5, "x")], "doc_id long, text string")).collect()
+
+
 def test_cover():
     assert len(cover_positions(310)) == 60
     assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
