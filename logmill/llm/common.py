@@ -82,6 +82,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(a, rows)
 
 
+def summed(parts: DataFrame, add: Callable[[list[bytes]], bytes], fan: int = 256) -> DataFrame:
+    """(slice, blob) with a blob a task -> (slice, blob) with the sum of all, in as many rounds as it takes to have at most
+    ``fan`` blobs in a group. ``add`` gives the sum of some blobs as a blob."""
+
+    def one(table: pa.Table) -> pa.Table:
+        total = add([b.as_buffer() for b in table.column("blob")])
+        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "blob": pa.array([total], pa.binary())})
+
+    out, n, fan = "slice int, part long, blob binary", parts.rdd.getNumPartitions(), max(2, fan)
+    parts = parts.select(F.col("slice").cast("int").alias("slice"), F.spark_partition_id().cast("long").alias("part"), "blob")
+    while n > fan:
+        n = -(-n // fan)
+        parts = parts.withColumn("part", F.floor(F.col("part") / fan)).groupBy("slice", "part").applyInArrow(one, out)
+    return parts.groupBy("slice").applyInArrow(one, out).select("slice", "blob")
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]

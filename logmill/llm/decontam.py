@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, slices, written
+from .common import NULL_ID, slices, summed, written
 from .licenses import words
 
 BLOCK, PASSAGE = 16, 64
@@ -132,19 +132,14 @@ def _ids(docs: DataFrame, vocabulary, n: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id long, ids binary")
 
 
-def _sum_blobs(parts: DataFrame, dtype: str) -> DataFrame:
-    """(slice, blob) with many blobs a slice -> one each, first in 64 groups, then over these."""
+def _adder(dtype: str):
+    def add(blobs: list) -> bytes:
+        total = np.frombuffer(blobs[0], dtype).astype(np.float64 if dtype == "<f4" else np.int64)
+        for b in blobs[1:]:
+            total += np.frombuffer(b, dtype)
+        return total.astype(dtype).tobytes()
 
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for b in table.column("blob"):
-            a = np.frombuffer(b.as_py(), dtype).astype(np.float64 if dtype == "<f4" else np.int64)
-            total = a if total is None else total + a
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "blob": pa.array([total.astype(dtype).tobytes()], pa.binary())})
-
-    out = "slice int, blob binary"
-    some = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("slice", "part").applyInArrow(add, out)
-    return some.groupBy("slice").applyInArrow(add, out)
+    return add
 
 
 def weights(count: np.ndarray) -> np.ndarray:
@@ -204,7 +199,7 @@ def range_sums(ids: DataFrame, weight, rank: int, seed: int = SEED) -> np.ndarra
 
     spark = ids.sparkSession
     tasks = max(1, min(ids.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism))
-    sums = _sum_blobs(ids.select("ids").coalesce(tasks).mapInArrow(run, "slice int, blob binary"), "<f4")
+    sums = summed(ids.select("ids").coalesce(tasks).mapInArrow(run, "slice int, blob binary"), _adder("<f4"))
     out = np.zeros((n, rank), np.float32)
     for r in sums.collect():
         part = np.frombuffer(r["blob"], "<f4").reshape(-1, rank)
@@ -323,7 +318,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         return spark.createDataFrame([], schema)
     vocabulary = context.broadcast(known.vocabulary)
     ids = written(_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), vocabulary, known.n), "word_ids")
-    (count,) = [np.frombuffer(r["blob"], "<i8") for r in _sum_blobs(ids.filter("kind = 1").select(F.lit(0).alias("slice"), F.col("ids").alias("blob")), "<i8").collect()] or [np.zeros(known.n, np.int64)]
+    counts = summed(ids.filter("kind = 1").select(F.lit(0).alias("slice"), F.col("ids").alias("blob")), _adder("<i8"), (64 << 20) // (8 * known.n))
+    (count,) = [np.frombuffer(r["blob"], "<i8") for r in counts.collect()] or [np.zeros(known.n, np.int64)]
     weight = weights(count)
     ids = ids.filter("kind = 0")
     shared, counted = context.broadcast(weight), context.broadcast(count)

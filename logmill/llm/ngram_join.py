@@ -7,14 +7,16 @@ The filter is a multi-match prefix. Shingles have one global order, the rarest f
 whole corpus. If two sets overlap in a = ceil(t |x|) or more, their prefixes of |x| - a + l shingles share at
 least l, for every l. Each document takes the l from 1 to MOST_MATCHES with the least estimated cost: what
 lies in the posting lists of its prefix, and the candidates left to verify, which fall with l. A pair needs
-as many shared prefix shingles as the smaller of its two l.
+as many shared prefix shingles as the smaller of its two l. Every pair is put to this test, however it was come by,
+and only then are whole sets compared.
 
 Groups of copies are never expanded into pairs:
 - documents with the same set form a class, joined through its smallest id;
-- a first round links class representatives by a few smallest shingle hashes to a pivot or two each and verifies
-  that; it merges groups of near copies at linear cost. It is no filter: whatever it misses is found next;
-- documents with the same hub (a pivot that they share several of these hashes with) are compared in blocks, in
-  tasks of bounded size that give out links only: those outside of the hub's largest component with all;
+- a first round pairs class representatives with a pivot or two each, by a few smallest shingle hashes; it merges groups
+  of near copies at linear cost. It is no filter: whatever it misses is found next;
+- documents with the same hub (a pivot that they share several of these hashes with) meet in blocks, in tasks of
+  bounded size with the posting lists of the block's prefixes, that give out links only: those outside of the hub's
+  largest component with all;
 - the exact round then looks for links between different components and hubs, all of them: a link within a
   component could not change the components. It counts matches between a document and a component (the document's prefix
   shingles that any member of fitting size shares), which is no less than for any single member;
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, byte_texts, null_ids, slices, with_ids, written
+from .common import NULL_ID, byte_texts, null_ids, slices, summed, with_ids, written
 from .components import components
 from .rolling import Roller, mix, roller
 
@@ -46,6 +48,8 @@ ANCHORS = 8
 MOST_MATCHES, VERIFY_COST = 128, 4.0
 #: Components up to SMALL are verified member by member; larger ones in blocks of so many shingles.
 SMALL, BLOCK_SHINGLES = 8, 1_000_000
+#: Prefix shingles of one token bucket, about: a task of the exact round.
+BUCKET_TOKENS = 500_000
 #: Shared smallest hashes from which a pivot is a document's hub.
 HUB_VOTES = 3
 #: Ids that may be sent to all executors; beyond, they are joined.
@@ -113,25 +117,37 @@ def sketch_of(signed: DataFrame, cells: int = SKETCH_CELLS) -> np.ndarray:
     """The count sketch of the whole corpus: SKETCH_CELLS cells at any size of the input."""
     step = min(SKETCH_SLICE, cells)
 
-    def add(table: pa.Table) -> pa.Table:
+    def add(blobs: list) -> bytes:
         total = np.zeros(step, np.uint64)
-        for blob in table.column("counts").to_pylist():
-            if blob[:1] == b"d":
+        for blob in blobs:
+            if bytes(blob[:1]) == b"d":
                 total += np.frombuffer(blob, "<u4", offset=1)
             else:
                 k = (len(blob) - 1) // 6
                 total[np.frombuffer(blob, "<u2", k, 1)] += np.frombuffer(blob, "<u4", k, 1 + 2 * k)
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
+        return b"d" + np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()
 
     out = np.zeros(cells, np.uint32)
-    for r in signed.filter("kind = 1").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["counts"], "<u4")
+    for r in summed(signed.filter("kind = 1").select("slice", F.col("counts").alias("blob")), add).collect():
+        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["blob"], "<u4", offset=1)
     return out
 
 
+class Order:
+    """The global order of shingles as it goes to the executors, and the prefixes it gives."""
+
+    def __init__(self, spark: SparkSession, sketch: np.ndarray, percent: int = PERCENT):
+        self.shared, self.floor, self.percent = spark.sparkContext.broadcast(sketch), int(np.median(sketch)) + 1, percent
+
+    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        return prefix(s, self.shared.value, self.floor, self.percent)
+
+
 def prefix(s: np.ndarray, sketch: np.ndarray, floor: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """The prefix of a set and the matches it asks for."""
     size = len(s)
+    if not size:
+        return s, 1
     count = sketch[(s % np.uint64(len(sketch))).astype(np.int64)]
     order = np.argsort(count, kind="stable")  # of equal counts the smaller hash comes first, as the set is rising
     s, count = s[order], count[order].astype(np.int64)
@@ -178,18 +194,27 @@ def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "x_text", "y_text")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (x, y) whose whole sets are similar enough, as edges (u, v)."""
+def may_link(x: tuple[np.ndarray, int], y: tuple[np.ndarray, int]) -> bool:
+    """Whether two prefixes share as many shingles as the less demanding of them asks for."""
+    (p, a), (q, b) = x, y
+    return len(np.intersect1d(p, q, assume_unique=True)) >= min(a, b)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, order: Order, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (x, y) whose prefixes share enough and whose whole sets are similar enough, as edges (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, last, sets = roller(), None, None
+        rolling, last = roller(), None
+        y = head = None
         for batch in slices(batches):
             ys, texts, others = batch.column(1).to_pylist(), byte_texts(batch.column(2)), byte_texts(batch.column(3))
             good = []
             for x_text, y_text in zip(texts, others, strict=True):
                 if y_text != last:
-                    last, sets = y_text, shingles(y_text, rolling, n)
-                good.append(similar(shingles(x_text, rolling, n), sets, percent))
+                    last, y = y_text, shingles(y_text, rolling, n)
+                    head = order.prefix(y)
+                x = shingles(x_text, rolling, n)
+                good.append(may_link(order.prefix(x), head) and similar(x, y, percent))
             keep = pa.array(good, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(keep), pa.array(ys, pa.int64()).filter(keep)], names=["u", "v"])
 
@@ -218,28 +243,25 @@ def labelled(batch: pa.RecordBatch, known: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([*batch.columns, *(pa.array(x, pa.int64()) for x in (comp, n, hubs))], names=["doc_id", "text", "comp", "size", "hub"]).filter(pa.array(~drop))
 
 
-def matches(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+def matches(reps: DataFrame, order: Order, known=None, n: int = N, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """reps: (doc_id, text, comp, size, hub), or (doc_id, text) of all documents with the broadcast labels ``known``.
 
     (x, comp, size, shared, asked) per token bucket: documents and components of other documents, not smaller than
     the document's own, how many of the bucket's tokens they share, and how many a link must share in all."""
-    spark = reps.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(sketch)
-    floor = int(np.median(sketch)) + 1
+    buckets = buckets or 2 * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, sketch = roller(), shared.value
+        rolling = roller()
         tokens, owners, table, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             t, o = np.concatenate(tokens), np.concatenate(owners)
             about = np.array(table, TABLE)
             bucket = (t % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            by_bucket = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
             rows = []
-            for part in np.split(order, cuts):
+            for part in np.split(by_bucket, cuts):
                 used, local = np.unique(o[part], return_inverse=True)
                 rows.append((int(bucket[part[0]]), t[part].tobytes(), local.astype("<u4").tobytes(), about[used].tobytes()))
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["bucket", "tokens", "docs", "table"])
@@ -251,7 +273,7 @@ def matches(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent
                 s = shingles(text, rolling, n)
                 if not len(s):
                     continue
-                p, matches = prefix(s, sketch, floor, percent)
+                p, matches = order.prefix(s)
                 tokens.append(p)
                 owners.append(np.full(len(p), len(table), np.int64))
                 table.append((doc, comp, len(s), matches, size, hub))
@@ -262,14 +284,19 @@ def matches(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent
         if table:
             yield flush()
 
-    def meet(t: pa.Table) -> pa.Table:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from met(pa.Table.from_batches(held)).to_batches()
+
+    def met(t: pa.Table) -> pa.Table:
         tokens = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in t.column("tokens")])
         tables = [np.frombuffer(b.as_py(), TABLE) for b in t.column("table")]
         base = np.cumsum([0, *map(len, tables)])
         owner = np.concatenate([np.frombuffer(b.as_py(), "<u4").astype(np.int64) + k for b, k in zip(t.column("docs"), base, strict=False)])
         about = np.concatenate(tables)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
+        by_token = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[by_token], owner[by_token]
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         comps, first_of, comp = np.unique(about["comp"], return_index=True, return_inverse=True)
         hubs = about["hub"]
@@ -311,8 +338,8 @@ def matches(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent
                     least.append(np.maximum(np.minimum(asks[x], asks[i:j].min()), overlap - behind))
             if codes:
                 code, asked_least = np.concatenate(codes), np.concatenate(least)
-                order = np.lexsort((asked_least, code))
-                code, asked_least = code[order], asked_least[order]
+                by_code = np.lexsort((asked_least, code))
+                code, asked_least = code[by_code], asked_least[by_code]
                 once = np.r_[True, code[1:] != code[:-1]]
                 found.append((code[once], asked_least[once]))
                 held += int(once.sum())
@@ -322,23 +349,36 @@ def matches(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent
         target = pairs % len(comps)
         return pa.table({"x": about["doc"][pairs // len(comps)], "comp": comps[target], "size": about["size"][first_of[target]], "shared": counts, "asked": asked})
 
-    return reps.mapInArrow(post, POSTINGS).groupBy("bucket").applyInArrow(meet, "x long, comp long, size long, shared long, asked long")
+    posted = reps.mapInArrow(post, POSTINGS).repartitionById(buckets, F.col("bucket").cast("int"))  # a bucket is a task
+    return posted.mapInArrow(meet, "x long, comp long, size long, shared long, asked long")
 
 
-def candidates(reps: DataFrame, sketch: np.ndarray, known=None, n: int = N, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+def candidates(reps: DataFrame, order: Order, known=None, n: int = N, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """All (x, comp, size) that share enough of their prefixes for a link with any member."""
-    met = matches(reps, sketch, known, n, percent, buckets)
+    met = matches(reps, order, known, n, percent, buckets)
     return met.groupBy("x", "comp").agg(F.max("size").alias("size"), F.sum("shared").alias("shared"), F.min("asked").alias("asked")).filter("shared >= asked").select("x", "comp", "size")
 
 
-def verified_blocks(xs: DataFrame, ys: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+def _by_group(rows: DataFrame, table: DataFrame, size: str) -> DataFrame:
+    """rows joined with a written table of their groups. The table is sent to the rows, which hence stay where they are;
+    of a table of over MOST_BROADCAST groups only those of over BLOCK_SHINGLES are, and the others are shuffled."""
+    if table.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), "group")
+    heavy = table.filter(F.col(size) > BLOCK_SHINGLES)
+    light = rows.join(F.broadcast(heavy.select("group")) if heavy.count() <= abs(MOST_BROADCAST) else heavy.select("group"), "group", "left_anti")
+    return rows.join(F.broadcast(heavy) if heavy.count() <= abs(MOST_BROADCAST) else heavy, "group").unionByName(light.join(table, "group"))
+
+
+def verified_blocks(xs: DataFrame, ys: DataFrame, docs: DataFrame, order: Order, n: int = N, percent: int = PERCENT) -> DataFrame:
     """xs, ys: (group, doc_id, comp, n). For each x, a link (u, v) with each other component of its group's ys, if one
-    of it in a block is similar enough. The xs and ys of a group meet in blocks of BLOCK_SHINGLES shingles."""
-    parts = lambda df, name: df.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias(name))
-    shape = parts(xs, "ni").join(parts(ys, "nj"), "group")
+    of it has a prefix that shares enough and a whole set that is similar enough. The xs and ys of a group meet in blocks
+    of BLOCK_SHINGLES shingles: a text goes to as many tasks as the other side has blocks."""
+    parts = lambda df, name: df.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias(name), F.sum("n").alias(f"{name}_n"))
+    shape = parts(xs, "ni").join(parts(ys, "nj"), "group").select("group", "ni", "nj", (F.col("ni_n") + F.col("nj_n")).alias("_n"))
+    shape = written(shape, "shapes")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = xs.join(shape, "group").select("group", "doc_id", "comp", F.lit(0).alias("side"), F.pmod(F.xxhash64("doc_id"), "ni").alias("i"), upto("nj").alias("j"))
-    right = ys.join(shape, "group").select("group", "doc_id", "comp", F.lit(1).alias("side"), upto("ni").alias("i"), F.pmod(F.xxhash64("doc_id"), "nj").alias("j"))
+    left = _by_group(xs, shape, "_n").select("group", "doc_id", "comp", F.lit(0).alias("side"), F.pmod(F.xxhash64("doc_id"), "ni").alias("i"), upto("nj").alias("j"))
+    right = _by_group(ys, shape, "_n").select("group", "doc_id", "comp", F.lit(1).alias("side"), upto("ni").alias("i"), F.pmod(F.xxhash64("doc_id"), "nj").alias("j"))
     placed = written(left.unionAll(right), "blocks")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -350,16 +390,19 @@ def verified_blocks(xs: DataFrame, ys: DataFrame, docs: DataFrame, n: int = N, p
         ys = np.flatnonzero(sides == 1)
         links: list[tuple[int, int]] = []
         if len(ys):
+            heads = [order.prefix(sets[k]) for k in ys.tolist()]
+            asked = np.array([a for _, a in heads])
             sizes = np.array([len(sets[k]) for k in ys])
-            tokens = np.concatenate([sets[k] for k in ys])
-            owner = np.repeat(np.arange(len(ys)), sizes)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
+            index = Postings([p for p, _ in heads])
+            whole: Postings | None = None
             for k in np.flatnonzero(sides == 0).tolist():
-                a, b = np.searchsorted(tokens, sets[k]), np.searchsorted(tokens, sets[k], side="right")
-                at = np.repeat(a, b - a) + np.arange(int((b - a).sum())) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-                both = np.bincount(owner[at], minlength=len(ys))
-                good = ys[(both > 0) & (comp[ys] != comp[k]) & (100 * both >= percent * (sizes + len(sets[k]) - both))]
+                x, (head, asks) = sets[k], order.prefix(sets[k])
+                close = (percent * sizes <= 100 * len(x)) & (percent * len(x) <= 100 * sizes) & (comp[ys] != comp[k])
+                some = np.flatnonzero(close & (index.shared(head) >= np.minimum(asked, asks)))
+                if len(some) > 8 and whole is None:
+                    whole = Postings([sets[j] for j in ys.tolist()])
+                both = whole.shared(x)[some] if len(some) > 8 else np.array([len(np.intersect1d(x, sets[ys[j]], assume_unique=True)) for j in some.tolist()], np.int64)
+                good = ys[some[100 * both >= percent * (sizes[some] + len(x) - both)]]
                 _, first = np.unique(comp[good], return_index=True)
                 links += [(int(ids[k]), int(ids[g])) for g in good[first]]
         return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
@@ -367,12 +410,27 @@ def verified_blocks(xs: DataFrame, ys: DataFrame, docs: DataFrame, n: int = N, p
     return placed.join(_named(placed.select("doc_id"), docs), "doc_id").groupBy("group", "i", "j").applyInArrow(compare, "u long, v long")
 
 
+class Postings:
+    """The documents of a block by their shingles."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.n, tokens = len(lists), np.concatenate(lists)
+        by_token = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[by_token], np.repeat(np.arange(self.n), [len(x) for x in lists])[by_token]
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        """How many of x each document has."""
+        a, b = np.searchsorted(self.tokens, x), np.searchsorted(self.tokens, x, side="right")
+        at = np.repeat(a, b - a) + np.arange(int((b - a).sum())) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, cells: int = SKETCH_CELLS, buckets: int | None = None) -> DataFrame:
     """One row per document: its id, n_shingles, component_id (the smallest id that links reach)."""
     spark = docs.sparkSession
     texts = with_ids(docs.select(id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(texts, n, cells), "signatures")
-    sketch = sketch_of(signed, cells)
+    order = Order(spark, sketch_of(signed, cells), percent)
     each = signed.filter("kind = 0 AND n > 0")
     classes = written(each.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("anchors").alias("anchors")), "classes")
     links = written(each.join(classes.drop("anchors"), ["n", "s1", "s2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "class_links")
@@ -380,7 +438,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     reps_n = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
     first = written(pivots(classes.select(F.col("rep").alias("doc_id"), "anchors").dropDuplicates(["doc_id", "anchors"])), "pivots")
     pairs = first.select("x", "y").union(first.select("x", F.col("hub").alias("y"))).filter("x <> y").distinct()
-    near = written(verified(pairs, texts, n, percent), "near")
+    near = written(verified(pairs, texts, order, n, percent), "near")
     merged = components(near)  # of representatives; copies are no candidates
     sizes = merged.groupBy("component").agg((F.count("*") + 1).alias("size"))
     comps = merged.join(sizes, "component").select("node", "component", "size").union(sizes.select(F.col("component").alias("node"), "component", "size"))
@@ -393,19 +451,23 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if known is None:
         own = texts.join(labels.withColumn("hit", F.lit(True)), F.col("doc_id") == F.col("node"), "left").filter("hit IS NULL OR copy = 0")
         reps = own.select("doc_id", "text", F.coalesce("component", "doc_id").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("hub", "doc_id").alias("hub"))
-    found = written(candidates(reps, sketch, known, n, percent, buckets), "candidates")
+    if buckets is None:
+        tokens = signed.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] * (100 - percent) // 100
+        buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
+    found = written(candidates(reps, order, known, n, percent, buckets), "candidates")
     members = labels.filter("copy = 0").select(F.col("component").alias("comp"), F.col("node").alias("doc_id"), "hub").join(reps_n, "doc_id")
     single = found.filter("size = 1").select("x", F.col("comp").alias("y"))
     several = found.filter(F.col("size").between(2, SMALL)).join(members, "comp").select("x", F.col("doc_id").alias("y"))
     large = found.filter(F.col("size") > SMALL).select(F.col("comp").alias("group"), F.col("x").alias("doc_id"), F.col("x").alias("comp")).join(reps_n, "doc_id")
     by_comp = members.select(F.col("comp").alias("group"), "doc_id", "comp", "n")
     by_hub = members.select(F.col("hub").alias("group"), "doc_id", "comp", "n")
-    most = by_hub.groupBy("group", "comp").count().groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("_most"), F.sum("count").alias("_all"))
-    apart = by_hub.join(most.filter("_all > 1"), "group").filter("comp <> _most").drop("_most", "_all")
+    each_comp = by_hub.groupBy("group", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    most = each_comp.groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("_most"), F.sum("n").alias("_n"), F.count("*").alias("_comps"))
+    apart = _by_group(by_hub, written(most.filter("_comps > 1"), "hubs"), "_n").filter("comp <> _most")
     columns = ["group", "doc_id", "comp", "n"]
-    far = verified(written(single.union(several), "pairs"), texts, n, percent)
-    far = far.union(verified_blocks(large.select(columns), by_comp.select(columns), texts, n, percent))
-    far = far.union(verified_blocks(apart.select(columns), by_hub.select(columns), texts, n, percent))
+    far = verified(written(single.union(several), "pairs"), texts, order, n, percent)
+    far = far.union(verified_blocks(large.select(columns), by_comp.select(columns), texts, order, n, percent))
+    far = far.union(verified_blocks(apart.select(columns), by_hub.select(columns), texts, order, n, percent))
     final = components(links.union(near).union(far))
     out = signed.filter("kind = 0").join(final, F.col("doc_id") == F.col("node"), "left")
     return out.select(null_ids("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("component_id", null_ids("component_id"))
