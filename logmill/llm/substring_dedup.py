@@ -9,17 +9,17 @@ goes to the smallest document that has it.
 Data flow, each step linear in the input whatever the groups of copies:
 1. anchors: a task hashes the documents of its split and sorts its anchors. Those found in two documents are
    settled there; of each other anchor one entry goes to the anchor's bucket.
-2. anchor buckets: an anchor met by two tasks is shared; what is shared returns to its document as ranges of
+2. anchor buckets, each a task: an anchor met by two tasks is shared; what is shared returns to its document as ranges of
    window starts.
 3. windows: document buckets join ranges with texts, hash the windows in these ranges, keep the smallest
    document of each and settle the others; one entry a window goes to the window's bucket.
-4. window buckets: the smallest document over all buckets; the places to remove return to the documents.
+4. window buckets, each a task: the smallest document over all buckets; the places to remove return to the documents.
 5. document buckets cut the words out.
 Copies in thousands hence meet as one entry a task or bucket, never as pairs. Texts are shuffled once (steps 3
 and 5 read the same exchange). Windows are compared by 96 bits of two independent hashes.
 
 Buckets of documents go by a hash of the id, rows without id by a hash of the text; there are BUCKETS a partition and
-a partition per PARTITION_BYTES of the input at least.
+a partition for each PARTITION_BYTES of the input at least.
 
 Defined results: null text has no words; a null id counts as the smallest id; rows with the same id are each
 cut on their own and never against each other (MOST_ROWS of one id at most, else an error); ids below ALL_NULL are an
@@ -30,7 +30,7 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +48,8 @@ ORDINAL = 40  # bits of a window start below the number of the row among those w
 MOST_ROWS = 1 << (63 - ORDINAL)
 #: Rows without id are all the same, smallest document: numbers from NULL_ID to here.
 ALL_NULL = NULL_ID + (1 << 40)
-#: Buckets for each shuffle partition: several, so that partitions are about as large.
-BUCKETS = 4
+#: Buckets of documents for each shuffle partition. Buckets of anchors and windows are as many as partitions.
+BUCKETS = 2
 #: The primes of XXH64.
 XXH_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 BLOB = "bucket long, kind int, a binary, b binary, c binary"
@@ -181,7 +181,7 @@ def duplicated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         probe[starts[shared]] = True
         at[member] = -1
         h, doc, at = h[probe], doc[probe], at[probe]
-        yield from _out([_blob(b, 0, h[i], doc[i], at[i]) for b, i in _split(_bucket_of(h, n), n)])
+        yield from _out([_blob(b, 0, h[i], doc[i], at[i]) for b, i in _split(_bucket_of(h, partitions), partitions)])
 
     def join_anchors(table: pa.Table) -> pa.Table:
         h, doc, at = _gather(table, 0, np.uint64, np.int64, np.int32)
@@ -223,7 +223,7 @@ def duplicated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 h1, h2, doc, start = h1[~later], h2[~later], doc[~later], start[~later]
                 key = np.empty(len(h1), "<u8,<u4")
                 key["f0"], key["f1"] = h1, h2
-                rows += [_blob(b, 0, key[i], doc[i], start[i].astype(np.int64)) for b, i in _split(_bucket_of(h1, n), n)]
+                rows += [_blob(b, 0, key[i], doc[i], start[i].astype(np.int64)) for b, i in _split(_bucket_of(h1, partitions), partitions)]
         return pa.Table.from_batches([_batch(rows)])
 
     def join_windows(table: pa.Table) -> pa.Table:
@@ -259,14 +259,26 @@ def duplicated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     dealt = lambda df: df.repartition(partitions, "bucket").groupBy("bucket")
+    met = lambda df, join: df.repartitionById(partitions, F.col("bucket").cast("int")).mapInArrow(_whole(join), BLOB)
     by_doc = dealt(texts.withColumn("bucket", bucket_column("doc_id", n)))
-    shared = dealt(texts.mapInArrow(find_anchors, BLOB)).applyInArrow(join_anchors, BLOB)
+    shared = met(texts.mapInArrow(find_anchors, BLOB), join_anchors)
     windows = by_doc.cogroup(dealt(shared)).applyInArrow(find_windows, BLOB)
-    removed = dealt(windows).applyInArrow(join_windows, BLOB)
+    removed = met(windows, join_windows)
     out = by_doc.cogroup(dealt(removed)).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.select(F.when(F.col("doc_id") >= ALL_NULL, F.col("doc_id")).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
 
 
+def _whole(join: Callable[[pa.Table], pa.Table]) -> Callable:
+    """``join`` of all rows of a partition, which are one bucket of anchors or windows, and ranges that pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from join(pa.Table.from_batches(held)).to_batches(max_chunksize=64)
+
+    return run
+
+
 def _out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(rows), 64):
         yield _batch(rows[a : a + 64])
@@ -299,3 +311,18 @@ def _rows_in_order(texts: pa.Table) -> Iterator[tuple[int, int, bytes]]:
             raise ValueError(f"over {MOST_ROWS} rows share the id {doc}")
         previous = doc
         yield doc, ordinal, text
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The same by grouping all windows of all documents by their words."""
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+win AS (SELECT r, id, i, md5(array_to_string(w[i:i + {window - 1}], ' ')) AS h FROM (SELECT r, id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d)),
+later AS (SELECT r, i FROM (SELECT r, id, i, min(id) OVER (PARTITION BY h) AS first FROM win) WHERE id > first),
+gone AS (SELECT r, list_distinct(list(p)) AS places FROM (SELECT r, unnest(range(i, i + {window})) AS p FROM later) GROUP BY r),
+flat AS (SELECT r, p, w[p] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d JOIN gone USING (r))),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM flat ANTI JOIN (SELECT r, unnest(places) AS p FROM gone) USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed, sha256(CASE WHEN places IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""

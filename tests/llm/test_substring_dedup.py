@@ -44,6 +44,16 @@ def test_table(spark, sf):
     assert check(spark, rows) > 0
 
 
+def test_sql(spark, sf):
+    from logmill.llm.substring_dedup import oracle
+
+    from .test_rules import against_sql, with_texts
+
+    passage = " ".join(f"p{i}" for i in range(70))
+    docs = with_texts(spark, sf, [passage, f"a  b {passage}\nc", passage, "x " * 120, "x " * 90, "short"])
+    against_sql(docs, duplicated_words(docs).drop("kept"), oracle())
+
+
 def test_random_copies(spark):
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(4000)}"
