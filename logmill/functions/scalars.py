@@ -45,10 +45,6 @@ def is_silent(samples: Column, threshold: int = 200) -> Column:
     return F.when(F.size(samples) > 0, F.floor(total / F.size(samples)) < threshold).otherwise(True)
 
 
-def kbps_to_bytes(kbps: Column) -> Column:
-    return kbps * 1000.0 / 8.0
-
-
 #: Log levels, the least severe first.
 LEVELS = ("trace", "debug", "info", "warn", "error", "fatal")
 

@@ -1,4 +1,8 @@
-"""State machines per stream: the rate ladder, the token bucket, the priority drain. Each is an ordered scan."""
+"""State machines per stream: the rate ladder, the token bucket, the priority drain. Each is an ordered scan.
+
+Nulls: an unknown rate or loss is 0, a request without size is of size 0, and one without time comes at the time of the
+one before it; a drain without rate keeps the one it has.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +30,7 @@ def rate_ladder(samples: DataFrame, key: str, order: list[str], kbps: str, loss:
     """Adds the level's name and kbps after each sample."""
 
     def step(state, row):
-        state = next_level(*state, float(row[kbps]), float(row[loss]), ladder, **limits)
+        state = next_level(*state, float(row[kbps] or 0), float(row[loss] or 0), ladder, **limits)
         return state, ladder[state[0]]
 
     return keyed_scan(samples, [key], order, [kbps, loss], lambda: (0, 0), step, "level string, level_kbps int")
@@ -62,9 +66,10 @@ def token_bucket(requests: DataFrame, key: str, order: list[str], ms: str, size:
     """Adds whether each request was accepted."""
 
     def step(bucket, row):
+        now = row[ms] if row[ms] is not None else bucket.at or 0
         if bucket.at is None:
-            bucket.configure(rate, capacity, row[ms])
-        return bucket, (bucket.take(float(row[size]), row[ms]),)
+            bucket.configure(rate, capacity, now)
+        return bucket, (bucket.take(float(row[size] or 0), now),)
 
     return keyed_scan(requests, [key], order, [ms, size], Bucket, step, "accepted boolean")
 
@@ -75,10 +80,18 @@ def priority_drain(queue: DataFrame, key: str, drain_ms: str, priority: str, ord
 
     def step(state, row):
         bucket, last = state
-        ms = row[drain_ms]
+        ms = row[drain_ms] if row[drain_ms] is not None else last or 0
         if ms != last:
-            rate = row[kbps] * 1000.0 / 8.0
+            rate = bucket.rate if row[kbps] is None else row[kbps] * 1000.0 / 8.0
             bucket.configure(rate, rate * 0.5, ms)
-        return (bucket, ms), (row[priority] == 0 or bucket.take(float(row[size]), ms),)
+        return (bucket, ms), (row[priority] == 0 or bucket.take(float(row[size] or 0), ms),)
 
     return keyed_scan(queue, [key], [drain_ms, priority, *order], [size, kbps], lambda: (Bucket(), None), step, "sent boolean")
+
+
+def adaptive_drain(queue: DataFrame, reports: DataFrame, key: str, drain_ms: str, priority: str, order: list[str], size: str, kbps: str, loss: str) -> DataFrame:
+    """The drain at the ladder's own rate. reports: (key, drain_ms, kbps, loss), what the network carried and lost by each
+    drain; each moves the ladder, and the level it then stands on is the rate of that drain. A drain without report
+    keeps the rate it has."""
+    levels = rate_ladder(reports, key, [drain_ms], kbps, loss).select(key, drain_ms, "level_kbps")
+    return priority_drain(queue.join(levels, [key, drain_ms], "left"), key, drain_ms, priority, order, size, "level_kbps")

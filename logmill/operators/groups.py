@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import carried, with_ranges
+
 
 def assignment(members: DataFrame, partitions: int) -> DataFrame:
     """(grp, group_size, consumer_index) -> the partitions each member owns: partition modulo size is its index."""
@@ -38,24 +40,32 @@ def min_committed(watermarks: DataFrame, committed: DataFrame, max_lag: int) ->
 
 
 def poll(log: DataFrame, cursors: DataFrame, max_records: int) -> DataFrame:
-    """Records from each owned partition's cursor on; partitions are drained one after another up to the limit.
+    """Records from each owned partition's cursor on, up to the first missing offset; partitions are drained one after
+    another up to the limit.
 
-    Offsets are dense, so a record's place in the poll is known from its offset: no sort, no window over the log.
+    Offsets are unique, so a partition offers at most max_records rows from its cursor on: the filter on them reaches
+    the log before anything is sorted, and what is sorted is bounded by the limit.
     """
-    sizes = log.groupBy("partition").agg((F.max("offset") + 1).alias("_next"))
-    open_ = cursors.join(sizes, "partition").withColumn("_ready", F.greatest(F.col("_next") - F.col("cursor"), F.lit(0)))
-    before = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    plan = open_.withColumn("_before", F.coalesce(F.sum("_ready").over(before), F.lit(0)))
-    return log.join(plan, "partition").filter(F.col("offset") >= F.col("cursor")).filter(F.col("_before") + F.col("offset") - F.col("cursor") < max_records).drop("_next", "_ready", "_before", "cursor")
+    near = log.join(F.broadcast(cursors), "partition").filter((F.col("offset") >= F.col("cursor")) & (F.col("offset") < F.col("cursor") + max_records))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("partition").orderBy("offset")) - 1
+    ready = near.withColumn("_at", place).filter(F.col("offset") - F.col("cursor") == F.col("_at"))
+    before = Window.orderBy("partition", "offset")  # at most max_records rows of each owned partition
+    return ready.withColumn("_place", F.row_number().over(before)).filter(F.col("_place") <= max_records).drop("_at", "_place", "cursor")
 
 
 def admission(events: DataFrame, order: list[str], is_commit: str, max_lag: int) -> DataFrame:
     """Publishes and commits in one order per partition; a commit takes all published so far. A publish is accepted
-    while fewer than ``max_lag`` were accepted since the last commit."""
-    w = Window.partitionBy("partition").orderBy(*order)
-    epochs = events.withColumn("_epoch", F.sum(F.expr(is_commit).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rank = F.row_number().over(Window.partitionBy("partition", "_epoch").orderBy(*order))
-    return epochs.filter(f"NOT ({is_commit})").withColumn("accepted", rank <= max_lag).drop("_epoch")
+    while fewer than ``max_lag`` were accepted since the last commit. A row whose condition is null is a publish.
+
+    So the number of publishes before a row, less that before the last commit, decides. Both are carried over ranges of
+    the order, so a log partition isn't one task.
+    """
+    commit = F.coalesce(F.expr(is_commit), F.lit(False))
+    cut = with_ranges(events, order)
+    counted = carried(cut, ["partition"], order, {"_before": ("before", F.when(commit, 0).otherwise(1).cast("long"))})
+    since = carried(counted, ["partition"], order, {"_taken": ("last", F.when(commit, F.col("_before")))})
+    accepted = F.col("_before") - F.coalesce("_taken", F.lit(0)) < max_lag
+    return since.filter(~commit).withColumn("accepted", accepted).drop("_range", "_before", "_taken")
 
 
 def delivery_audit(published: DataFrame, received: DataFrame, key: str) -> DataFrame:

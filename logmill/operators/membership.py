@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import dense_ordinals
+from .ordering import carried, dense_ordinals, with_ranges
 
 COMMAND = "kind string, topic_name string, num_partitions int, broker_id string, address string"
 
@@ -17,11 +17,13 @@ def liveness(beats: DataFrame, key: str, ms: str, now: DataFrame, timeout_ms: in
 
 
 def sessions(events: DataFrame, key: str, ms: str, gap_ms: int) -> DataFrame:
-    """(key, session_start, session_end, n): a gap of ``gap_ms`` or more parts sessions."""
-    w = Window.partitionBy(key).orderBy(ms)
-    new = F.coalesce((F.col(ms) - F.lag(ms).over(w) >= gap_ms).cast("long"), F.lit(1))
-    numbered = events.select(key, ms).withColumn("_new", new).withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "_s").agg(F.min(ms).alias("session_start"), F.max(ms).alias("session_end"), F.count("*").alias("n")).drop("_s")
+    """(key, session_start, session_end, n): a gap of ``gap_ms`` or more parts sessions. Events without a time are in none.
+    A key's events are worked on in ranges of time, so no key is one task."""
+    each = events.filter(F.col(ms).isNotNull()).groupBy(key, ms).agg(F.count("*").alias("_n"))
+    before = carried(with_ranges(each, [ms]), [key], [ms], {"_before": ("previous", F.col(ms))})
+    new = F.coalesce((F.col(ms) - F.col("_before") >= gap_ms).cast("long"), F.lit(1))
+    numbered = carried(before.withColumn("_new", new), [key], [ms], {"_s": ("before", F.col("_new"))}).withColumn("_s", F.col("_s") + F.col("_new"))
+    return numbered.groupBy(key, "_s").agg(F.min(ms).alias("session_start"), F.max(ms).alias("session_end"), F.sum("_n").alias("n")).drop("_s")
 
 
 def parse_commands(raw: DataFrame, data: str) -> DataFrame:
@@ -32,23 +34,28 @@ def parse_commands(raw: DataFrame, data: str) -> DataFrame:
 def replay(commands: DataFrame, index: str = "log_index") -> DataFrame:
     """Per command of the log its result: value (of the counter; else 0) and error.
 
-    What a command meets is what earlier ones of the same topic or broker did, so windows per topic and broker
-    replace a single ordered walk; the counter's value is an ordinal.
+    What a command meets depends on the first valid creation of its topic, or the first registration of its broker: a
+    row for each of them, looked up by a key that is the command's own where there is nothing to look up. The
+    counter's value is the number of increments before, carried over ranges of the log.
     """
-    first_topic = F.min(F.when(F.col("num_partitions") > 0, F.col(index))).over(Window.partitionBy("kind", "topic_name"))
-    broker = Window.partitionBy("broker_id").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
-    known = F.max((F.col("kind") == "register_broker").cast("int")).over(broker)
-    kind = F.col("kind")
+    kind, topic, broker = F.col("kind"), F.coalesce("topic_name", F.lit("")), F.coalesce("broker_id", F.lit(""))
+    named = lambda tag, name: F.concat(F.lit(tag), name)
+    made = commands.filter("kind = 'create_topic' AND num_partitions > 0").select(named("t", topic).alias("_key"), index)
+    joined = commands.filter("kind = 'register_broker'").select(named("b", broker).alias("_key"), index)
+    first = made.unionAll(joined).groupBy("_key").agg(F.min(index).alias("_first"))
+    key = F.when(kind == "create_topic", named("t", topic)).when(kind == "heartbeat", named("b", broker)).otherwise(named("-", F.col(index).cast("string")))
+    met = commands.withColumn("_key", key).join(first, "_key", "left")
     error = (
         F.when(kind.isNull(), "malformed command")
-        .when((kind == "create_topic") & (F.coalesce("num_partitions", F.lit(0)) <= 0), F.concat(F.lit("invalid partition count: "), "topic_name"))
-        .when((kind == "create_topic") & (F.col(index) > first_topic), F.concat(F.lit("topic already exists: "), "topic_name"))
-        .when((kind == "heartbeat") & (F.coalesce(known, F.lit(0)) == 0), F.concat(F.lit("heartbeat on unregistered broker: "), "broker_id"))
-        .when(~kind.isin("create_topic", "register_broker", "heartbeat", "increment_counter"), F.concat(F.lit("unknown command kind: "), kind))
+        .when((kind == "create_topic") & (F.coalesce("num_partitions", F.lit(0)) <= 0), named("invalid partition count: ", topic))
+        .when((kind == "create_topic") & (F.col(index) > F.col("_first")), named("topic already exists: ", topic))
+        .when((kind == "heartbeat") & ~F.coalesce(F.col("_first") < F.col(index), F.lit(False)), named("heartbeat on unregistered broker: ", broker))
+        .when(~kind.isin("create_topic", "register_broker", "heartbeat", "increment_counter"), named("unknown command kind: ", kind))
     )
-    judged = commands.withColumn("error", error)
-    counted = dense_ordinals(judged.filter(kind == "increment_counter").select(index), [], [index], "_n")
-    return judged.join(counted, index, "left").select(index, "kind", F.coalesce(F.col("_n") + 1, F.lit(0)).alias("value"), "error")
+    counts = (kind == "increment_counter") & kind.isNotNull()
+    judged = met.select(index, "kind", error.alias("error"), F.when(counts, 1).otherwise(0).cast("long").alias("_one"))
+    numbered = dense_ordinals(judged, [], [index], "_n", F.col("_one"))
+    return numbered.select(index, "kind", F.when(F.col("_one") == 1, F.col("_n") + 1).otherwise(0).alias("value"), "error")
 
 
 def topics(commands: DataFrame, index: str = "log_index") -> DataFrame:
@@ -57,6 +64,12 @@ def topics(commands: DataFrame, index: str = "log_index") -> DataFrame:
     return valid.groupBy(F.col("topic_name").alias("name")).agg(F.min_by("num_partitions", index).alias("num_partitions"))
 
 
+def get_topics(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """(name) -> (name, num_partitions, error): what the registry has, or an error where it has no such topic."""
+    known = names.join(registry, "name", "left")
+    return known.select("name", "num_partitions", F.when(F.col("num_partitions").isNull(), F.concat(F.lit("unknown topic: "), "name")).alias("error"))
+
+
 def brokers(commands: DataFrame, now: DataFrame, timeout_ms: int, index: str = "log_index", ms: str = "ms") -> DataFrame:
     """The members after the log: last address, last sign of life, alive. Beats before registration don't count."""
     beats = commands.filter("kind IN ('register_broker', 'heartbeat')")

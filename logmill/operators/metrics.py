@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import scratch_folder
 from .ordering import dense_ordinals
 
+#: Bounds of the publish histogram, in microseconds.
 PUBLISH_BUCKETS = (10, 25, 50, 100, 250, 500, 1000, 5000, 10000)
 
 
@@ -50,12 +52,14 @@ def numeric_stats(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def percentiles(df: DataFrame, by: str, value: str, percents: tuple[int, ...]) -> DataFrame:
-    """Exact: the value at place n * p / 100, rounded down, in sorted order. Values are numbered by a distributed sort."""
-    some = df.filter(F.col(value).isNotNull()).select(by, value)
-    placed = dense_ordinals(some, [by], [value], "_place")
-    n = some.groupBy(by).agg(F.count("*").alias("_n"))
-    wanted = n.select(by, F.explode(F.array(*map(F.lit, percents))).alias("percent"), "_n").withColumn("_place", F.least(F.floor(F.col("_n") * F.col("percent") / 100), F.col("_n") - 1))
-    return wanted.join(placed, [by, "_place"]).select(by, "percent", value)
+    """Exact: the value at place n * p / 100, rounded down, in sorted order. Equal values are counted first, so a value of
+    any share is one row; the places of the rest come from a distributed sort."""
+    each = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    placed = dense_ordinals(each, [by], [value], "_place", F.col("_c"))
+    total = each.groupBy(F.col(by).alias("_by")).agg(F.sum("_c").alias("_n"))
+    at = lambda p: F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)
+    here = F.filter(F.array(*map(F.lit, percents)), lambda p: (at(p) >= F.col("_place")) & (at(p) < F.col("_place") + F.col("_c")))
+    return placed.join(total, F.col(by).eqNullSafe(F.col("_by"))).select(by, F.explode(here).alias("percent"), value)
 
 
 def throughput(df: DataFrame, by: str, ms: str) -> DataFrame:
@@ -63,21 +67,30 @@ def throughput(df: DataFrame, by: str, ms: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"), span.alias("span_ms"), F.round(F.count("*") / (F.when(span > 0, span) / 1000.0), 6).alias("per_second"))
 
 
-def span_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
-    """spans: (trace_id, span_id, parent_span_id (0: a root), start_ms, end_ms). Adds depth and duration, level by level:
-    each level is an equi-join of the spans with the level above. Spans deeper than max_depth levels are an error."""
-    level = spans.filter("parent_span_id = 0").withColumn("depth", F.lit(0))
-    out, depth = level, 0
+def span_tree(spans: DataFrame) -> DataFrame:
+    """spans: (trace_id, span_id, parent_span_id (0: a root), start_ms, end_ms). Adds depth and duration to the spans that
+    a root reaches.
+
+    Pointers double: in each round a span's pointer jumps to where the span it points to points, so spans of depth d are
+    done after log2(d) equi-joins. Rounds are written to the shared folder; one that finishes no span is the last, as what
+    is left hangs on a missing parent or on a cycle. Of a span that comes with several parents the smallest counts.
+    """
+    spark = spans.sparkSession
+    now = spans.groupBy("trace_id", "span_id").agg(F.min("parent_span_id").alias("up")).withColumn("depth", F.when(F.col("up") == 0, 0).otherwise(1))
+    done = 0
     while True:
-        above = level.select("trace_id", F.col("span_id").alias("parent_span_id"))
-        depth += 1
-        level = spans.filter("parent_span_id <> 0").join(above, ["trace_id", "parent_span_id"], "left_semi").withColumn("depth", F.lit(depth))
-        if level.isEmpty():
+        folder = scratch_folder(spark, "spans")
+        now.write.parquet(folder)
+        now = spark.read.schema(now.schema).parquet(folder)
+        state = now.agg(F.count_if(F.col("up") == 0).alias("done"), F.count("*").alias("n")).first()
+        if state["done"] in (done, state["n"]):
             break
-        if depth > max_depth:
-            raise ValueError(f"spans lie deeper than max_depth = {max_depth} levels")
-        out = out.unionByName(level)
-    return out.withColumn("duration_ms", F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)))
+        done = state["done"]
+        above = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        jumped = now.filter("up <> 0").join(above, ["trace_id", "up"], "left")
+        now = now.filter("up = 0").unionByName(jumped.filter("_up IS NOT NULL").select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth")))
+    reached = now.filter("up = 0").select("trace_id", "span_id", "depth")
+    return spans.join(reached, ["trace_id", "span_id"]).select(*spans.columns, "depth", F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)).alias("duration_ms"))
 
 
 def children(spans: DataFrame) -> DataFrame:

@@ -5,42 +5,87 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.storage import partitions_for
 
-def dense_ordinals(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds 0, 1, 2, ... in the given (unique) order within each key, without one task per key.
 
-    Rows are cut into ranges of the first order column, at quantiles that one scan of it gives. Each key is numbered
-    within each range, and the number of rows of the key in earlier ranges (one small row per key and range) is
-    added. A log partition with any share of the rows is hence spread over tasks; a plain row_number() over the key
-    would put it in one. The ranges are constants of the plan, so a lost task is numbered again the same way.
+#: Rows of the sample for each range, and bytes of the input for each, where that asks for more than the shuffle partitions.
+SAMPLE, RANGE_BYTES = 20, 128 << 20
+
+
+def with_ranges(df: DataFrame, order: list[str], name: str = "_range") -> DataFrame:
+    """Adds the number of a row's range in the given order, all order columns counted: about as many rows in each.
+
+    The bounds come from the rows with the smallest hashes, a bounded sample that is the same whenever it is drawn, and
+    are constants of the plan, so a lost task cuts the same way again. A row finds its range in a binary search.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.col(order[0])
-    bounds = df.agg(F.percentile_approx(at, [(i + 1) / n for i in range(n - 1)] or [0.5], 100 * n)).first()[0] or []
-    ranges = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < at)) if bounds else F.lit(0)
-    cut = df.withColumn("_range", F.coalesce(ranges, F.lit(0)))
-    sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    if not keys:  # a number a range, of which there are as many as shuffle partitions
-        counts = {r["_range"]: r["_n"] for r in sizes.collect()}
-        starts = [sum(v for k, v in counts.items() if k < i) for i in range(max(counts, default=0) + 1)]
-        local = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-        return cut.withColumn(name, local + F.element_at(F.array(*map(F.lit, starts)), F.col("_range") + 1).cast("long")).drop("_range")
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
-    return cut.withColumn("_local", local).join(base, [*keys, "_range"]).withColumn(name, (F.col("_local") + F.col("_base")).cast("long")).drop("_range", "_local", "_base")
-
-
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fields: dict[str, F.Column], zero: F.Column, step: Callable, finish: Callable, name: str) -> DataFrame:
-    """One result per key: a fold over its rows in order, as a JVM expression. For histories that fit one row."""
-    row = F.struct(*order, *(c.alias(k) for k, c in fields.items()))
-    folded = F.aggregate(F.array_sort(F.collect_list(row)), zero, step, finish)
-    return df.groupBy(*keys).agg(folded.alias(name))
+    n = partitions_for(df, RANGE_BYTES)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    picked = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLE * n).orderBy(*order)
+    found = picked.select(*(F.col(c).cast("string") for c in order)).collect()
+    cuts = list(dict.fromkeys(tuple(found[i * len(found) // n]) for i in range(1, n))) if found else []
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    text = lambda v: "NULL" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    bounds = F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{i}', try_cast({text(v)} AS {kinds[c]})" for i, (c, v) in enumerate(zip(order, cut, strict=True))) + ")" for cut in cuts) + ")")
+    at = F.struct(*(F.col(c).alias(str(i)) for i, c in enumerate(order)))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        pair = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(F.get(bounds, middle) <= at, pair(middle + 1, s["high"])).otherwise(pair(s["low"], middle))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return df.withColumn(name, F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), halve, lambda s: s["low"]))
+
+
+def carried(cut: DataFrame, keys: list[str], order: list[str], wanted: dict[str, tuple[str, Column]], name: str = "_range") -> DataFrame:
+    """Adds columns that depend on the other rows of a key in a (unique) order, without one task per key. wanted: name ->
+    ("before", x): the sum of x in all rows before; ("last", x): the last x up to and with the row that isn't null;
+    ("previous" or "following", x): x of the row before or after, null for the first or last.
+
+    Each range of a key is worked on alone, and what comes over from its other ranges is added: a row per key and range.
+    """
+    own = Window.partitionBy(*keys, name).orderBy(*order)
+    parts = Window.partitionBy(*keys).orderBy(name)
+    earlier, later = parts.rowsBetween(Window.unboundedPreceding, -1), parts.rowsBetween(1, Window.unboundedFollowing)
+    place = F.struct(*order)
+    local, ends, over, final = {}, [], {}, {}
+    for c, (kind, x) in wanted.items():
+        boxed = F.struct(x.alias("x"))
+        if kind == "before":
+            local[c] = F.coalesce(F.sum(x).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            ends.append(F.sum(x).alias(f"_e_{c}"))
+            over[c] = F.coalesce(F.sum(f"_e_{c}").over(earlier), F.lit(0))
+            final[c] = F.col(f"_l_{c}") + F.col(f"_c_{c}")
+        elif kind == "last":
+            local[c] = F.last(x, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+            ends.append(F.max_by(x, F.when(x.isNotNull(), place)).alias(f"_e_{c}"))
+            over[c] = F.last(f"_e_{c}", ignorenulls=True).over(earlier)
+            final[c] = F.coalesce(f"_l_{c}", f"_c_{c}")
+        elif kind in ("previous", "following"):
+            back = kind == "previous"
+            local[c] = (F.lag if back else F.lead)(boxed).over(own)
+            ends.append((F.max_by if back else F.min_by)(boxed, place).alias(f"_e_{c}"))
+            over[c] = F.last(f"_e_{c}").over(earlier) if back else F.first(f"_e_{c}").over(later)
+            final[c] = F.coalesce(f"_l_{c}", f"_c_{c}")["x"]
+        else:
+            raise ValueError(kind)
+    table = cut.groupBy(*keys, name).agg(*ends).select(*(F.col(k).alias(f"_k_{k}") for k in (*keys, name)), *(o.alias(f"_c_{c}") for c, o in over.items()))
+    within = cut.withColumns({f"_l_{c}": x for c, x in local.items()})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, name)]
+    return within.join(table, on).select(*cut.columns, *(x.alias(c) for c, x in final.items()))
+
+
+def dense_ordinals(df: DataFrame, keys: list[str], order: list[str], name: str, weight: Column | None = None) -> DataFrame:
+    """Adds 0, 1, 2, ... in the given (unique) order within each key (with ``weight``: the sum of it in the rows before),
+    spread over tasks whatever a key's share of the rows. Rows whose key is null are a key of their own."""
+    one = F.lit(1) if weight is None else weight
+    return carried(with_ranges(df, order), keys, order, {name: ("before", one.cast("long"))}).drop("_range")
 
 
 def keyed_scan(df: DataFrame, keys: list[str], order: list[str], fields: list[str], start: Callable, step: Callable, out: str) -> DataFrame:

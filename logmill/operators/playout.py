@@ -1,7 +1,7 @@
 """Repair of numbered packet streams: reorder, gaps, late packets, concealment, retransmission.
 
 packets: (stream, sequence, arrival_ms, payload). A stream starts with its first-arrived packet: earlier
-sequences are late, deadlines count from its arrival.
+sequences are late, deadlines count from its arrival. Only the payload may be null; it then isn't taken over by later slots.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import encode_media
 from ..functions.scalars import silence_of_payload
+from .ordering import carried, with_ranges
+
+#: Slots of a stream that one task plays.
+CHUNK = 1 << 16
 
 
 def starts(packets: DataFrame, interval_ms: int, delay_ms: int) -> DataFrame:
@@ -36,15 +40,25 @@ def playout(packets: DataFrame, interval_ms: int, delay_ms: int, drain: bool) ->
     if not drain:
         on_time = on_time.filter(F.col("arrival_ms") <= F.col("base_ms") + F.col("sequence") * interval_ms)
     kept = on_time.groupBy("stream", "sequence").agg(F.max_by("payload", "arrival_ms").alias("_own"), F.lit(True).alias("_played"))
-    slots = began.select("stream", F.explode(F.sequence("base", "last")).alias("sequence"))
-    filled = Window.partitionBy("stream").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
-    return slots.join(kept, ["stream", "sequence"], "left").select("stream", "sequence", F.when(F.col("_played"), "packet").otherwise("concealed").alias("kind"), F.last("_own", ignorenulls=True).over(filled).alias("payload"))
+    chunk = F.floor(F.col("sequence") / CHUNK)
+    # slots in two steps: an array holds at most CHUNK of them, however far the numbers jump
+    chunks = began.select("stream", "base", "last", F.explode(F.sequence(F.floor(F.col("base") / CHUNK), F.floor(F.col("last") / CHUNK))).alias("_chunk"))
+    slots = chunks.select("stream", "_chunk", F.explode(F.sequence(F.greatest("base", F.col("_chunk") * CHUNK), F.least("last", (F.col("_chunk") + 1) * CHUNK - 1))).alias("sequence"))
+    # what a chunk takes over: the last payload of the chunks before it, a row a chunk
+    ends = kept.filter("_own IS NOT NULL").groupBy("stream", chunk.alias("_chunk")).agg(F.max_by("_own", "sequence").alias("_last"))
+    before = Window.partitionBy("stream").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    begins = chunks.select("stream", "_chunk").join(ends, ["stream", "_chunk"], "left").select("stream", "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_over"))
+    filled = Window.partitionBy("stream", "_chunk").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
+    played = slots.join(kept, ["stream", "sequence"], "left").withColumn("_own", F.last("_own", ignorenulls=True).over(filled))
+    return played.join(begins, ["stream", "_chunk"]).select("stream", "sequence", F.when(F.col("_played"), "packet").otherwise("concealed").alias("kind"), F.coalesce("_own", "_over").alias("payload"))
 
 
 def gaps(packets: DataFrame) -> DataFrame:
-    """(stream, gap_start, gap_end, n_missing) between sequences that arrived; missing numbers are not expanded."""
-    after = F.lead("sequence").over(Window.partitionBy("stream").orderBy("sequence"))
-    return packets.select("stream", "sequence").distinct().withColumn("_next", after).filter("_next > sequence + 1").select("stream", (F.col("sequence") + 1).alias("gap_start"), (F.col("_next") - 1).alias("gap_end"), (F.col("_next") - F.col("sequence") - 1).alias("n_missing"))
+    """(stream, gap_start, gap_end, n_missing) between sequences that arrived; missing numbers are not expanded. Streams are
+    worked on in ranges of the sequence."""
+    each = with_ranges(packets.select("stream", "sequence").distinct(), ["sequence"])
+    found = carried(each, ["stream"], ["sequence"], {"_next": ("following", F.col("sequence"))}).filter("_next > sequence + 1")
+    return found.select("stream", (F.col("sequence") + 1).alias("gap_start"), (F.col("_next") - 1).alias("gap_end"), (F.col("_next") - F.col("sequence") - 1).alias("n_missing"))
 
 
 def late(packets: DataFrame, interval_ms: int, delay_ms: int) -> DataFrame:
@@ -66,8 +80,7 @@ def recoverable(sent: DataFrame, arrived: DataFrame, capacity: int) -> DataFrame
 
 def fill_forward(df: DataFrame, key: str, order: list[str], value: str, good: str, name: str) -> DataFrame:
     """Adds the last value of a good row up to and with each row; null before the first."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(F.when(F.expr(good), F.col(value)), ignorenulls=True).over(w))
+    return carried(with_ranges(df, order), [key], order, {name: ("last", F.when(F.expr(good), F.col(value)))}).drop("_range")
 
 
 def prepare_frames(payloads: DataFrame, interval_ms: int, threshold: int = 200) -> DataFrame:

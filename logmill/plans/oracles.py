@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.metrics import PUBLISH_BUCKETS
 from .queries import BOUNDS, DAY_MS, HOUR_MS, INDEX_BYTES, SEGMENT_BYTES
 
 H = "('0x' || substr(md5({}), 1, 15))::BIGINT"
@@ -48,8 +49,8 @@ UNION ALL SELECT l.partition, l."offset", CASE WHEN full_ THEN l."offset" ELSE s
 NUM = "n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM e)"
 
 
-def histogram(source: str) -> str:
-    bounds = ", ".join(f"({float(x)}::DOUBLE)" for x in BOUNDS)
+def histogram(source: str, bounds: tuple = BOUNDS) -> str:
+    bounds = ", ".join(f"({float(x)}::DOUBLE)" for x in bounds)
     return with_(E, f"s AS ({source})", f"bounds(bound) AS (VALUES {bounds}, (NULL::DOUBLE))", select="SELECT event_type, bound, count(*) FILTER (bound IS NULL OR value < bound) AS cumulative, count(*) AS count, round(sum(value), 4) AS sum FROM s, bounds GROUP BY event_type, bound")
 
 
@@ -66,21 +67,39 @@ def average(alpha: str, rest: str, x: str, name: str) -> str:
 
 RUNNING = (E, NUM, "a AS (SELECT user_id, event_id, rn, ms, value AS x FROM n WHERE rn = 1 UNION ALL SELECT n.user_id, n.event_id, n.rn, n.ms, 0.1::DOUBLE * n.value + 0.9::DOUBLE * a.x FROM a JOIN n ON n.user_id = a.user_id AND n.rn = a.rn + 1)")
 #: Level after an evaluation, by the level before (0, 1, 2) with the rates 128, 512 and 2048 and the headroom 1.3.
-LEVEL = """lad AS (SELECT user_id, 0 AS rn, 0 AS level, 0 AS good, NULL::BIGINT AS event_id FROM n WHERE rn = 1
+def level(n: str) -> str:
+    """n: (user_id, rn, event_id, kbps, loss), the evaluations of each user in order."""
+    return f"""lad AS (SELECT user_id, 0 AS rn, 0 AS level, 0 AS good, NULL::BIGINT AS event_id FROM {n} WHERE rn = 1
 UNION ALL SELECT user_id, rn + 1, CASE WHEN bad THEN greatest(level - 1, 0) WHEN up THEN level + 1 ELSE level END, CASE WHEN bad OR up THEN 0 ELSE good + 1 END, next_id
 FROM (SELECT lad.*, n.event_id AS next_id, n.loss >= 0.05 OR (n.kbps > 0 AND n.kbps < [128, 512, 2048][level + 1] * 1.3::DOUBLE) AS bad,
   good + 1 >= 3 AND level < 2 AND n.kbps >= [128, 512, 2048][least(level + 2, 3)] * 1.3::DOUBLE AS up
-  FROM lad JOIN (SELECT *, floor(value * 20) AS kbps, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS loss FROM n) n ON n.user_id = lad.user_id AND n.rn = lad.rn + 1))"""
+  FROM lad JOIN {n} n ON n.user_id = lad.user_id AND n.rn = lad.rn + 1))"""
+
+
+SAMPLES = "nl AS MATERIALIZED (SELECT *, floor(value * 20) AS kbps, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS loss FROM n)"
 BUCKET = """bk AS (SELECT stream, sequence, ms, size <= 100 AS accepted, 100.0::DOUBLE - CASE WHEN size <= 100 THEN size ELSE 0 END AS tokens FROM q WHERE sequence = 0
 UNION ALL SELECT stream, sequence, ms, size <= t, t - CASE WHEN size <= t THEN size ELSE 0 END
 FROM (SELECT q.stream, q.sequence, q.ms, q.size, least(100.0::DOUBLE, bk.tokens + (q.ms - bk.ms)::DOUBLE / 1000.0::DOUBLE * 200.0::DOUBLE) AS t FROM bk JOIN q ON q.stream = bk.stream AND q.sequence = bk.sequence + 1))"""
+QUEUE = "d AS MATERIALIZED (SELECT *, (sequence // 10) * 1000 AS at_ms, CASE WHEN event_type IN ('error', 'signup') THEN 0 ELSE 1 END AS priority, [1, 2, 4][((sequence // 10) % 3 + 1)::INTEGER] * 125.0::DOUBLE AS rate FROM q)"
+#: At drains of d (stream, sequence, at_ms, priority, size, rate).
 DRAIN = (
-    "d AS MATERIALIZED (SELECT *, (sequence // 10) * 1000 AS at_ms, CASE WHEN event_type IN ('error', 'signup') THEN 0 ELSE 1 END AS priority, [1, 2, 4][((sequence // 10) % 3 + 1)::INTEGER] * 125.0::DOUBLE AS rate FROM q)",
     "o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY at_ms, priority, sequence) AS rn FROM d)",
     """dr AS (SELECT stream, sequence, priority, rn, at_ms, rate, priority = 0 OR size <= rate * 0.5 AS sent, rate * 0.5 - CASE WHEN priority <> 0 AND size <= rate * 0.5 THEN size ELSE 0 END AS tokens FROM o WHERE rn = 1
 UNION ALL SELECT stream, sequence, priority, rn, at_ms, rate, priority = 0 OR size <= t, t - CASE WHEN priority <> 0 AND size <= t THEN size ELSE 0 END
 FROM (SELECT o.*, CASE WHEN o.at_ms = dr.at_ms THEN dr.tokens ELSE least(o.rate * 0.5, least(dr.rate * 0.5, dr.tokens + (o.at_ms - dr.at_ms)::DOUBLE / 1000.0::DOUBLE * dr.rate)) END AS t FROM dr JOIN o ON o.stream = dr.stream AND o.rn = dr.rn + 1))""",
 )
+REPORTS = (
+    "dq AS MATERIALIZED (SELECT * REPLACE (size * 400 AS size), (sequence // 10) * 1000 AS at_ms, CASE WHEN event_type IN ('error', 'signup') THEN 0 ELSE 1 END AS priority FROM q)",
+    "rep AS MATERIALIZED (SELECT stream AS user_id, at_ms AS event_id, row_number() OVER (PARTITION BY stream ORDER BY at_ms) AS rn, max(floor(value) * 20) AS kbps, CASE WHEN count(*) FILTER (event_type = 'error') >= 4 THEN 1.0 ELSE 0.0 END AS loss FROM dq GROUP BY stream, at_ms)",
+    level("rep"),
+    "d AS MATERIALIZED (SELECT dq.*, [128, 512, 2048][level + 1] AS level_kbps, [128, 512, 2048][level + 1] * 125.0::DOUBLE AS rate FROM dq JOIN lad ON lad.user_id = dq.stream AND lad.event_id = dq.at_ms)",
+)
+#: The CRC-32 table, and the check sum of a text's bytes.
+CRC = "crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i))"
+CRC_OF = "xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+#: Segments in order; of each partition's second one the last record is torn.
+TORN = """sm AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY base) = 2 AS torn, base < max(base) OVER (PARTITION BY partition) AS sealed
+  FROM (SELECT partition, base, count(*) AS n, max("offset") AS final_offset, sum(used - position) AS bytes, arg_max(used - position, "offset") AS final FROM seg GROUP BY partition, base))"""
 LAST = "(SELECT event_type, {} AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM e) WHERE rn = 1)"
 NL = "chr(10)"
 
@@ -102,6 +121,11 @@ ORACLES: dict[str, str] = {
     "segment_metadata": with_(E, R, LOG, SEG, recursive=True, select="SELECT partition, base AS segment_base, count(*) AS records, sum(used - position)::BIGINT AS bytes, base < max(base) OVER (PARTITION BY partition) AS sealed FROM seg GROUP BY partition, base"),
     "valid_prefix": with_(E, R, LOG, select='SELECT partition, "offset", event_id FROM (SELECT *, max((value > 250)::INTEGER) OVER (PARTITION BY partition ORDER BY "offset" ROWS UNBOUNDED PRECEDING) AS bad FROM log) WHERE bad = 0'),
     "segment_files": with_(E, R, LOG, select="""SELECT 'events' AS topic, partition, "offset", size AS len, props AS payload FROM log"""),
+    "crc_audit": with_(E, CRC, select=f"SELECT event_id, {CRC_OF.format('props')} AS crc FROM e, crc_table"),
+    "segment_read_from": with_(E, R, LOG, CRC, select=f"""SELECT partition, "offset", {CRC_OF.format("coalesce(props, '')")} AS crc FROM log, crc_table WHERE partition = 2 AND "offset" >= 50"""),
+    "segment_stream": with_(E, R, LOG, select="""SELECT 'events' AS topic, partition, "offset", size AS len FROM log"""),
+    "log_recovery": with_(E, R, LOG, SEG, TORN, recursive=True, select="SELECT 'events' AS topic, partition, base AS segment_base, n - torn::BIGINT AS records, (bytes - CASE WHEN torn THEN final ELSE 0 END)::BIGINT AS bytes, sealed, base + n - torn::BIGINT AS next_offset, torn FROM sm"),
+    "poll_to_gap": with_(E, R, LOG, SEG, TORN, recursive=True, select="""SELECT log.partition, log."offset" FROM log LEFT JOIN (SELECT partition, final_offset FROM sm WHERE torn) t USING (partition) WHERE final_offset IS NULL OR log."offset" < final_offset"""),
     "group_assignment": "SELECT grp, consumer_index, partition FROM (VALUES ('fast', 2, 0), ('fast', 2, 1), ('slow', 1, 0), ('wide', 3, 0), ('wide', 3, 1), ('wide', 3, 2)) m(grp, n, consumer_index), (SELECT unnest(range(4))::INTEGER AS partition) WHERE partition % n = consumer_index",
     "group_lag": with_(E, R, LOG, PARTS, HWM, GRP, select="SELECT partition, grp, committed, next_offset, greatest(next_offset - committed, 0) AS lag, next_offset - committed >= 500 AS over_limit FROM grps"),
     "min_committed": with_(E, R, LOG, PARTS, HWM, GRP, select="SELECT partition, next_offset, min(committed) AS min_committed, greatest(next_offset - min(committed), 0) AS lag FROM grps GROUP BY partition, next_offset"),
@@ -120,13 +144,15 @@ ORACLES: dict[str, str] = {
     "ema_loss": average("0.2", "0.8", "(event_type = 'error')::INTEGER::DOUBLE", "loss"),
     "ema_rtt": average("0.1", "0.9", "value", "rtt_ms"),
     "ema_running": with_(*RUNNING, recursive=True, select="SELECT event_id, round(x, 6) AS rtt_ms FROM a"),
-    "bitrate_ladder": with_(E, NUM, LEVEL, recursive=True, select="SELECT event_id, ['low', 'medium', 'high'][level + 1] AS level, [128, 512, 2048][level + 1]::INTEGER AS level_kbps FROM lad WHERE rn > 0"),
+    "bitrate_ladder": with_(E, NUM, SAMPLES, level("nl"), recursive=True, select="SELECT event_id, ['low', 'medium', 'high'][level + 1] AS level, [128, 512, 2048][level + 1]::INTEGER AS level_kbps FROM lad WHERE rn > 0"),
     "token_bucket": with_(E, SENT, REQ, BUCKET, recursive=True, select="SELECT stream, sequence, accepted FROM bk"),
-    "priority_drain": with_(E, SENT, REQ, *DRAIN, recursive=True, select="SELECT stream, sequence, priority, sent FROM dr"),
+    "priority_drain": with_(E, SENT, REQ, QUEUE, *DRAIN, recursive=True, select="SELECT stream, sequence, priority, sent FROM dr"),
+    "adaptive_drain": with_(E, SENT, REQ, *REPORTS, *DRAIN, recursive=True, select="SELECT dr.stream, dr.sequence, dr.priority, level_kbps::INTEGER AS level_kbps, sent FROM dr JOIN d USING (stream, sequence)"),
     "metric_counters": "SELECT event_type, count(*) AS value FROM events GROUP BY event_type",
     "gauge_last": with_(E, select=f"SELECT * FROM {LAST.format('value')}"),
     "latency_histogram": histogram("SELECT * FROM e"),
     "sampled_latency": histogram("SELECT * FROM e WHERE event_id % 16 = 0"),
+    "publish_latency": histogram("SELECT event_type, floor(value * 30)::BIGINT AS value FROM e", PUBLISH_BUCKETS).replace("round(sum(value), 4) AS sum", "sum(value)::BIGINT AS sum"),
     "prometheus_text": with_(E, f"parts AS (SELECT 0 AS k, event_type, '# TYPE events_total_' || event_type || ' counter' || {NL} || 'events_total_' || event_type || ' ' || count(*) || {NL} AS t FROM e GROUP BY event_type UNION ALL SELECT 1, event_type, '# TYPE last_value_' || event_type || ' gauge' || {NL} || 'last_value_' || event_type || ' ' || value || {NL} FROM {LAST.format('floor(value)::BIGINT')} UNION ALL SELECT 2, event_type, '# TYPE value_' || event_type || ' histogram' || {NL} || " + " || ".join(f"'value_' || event_type || '_bucket{{le=\"{x}\"}} ' || count(*) FILTER (floor(value) < {x}) || {NL}" for x in BOUNDS) + f" || 'value_' || event_type || '_bucket{{le=\"+Inf\"}} ' || count(*) || {NL} || 'value_' || event_type || '_sum ' || sum(floor(value))::BIGINT || {NL} || 'value_' || event_type || '_count ' || count(*) || {NL} FROM e GROUP BY event_type)", select="SELECT string_agg(t, '' ORDER BY k, event_type) AS text FROM parts"),
     "raft_stats": "SELECT 'n' || (user_id % 3) AS node, event_type AS key, event_id AS value FROM events WHERE event_id % 2 = 0 AND event_type IN ('click', 'view')",
     "exact_percentiles": "SELECT event_type, p::INTEGER AS percent, list_sort(list(value))[least(count(*) * p // 100, count(*) - 1) + 1] AS value FROM events, (VALUES (50), (90), (99), (100)) q(p) WHERE value IS NOT NULL GROUP BY event_type, p",
@@ -142,6 +168,7 @@ WHEN kind = 'create_topic' AND log_index > min(CASE WHEN parts > 0 THEN log_inde
 WHEN kind = 'heartbeat' AND coalesce(max((kind = 'register_broker')::INTEGER) OVER (PARTITION BY CASE WHEN kind IS NULL THEN NULL ELSE broker END ORDER BY log_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 THEN 'heartbeat on unregistered broker: ' || broker
 WHEN kind = 'noop' THEN 'unknown command kind: noop' END AS error FROM c"""),
     "topic_registry": with_(E, COMMANDS, select="SELECT topic AS name, arg_min(parts, log_index) AS num_partitions FROM c WHERE kind = 'create_topic' AND parts > 0 GROUP BY topic"),
+    "topic_lookup": with_(E, COMMANDS, "reg AS (SELECT topic AS name, arg_min(parts, log_index) AS num_partitions FROM c WHERE kind = 'create_topic' AND parts > 0 GROUP BY topic)", "asked AS (SELECT 't' || CASE WHEN i % 3 = 2 THEN i + 1000 ELSE i END AS name FROM (SELECT unnest(range(30)) AS i))", select="SELECT name, num_partitions, CASE WHEN num_partitions IS NULL THEN 'unknown topic: ' || name END AS error FROM asked LEFT JOIN reg USING (name)"),
     "broker_registry": with_(E, COMMANDS, "f AS (SELECT broker, min(log_index) AS first, arg_max(address, log_index) AS address FROM c WHERE kind = 'register_broker' GROUP BY broker)", select=f"SELECT broker AS broker_id, f.address, max(ms) AS last_ms, (SELECT max(ms) FROM e) - max(ms) < {DAY_MS} AS alive FROM c JOIN f USING (broker) WHERE kind IN ('register_broker', 'heartbeat') AND log_index >= first GROUP BY broker, f.address"),
     "replication_lag": with_(E, R, LOG, PARTS, HWM, select="SELECT 'n' || partition AS node, greatest((SELECT next_offset FROM hwm WHERE partition = 0) - floor(next_offset * 0.9::DOUBLE)::BIGINT, 0) AS lag FROM hwm"),
     "counter_linearizability": "SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct, min(event_id + 1) AS least, max(event_id + 1) AS most, count(*) = count(DISTINCT event_id) AND min(event_id + 1) = 1 AND max(event_id + 1) = count(*) AS linearizable FROM events",
@@ -155,5 +182,7 @@ WHEN kind = 'noop' THEN 'unknown command kind: noop' END AS error FROM c"""),
     "stream_tumbling_counts": with_(E, select=f"SELECT w AS window_start_ms, event_type, count(*) AS n FROM (SELECT ms // {HOUR_MS} * {HOUR_MS} AS w, event_type FROM e) WHERE w + {HOUR_MS} <= (SELECT max(ms) FROM e) - 600000 GROUP BY w, event_type"),
     "stream_sessions": with_(E, SESSIONS, select=f"SELECT user_id, session_start, session_end, n FROM (SELECT *, lead(session_start) OVER (PARTITION BY user_id ORDER BY session_start) AS after FROM ses) WHERE after IS NOT NULL OR session_end + {6 * HOUR_MS} <= (SELECT max(ms) FROM e)"),
     "stream_dedup": "SELECT event_id, user_id FROM events",
+    "stream_bandwidth": with_(E, select=f"SELECT user_id, ms, round(sum(floor(value * 100)) OVER w * 8.0::DOUBLE / 1000.0::DOUBLE / (greatest(ms - min(ms) OVER w, 1)::DOUBLE / 1000.0::DOUBLE), 6) AS kbps FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN {DAY_MS} PRECEDING AND CURRENT ROW)"),
+    "stream_playout": with_(*slots(ON_TIME), "ends AS (SELECT stream, max(arrival_ms) AS newest FROM arr GROUP BY stream)", select="SELECT stream, sequence, kind, payload FROM played JOIN began USING (stream) JOIN ends USING (stream) WHERE base_ms + sequence * 20 < newest OR base_ms + last * 20 < (SELECT max(newest) FROM ends)"),
     "stream_ema": with_(*RUNNING, recursive=True, select="SELECT user_id, ms, round(x, 6) AS rtt_ms FROM a"),
 }

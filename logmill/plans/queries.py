@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, scalars
 from ..operators import control, estimators, groups, log, membership, metrics, playout, routing
 from ..sources import config, segments
-from ..sources.storage import scratch_folder
+from ..sources.storage import file_system, scratch_folder
 from ..streaming import processors
 from ..streaming.run import all_available
 from . import bindings as b
@@ -122,17 +122,64 @@ def crc_audit(spark, sf):
     return b.events(spark, sf).select("event_id", F.crc32("props").alias("crc"))
 
 
+def _written_log(spark, sf):
+    """The log as segment files, through the sink."""
+    segments.register(spark)
+    whole = b.event_log(spark, sf).select(F.lit("events").alias("topic"), "partition", "offset", F.col("props").alias("payload"))
+    return segments.append(whole, scratch_folder(spark, "segments"), SEGMENT_BYTES, INDEX_BYTES)
+
+
 @query
 def segment_files(spark, sf):
     """Writes the log as segment files and reads them back through the source."""
-    segments.register(spark)
-    whole = b.event_log(spark, sf).select("partition", "offset", F.col("props").alias("payload"), "size")
-    laid = log.layout(whole, SEGMENT_BYTES, INDEX_BYTES).join(whole.drop("size"), ["partition", "offset"])
-    folder = scratch_folder(spark, "segments")
-    segments.write_segments(laid, folder, "events").write.parquet(f"{folder}/written")
+    folder = _written_log(spark, sf)
     return spark.read.format("segments").load(folder).select("topic", "partition", "offset", "len", F.col("payload").cast("string").alias("payload"))
 
 
+@query
+def segment_read_from(spark, sf):
+    """The records of one partition from an offset on, found by segment names and the stored index."""
+    folder = _written_log(spark, sf)
+    return spark.read.format("segments").load(folder).filter("topic = 'events' AND partition = 2 AND offset >= 50").select("partition", "offset", "crc")
+
+
+@query
+def segment_stream(spark, sf):
+    """The segment files as a stream."""
+    folder = _written_log(spark, sf)
+    return all_available(spark.readStream.format("segments").load(folder).select("topic", "partition", "offset", "len"))
+
+
+def _torn_log(spark, sf):
+    """The log on disk; of each partition's second segment the last five bytes are gone."""
+    folder = _written_log(spark, sf)
+    system, _ = file_system(folder)
+    seen: dict[int, int] = {}
+    for s in segments.list_segments(folder):
+        seen[s.partition] = seen.get(s.partition, 0) + 1
+        if seen[s.partition] == 2:
+            with system.open_input_stream(s.path) as file:
+                blob = file.read()
+            with system.open_output_stream(s.path) as file:
+                file.write(blob[:-5])
+    return folder
+
+
+@query
+def log_recovery(spark, sf):
+    """What recovery finds and cuts, by segment."""
+    return segments.recover(spark, _torn_log(spark, sf), INDEX_BYTES).withColumn("torn", F.col("torn_bytes") > 0).drop("torn_bytes")
+
+
+@query
+def poll_to_gap(spark, sf):
+    """After recovery a reader from offset 0 gets each partition's records up to the first one that was lost."""
+    folder = _torn_log(spark, sf)
+    segments.recover(spark, folder, INDEX_BYTES).write.format("noop").mode("overwrite").save()
+    cursors = spark.range(P).select(F.col("id").cast("int").alias("partition"), F.lit(0).cast("long").alias("cursor"))
+    return groups.poll(spark.read.format("segments").load(folder), cursors, 100_000_000).select("partition", "offset")
+
+
 def _members(spark):
     return spark.createDataFrame([("fast", 2, 0), ("fast", 2, 1), ("slow", 1, 0), ("wide", 3, 0), ("wide", 3, 1), ("wide", 3, 2)], "grp string, group_size int, consumer_index int")
 
@@ -252,6 +299,15 @@ def priority_drain(spark, sf):
     return control.priority_drain(queued, "stream", "drain_ms", "priority", ["sequence"], "size", "kbps").select("stream", "sequence", "priority", "sent")
 
 
+@query
+def adaptive_drain(spark, sf):
+    """Drains of ten requests each, at the rate of the level that the drain's own report leads to."""
+    turn = F.expr("sequence div 10")
+    queued = _requests(spark, sf).withColumn("drain_ms", turn * 1000).withColumn("priority", F.when(F.col("event_type").isin("error", "signup"), 0).otherwise(1)).withColumn("size", F.col("size") * 400)
+    reports = queued.groupBy("stream", "drain_ms").agg(F.max(F.floor("value") * 20).alias("kbps"), F.when(F.count_if(F.col("event_type") == "error") >= 4, 1.0).otherwise(0.0).alias("loss"))
+    return control.adaptive_drain(queued, reports, "stream", "drain_ms", "priority", ["sequence"], "size", "kbps", "loss").select("stream", "sequence", "priority", "level_kbps", "sent")
+
+
 @query
 def metric_counters(spark, sf):
     return metrics.counters(b.events(spark, sf), "event_type")
@@ -275,6 +331,13 @@ def sampled_latency(spark, sf):
     return metrics.histogram(metrics.sampled(b.events(spark, sf), "event_id"), "event_type", "value", BOUNDS).withColumn("sum", F.round("sum", 4))
 
 
+@query
+def publish_latency(spark, sf):
+    """The publish histogram, of values taken as microseconds."""
+    e = b.events(spark, sf).withColumn("us", F.floor(F.col("value") * 30))
+    return metrics.histogram(e, "event_type", "us", metrics.PUBLISH_BUCKETS)
+
+
 @query
 def prometheus_text(spark, sf):
     e = b.events(spark, sf).withColumn("whole", F.floor("value"))
@@ -338,6 +401,13 @@ def topic_registry(spark, sf):
     return membership.topics(_commands(spark, sf))
 
 
+@query
+def topic_lookup(spark, sf):
+    """Every third name was never created."""
+    asked = spark.range(30).select(F.concat(F.lit("t"), F.when(F.col("id") % 3 == 2, F.col("id") + 1000).otherwise(F.col("id"))).alias("name"))
+    return membership.get_topics(asked, topic_registry(spark, sf))
+
+
 @query
 def broker_registry(spark, sf):
     e = b.events(spark, sf)
@@ -410,10 +480,8 @@ def _stream(spark, sf):
     """events as a stream, its time stamp in the session's zone. All files are one batch: with more, the rows of a later file
     that are older than the watermark of those before would be dropped as late."""
     schema = b.table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
-    is_folder = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
-    folder = is_folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(is_folder).isDirectory()
-    stream = raw.load(f"{sf}/events.parquet", format="parquet") if folder else raw.option("pathGlobFilter", "events.parquet").load(sf, format="parquet")
+    # a table is a file or a folder of files, any of which the glob names
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf}/events.parque[t]")
     return stream.withColumn("ms", scalars.millis("ts")).withColumn("at", F.timestamp_millis("ms"))
 
 
@@ -431,7 +499,10 @@ def stream_sessions(spark, sf):
 
 @query
 def stream_dedup(spark, sf):
-    return all_available(processors.dedup(_stream(spark, sf), "at", ["event_id"], "1 hour").select("event_id", "user_id"))
+    """Every third event comes twice, and every seventh three times."""
+    times = F.when(F.col("event_id") % 7 == 0, 3).when(F.col("event_id") % 3 == 0, 2).otherwise(1)
+    again = _stream(spark, sf).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    return all_available(processors.dedup(again, "at", ["event_id"], "1 hour").select("event_id", "user_id"))
 
 
 @query
@@ -440,10 +511,18 @@ def stream_ema(spark, sf):
     return all_available(processors.keyed(rows, "user_id", processors.Ema(0.1))).select("user_id", "ms", F.round("ema", 6).alias("rtt_ms"))
 
 
+@query
+def stream_bandwidth(spark, sf):
+    rows = _stream(spark, sf).select("user_id", "ms", F.floor(F.col("value") * 100).cast("long").alias("bytes"))
+    return all_available(processors.keyed(rows, "user_id", processors.SlidingRate(DAY_MS))).select("user_id", "ms", F.round("kbps", 6).alias("kbps"))
+
+
 @query
 def stream_playout(spark, sf):
-    """The packets as written to a table of their own, played as a stream."""
+    """The packets as written to a table of their own, played as a stream. A day is added to their times: watermarks begin
+    in 1970, so a packet of millisecond 0 would be late."""
     folder = scratch_folder(spark, "packets")
-    b.arrived(spark, sf).select("stream", "sequence", "arrival_ms", "payload", F.timestamp_millis("arrival_ms").alias("at")).write.parquet(f"{folder}/packets")
+    came = F.col("arrival_ms") + DAY_MS
+    b.arrived(spark, sf).select("stream", "sequence", came.alias("arrival_ms"), "payload", F.timestamp_millis(came).alias("at")).write.parquet(f"{folder}/packets")
     rows = spark.readStream.schema("stream long, sequence long, arrival_ms long, payload string, at timestamp").parquet(f"{folder}/packets")
     return all_available(processors.keyed(rows, "stream", processors.Playout(b.INTERVAL_MS, b.DELAY_MS), "at"))

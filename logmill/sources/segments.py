@@ -1,11 +1,16 @@
-"""Segment files as a Spark source and sink.
+"""Segment files as a Spark source and sink, batch and streaming.
 
 Fixed values: a record is offset (64 bits), payload length and CRC-32 (32 bits each), little-endian, and the payload;
 a segment is named by its first offset in 20 digits; a log lies in <folder>/<topic>/partition-<n>/.
 
-Reading checks every record and ends a segment at the first one that is empty, out of order, cut off or damaged.
-One segment is one input partition; filters on topic, partition and offset prune whole segments before any is
-opened. Files are reached with pyarrow, so the folder may be in any shared storage that it knows.
+Beside each segment lies its sparse index (.idx): offset and position, 64 bits each, of the first record and of one
+after every so many bytes. Reading checks every record and ends a segment at the first one that is empty, out of order,
+cut off or damaged; a read from an offset on begins at the index entry before it, so damage before that isn't met.
+recover() cuts segments to their valid records, and then both ways agree.
+
+One segment is one input partition, in streams too; filters on topic, partition and offset prune whole segments before
+any is opened. Files are reached with pyarrow, so the folder may be in any shared storage that it knows; it needs its
+scheme (storage.qualified() gives it the one that Spark would).
 """
 
 from __future__ import annotations
@@ -14,27 +19,21 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
-
-HEADER = "<QII"
-HEADER_BYTES = 16
-SCHEMA = "topic string, partition int, offset long, len long, crc long, payload binary"
-
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-def file_system(uri: str):
-    from pyarrow import fs
+from .storage import file_system, qualified, scratch_folder
 
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+HEADER, ENTRY = "<QII", "<QQ"
+HEADER_BYTES, SEGMENT_BYTES, INDEX_BYTES = 16, 64 << 20, 4096
+SCHEMA = "topic string, partition int, offset long, len long, crc long, payload binary"
+RECOVERED = "topic string, partition int, segment_base long, records long, bytes long, torn_bytes long, sealed boolean, next_offset long"
 
 
 def encode_record(offset: int, payload: bytes) -> bytes:
@@ -112,35 +111,143 @@ class SegmentReader(DataSourceReader):
         if not segment.path:
             return
         system, _ = file_system(self.folder)
-        with system.open_input_stream(segment.path) as file:
-            for offset, size, crc, payload in replay(file, segment.base):
+        offset, position = indexed_place(system, segment, self.least)
+        with system.open_input_file(segment.path) as file:
+            file.seek(position)
+            for offset, size, crc, payload in replay(file, offset):
                 yield segment.topic, segment.partition, offset, size, crc, payload
 
 
-class SegmentStream(SimpleDataSourceStreamReader):
-    """Whole segments as they appear; a position is the number of segments of each partition that were read."""
+def indexed_place(system, segment: Segment, least: int) -> tuple[int, int]:
+    """Offset and position of the last index entry at or before ``least``; of the first record without an index."""
+    path = segment.path.removesuffix(".seg") + ".idx"
+    if least <= segment.base or not system.get_file_info(path).is_file:
+        return segment.base, 0
+    with system.open_input_stream(path) as file:
+        blob = file.read()
+    entries = list(struct.iter_unpack(ENTRY, blob[: len(blob) // 16 * 16]))
+    at = bisect_right(entries, (least, 1 << 63)) - 1
+    return entries[at] if at >= 0 else (segment.base, 0)
+
+
+class SegmentStream(DataSourceStreamReader):
+    """Whole segments as they appear, each read by a task. A position is the first offset of the last segment of each
+    partition that was read; a log only grows at its end."""
 
     def __init__(self, folder: str):
         self.folder = folder
 
-    def initialOffset(self):
+    def initialOffset(self) -> dict:
         return {}
 
-    def _new(self, start, end=None):
-        count: dict[str, int] = {}
-        for s in list_segments(self.folder):
-            key = f"{s.topic}/{s.partition}"
-            count[key] = count.get(key, 0) + 1
-            if count[key] > start.get(key, 0) and (end is None or count[key] <= end.get(key, 0)):
-                yield from SegmentReader(self.folder).read(s)
-        self._seen = count
+    def latestOffset(self) -> dict:
+        return {f"{s.topic}/{s.partition}": s.base for s in list_segments(self.folder)}  # in rising order
 
-    def read(self, start):
-        rows = list(self._new(start))
-        return iter(rows), self._seen
+    def partitions(self, start: dict, end: dict):
+        name = lambda s: f"{s.topic}/{s.partition}"
+        return [s for s in list_segments(self.folder) if start.get(name(s), -1) < s.base <= end.get(name(s), -1)] or [Segment("", 0, 0, "")]
 
-    def readBetweenOffsets(self, start, end):
-        return self._new(start, end)
+    def read(self, partition):
+        return SegmentReader(self.folder).read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    #: (temporary path, path) of each file, an index before its segment.
+    moves: list
+
+
+class SegmentFile:
+    """A segment and its index that are being written under other names."""
+
+    def __init__(self, system, folder: str, base: int, index_bytes: int):
+        self.system, self.base, self.index_bytes, self.entries = system, base, index_bytes, []
+        self.records = self.size = 0
+        self.since = index_bytes
+        system.create_dir(folder, recursive=True)
+        self.path, self.temporary = f"{folder}/{base:020d}", f"{folder}/_{uuid.uuid4().hex}"
+        self.out = system.open_output_stream(self.temporary + ".seg")
+
+    def add(self, offset: int, payload: bytes) -> None:
+        record = encode_record(offset, payload)
+        if self.since >= self.index_bytes or self.since + len(record) >= self.index_bytes:
+            self.entries.append((offset, self.size))
+            self.since = 0
+        else:
+            self.since += len(record)
+        self.out.write(record)
+        self.records, self.size = self.records + 1, self.size + len(record)
+
+    def close(self) -> list[tuple[str, str]]:
+        self.out.close()
+        with self.system.open_output_stream(self.temporary + ".idx") as file:
+            file.write(b"".join(struct.pack(ENTRY, *e) for e in self.entries))
+        return [(self.temporary + end, self.path + end) for end in (".idx", ".seg")]
+
+
+def _moved(folder: str, messages) -> None:
+    system, _ = file_system(folder)
+    for message in messages:
+        for temporary, path in message.moves if message is not None else ():
+            system.move(temporary, path)
+
+
+class SegmentWriter(DataSourceArrowWriter):
+    """Takes rows in order of topic, partition and offset (see arranged()) and writes them as segments; where rows have no
+    segment_base, a segment is closed before a record that would pass segment_bytes. Nothing is seen before all
+    tasks are done: then files are moved into place."""
+
+    def __init__(self, folder: str, names: list[str], segment_bytes: int, index_bytes: int):
+        self.folder, self.names, self.segment_bytes, self.index_bytes = folder, names, segment_bytes, index_bytes
+
+    def write(self, iterator):
+        system, root = file_system(self.folder)
+        at = {n: i for i, n in enumerate(self.names)}
+        moves, now, file = [], None, None
+        for batch in iterator:
+            columns = [batch.column(at[n]).to_pylist() for n in ("topic", "partition", "offset", "payload")]
+            bases = batch.column(at["segment_base"]).to_pylist() if "segment_base" in at else [None] * batch.num_rows
+            for topic, partition, offset, payload, base in zip(*columns, bases, strict=True):
+                payload = payload or b""
+                if HEADER_BYTES + len(payload) > self.segment_bytes:
+                    raise ValueError(f"record too large: {HEADER_BYTES + len(payload)} bytes in segments of {self.segment_bytes}")
+                full = file is not None and file.size + HEADER_BYTES + len(payload) > self.segment_bytes
+                if file is None or (topic, partition, base) != now or (base is None and full):
+                    moves += file.close() if file is not None else []
+                    now = (topic, partition, base)
+                    file = SegmentFile(system, f"{root}/{topic}/partition-{partition}", offset if base is None else base, self.index_bytes)
+                file.add(offset, payload)
+        moves += file.close() if file is not None else []
+        return Written(moves)
+
+    def commit(self, messages):
+        _moved(self.folder, messages)
+
+    def abort(self, messages):
+        system, _ = file_system(self.folder)
+        for message in messages:
+            for temporary, _ in message.moves if message is not None else ():
+                if system.get_file_info(temporary).is_file:
+                    system.delete_file(temporary)
+
+
+class SegmentStreamWriter(DataSourceStreamArrowWriter):
+    """The same for streams: a batch that runs again writes the same segments over."""
+
+    def __init__(self, inner: SegmentWriter):
+        self.inner = inner
+
+    def write(self, iterator):
+        return self.inner.write(iterator)
+
+    def commit(self, messages, batchId):
+        self.inner.commit(messages)
+
+    def abort(self, messages, batchId):
+        self.inner.abort(messages)
 
 
 class SegmentSource(DataSource):
@@ -156,45 +263,79 @@ class SegmentSource(DataSource):
     def reader(self, schema):
         return SegmentReader(self.options["path"])
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return SegmentStream(self.options["path"])
 
+    def writer(self, schema, overwrite):
+        if overwrite:
+            raise ValueError("segments are only appended")
+        return SegmentWriter(self.options["path"], schema.names, int(self.options.get("segmentBytes", SEGMENT_BYTES)), int(self.options.get("indexBytes", INDEX_BYTES)))
+
+    def streamWriter(self, schema, overwrite):
+        return SegmentStreamWriter(self.writer(schema, False))
+
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known, and lets filters reach Python sources."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SegmentSource)
 
 
-def write_segments(laid: DataFrame, folder: str, topic: str, payload: str = "payload") -> DataFrame:
-    """laid: (partition, offset, segment_base, payload). Writes each segment under another name and moves it into
-    place, so a task that runs again only replaces whole files; returns (partition, segment_base, records, bytes)."""
+def arranged(records: DataFrame) -> DataFrame:
+    """(topic, partition, offset, payload, maybe segment_base) in the order that the sink takes them: a segment, or a log
+    partition where segments are cut by the sink, is one task's."""
+    of = ["topic", "partition", *(["segment_base"] if "segment_base" in records.columns else [])]
+    kinds = {"topic": "string", "partition": "int", "segment_base": "long", "offset": "long", "payload": "binary"}
+    return records.select(*(F.col(c).cast(kinds[c]).alias(c) for c in (*of, "offset", "payload"))).repartition(*of).sortWithinPartitions(*of, "offset")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = file_system(folder)
-        now, out, path, temporary, records, size, made = None, None, "", "", 0, 0, []
 
-        def close() -> None:
-            out.close()
-            system.move(temporary, path)
-            made.append((*now, records, size))
+def append(records: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, index_bytes: int = INDEX_BYTES) -> str:
+    """Appends records to the log in ``folder``; returns the folder as it can be read."""
+    folder = qualified(records.sparkSession, folder)
+    arranged(records).write.format("segments").option("segmentBytes", segment_bytes).option("indexBytes", index_bytes).mode("append").save(folder)
+    return folder
+
+
+def write_segments(laid: DataFrame, folder: str, topic: str, payload: str = "payload", index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """Appends records whose segments are known, laid: (partition, offset, segment_base, payload), to a topic's log; returns
+    (partition, segment_base, records, bytes)."""
+    register(laid.sparkSession)
+    rows = laid.withColumns({"topic": F.lit(topic), "payload": F.col(payload).cast("binary")})
+    append(rows, folder, (1 << 63) - 1, index_bytes)
+    return rows.groupBy("partition", "segment_base").agg(F.count("*").alias("records"), F.sum(F.coalesce(F.octet_length("payload"), F.lit(0)) + HEADER_BYTES).alias("bytes"))
 
+
+def recover(spark: SparkSession, folder: str, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """Cuts every segment, at once, to its valid records and writes its index anew where any were lost. One row (RECOVERED) a segment:
+    all but the last of a log partition are sealed, and the last tells the partition's next offset. A segment is one
+    task; a task that runs again finds nothing more to cut."""
+    folder = qualified(spark, folder)
+    found = list_segments(folder)
+    last = {(s.topic, s.partition): s.base for s in found}
+    rows = [(s.topic, s.partition, s.base, s.path, s.base < last[s.topic, s.partition]) for s in found]
+    listed = spark.createDataFrame(rows, "topic string, partition int, base long, path string, sealed boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = file_system(folder)
         for batch in batches:
-            for partition, _, base, data in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                if (partition, base) != now:
-                    if out is not None:
-                        close()
-                    now, records, size = (partition, base), 0, 0
-                    where = f"{root}/{topic}/partition-{partition}"
-                    system.create_dir(where, recursive=True)
-                    path, temporary = f"{where}/{base:020d}.seg", f"{where}/_{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
-                    out = system.open_output_stream(temporary)
-                record = encode_record(_, data or b"")
-                out.write(record)
-                records, size = records + 1, size + len(record)
-        if out is not None:
-            close()
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.record_batch([pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)], names=["partition", "segment_base", "records", "bytes"])
-
-    rows = laid.selectExpr("cast(partition AS int) AS partition", "cast(offset AS bigint) AS offset", "segment_base", f"cast({payload} AS binary) AS payload")
-    return rows.repartition("partition", "segment_base").sortWithinPartitions("partition", "segment_base", "offset").mapInArrow(run, "partition int, segment_base long, records long, bytes long")
+            out = []
+            for topic, partition, base, path, sealed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size, before = 0, system.get_file_info(path).size
+                records = 0
+                with system.open_input_file(path) as file:
+                    for _, n, _, _ in replay(file, base):
+                        records, size = records + 1, size + HEADER_BYTES + n
+                if size < before:
+                    cut = SegmentFile(system, path.rsplit("/", 1)[0], base, index_bytes)
+                    with system.open_input_file(path) as file:
+                        for offset, _, _, payload in replay(file, base):
+                            cut.add(offset, payload)
+                    for temporary, name in cut.close():
+                        system.move(temporary, name)
+                out.append((topic, partition, base, records, size, before - size, sealed, base + records))
+            kinds = (pa.string(), pa.int32(), *[pa.int64()] * 4, pa.bool_(), pa.int64())
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in RECOVERED.split(", ")])
+
+    told = scratch_folder(spark, "recovered")
+    listed.repartition(max(1, len(rows))).mapInArrow(run, RECOVERED).write.parquet(told)
+    return spark.read.schema(RECOVERED).parquet(told)

@@ -5,6 +5,7 @@ Tables of the batch operators have timestamps without time zone; streams need on
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,18 +40,50 @@ class Ema(StatefulProcessor):
         now = self.state.get()[0] if self.state.exists() else None
         out = []
         for r in pd.concat(list(rows)).sort_values("ms").itertuples():
-            now = float(r.x) if now is None else self.alpha * float(r.x) + (1 - self.alpha) * now
+            if not pd.isna(r.x):  # a null sample leaves the average as it is
+                now = float(r.x) if now is None else self.alpha * float(r.x) + (1 - self.alpha) * now
             out.append((key[0], r.ms, now))
-        self.state.update((now,))
+        if now is not None:
+            self.state.update((now,))
         yield pd.DataFrame(out, columns=["user_id", "ms", "ema"])
 
     def close(self) -> None:
         pass
 
 
+class SlidingRate(StatefulProcessor):
+    """Input (user_id, ms, bytes): kbps over the samples of the last window_ms after each sample, as the batch operator has it.
+    What is held of a key is its last window; batches are taken in order of ms, and samples of one ms together."""
+
+    OUT = StructType([StructField("user_id", LongType()), StructField("ms", LongType()), StructField("kbps", DoubleType())])
+
+    def __init__(self, window_ms: int):
+        self.window_ms = window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", StructType([StructField("ms", LongType()), StructField("bytes", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, out = deque(map(tuple, self.recent.get())), []
+        total = sum(b for _, b in held)
+        for ms, same in pd.concat(list(rows)).sort_values("ms").groupby("ms", sort=True)["bytes"]:
+            ms, sizes = int(ms), [0 if pd.isna(b) else int(b) for b in same]
+            held.extend((ms, b) for b in sizes)
+            total += sum(sizes)
+            while held[0][0] < ms - self.window_ms:
+                total -= held.popleft()[1]
+            rate = total * 8.0 / 1000.0 / (max(ms - held[0][0], 1) / 1000.0)
+            out += [(key[0], ms, rate)] * len(sizes)
+        self.recent.put(list(held))
+        yield pd.DataFrame(out, columns=["user_id", "ms", "kbps"])
+
+    def close(self) -> None:
+        pass
+
+
 class Sessions(StatefulProcessor):
-    """Input (user_id, ms): sessions parted by gaps of gap_ms or more; a session leaves when the next one opens or when
-    the watermark passes its end by the gap."""
+    """Input (user_id, ms): sessions parted by gaps of gap_ms or more; a session leaves when the watermark passes its end by
+    the gap. Until then events in any order lengthen it at both ends or join it with another."""
 
     OUT = StructType([StructField("user_id", LongType()), StructField("session_start", LongType()), StructField("session_end", LongType()), StructField("n", LongType())])
 
@@ -59,27 +92,34 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("open", StructType([StructField(c, LongType()) for c in ("first", "last", "n")]))
+        self.open = handle.getMapState("open", StructType([StructField("first", LongType())]), StructType([StructField("last", LongType()), StructField("n", LongType())]))
 
-    def _row(self, key, first, last, n) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], first, last, n)], columns=["user_id", "session_start", "session_end", "n"])
+    def _held(self) -> list[tuple[int, int, int]]:
+        return sorted((first[0], last, n) for first, (last, n) in self.open.iterator())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        opened = tuple(self.state.get()) if self.state.exists() else None
-        for ms in sorted(pd.concat(list(rows))["ms"].tolist()):
-            if opened and ms - opened[1] >= self.gap_ms:
-                yield self._row(key, *opened)
-                opened = None
-            opened = (opened[0], max(ms, opened[1]), opened[2] + 1) if opened else (ms, ms, 1)
-        self.state.update(opened)
+        held = self._held()
+        spans = sorted([*held, *((int(ms), int(ms), 1) for ms in pd.concat(list(rows))["ms"])])
+        merged: list[tuple[int, int, int]] = []
+        for first, last, n in spans:
+            if merged and first - merged[-1][1] < self.gap_ms:
+                before = merged.pop()
+                first, last, n = before[0], max(last, before[1]), before[2] + n
+            merged.append((first, last, n))
+        for first, *_ in held:
+            self.open.removeKey((first,))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(opened[1] + self.gap_ms)
+        for first, last, n in merged:
+            self.open.updateValue((first,), (last, n))
+            self.handle.registerTimer(last + self.gap_ms)
+        yield pd.DataFrame([], columns=["user_id", "session_start", "session_end", "n"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            yield self._row(key, *self.state.get())
-            self.state.clear()
+        done = [s for s in self._held() if s[1] + self.gap_ms <= expiredTimerInfo.getExpiryTimeInMs()]
+        for first, *_ in done:
+            self.open.removeKey((first,))
+        yield pd.DataFrame([(key[0], *s) for s in done], columns=["user_id", "session_start", "session_end", "n"])
 
     def close(self) -> None:
         pass

@@ -230,10 +230,181 @@ def test_config(spark):
     assert rows(with_environment(parse_config(lines), {"name": "env"})) == [("enabled", "true"), ("name", "env"), ("port", "1")]
 
 
-def test_deep_spans_are_an_error(spark):
-    from logmill.operators import metrics
-
-    spans = spark.createDataFrame([(1, k, k - 1, 0, 1) for k in range(1, 6)], "trace_id long, span_id long, parent_span_id long, start_ms long, end_ms long")
-    assert metrics.span_tree(spans, 4).count() == 5
+def test_deep_spans(spark):
+    """A chain of 100 spans, one of another trace, and spans that no root reaches."""
+    chain = [(1, k, k - 1, 0, k) for k in range(1, 101)] + [(2, 1, 0, 5, 4)]
+    lost = [(1, 500, 499, 0, 1), (1, 501, 500, 0, 1), (3, 1, 2, 0, 1), (3, 2, 1, 0, 1)]
+    spans = spark.createDataFrame(chain + lost, "trace_id long, span_id long, parent_span_id long, start_ms long, end_ms long")
+    got = sorted(map(tuple, metrics.span_tree(spans).select("trace_id", "span_id", "depth", "duration_ms").collect()))
+    assert got == [(1, k, k - 1, k) for k in range(1, 101)] + [(2, 1, 0, 0)]
+    assert metrics.span_tree(spans.filter("false")).count() == 0
+
+
+def test_ranges_of_a_key(spark):
+    """Ordinals, last, previous and following values over many ranges, with ties in the first order column and null keys."""
+    rng = random.Random(2)
+    data = [(rng.choice([None, "a", "a", "a", "b'\\"]), rng.choice([None, 1.5, 2.5, -1e300]), i, rng.choice([None, i])) for i in range(700)]
+    df = spark.createDataFrame(data, "k string, t double, i int, x int").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        cut = ordering.with_ranges(df, ["t", "i"])
+        x = F.col("x")
+        got = ordering.carried(cut, ["k"], ["t", "i"], {"n": ("before", F.lit(1).cast("long")), "l": ("last", x), "p": ("previous", x), "f": ("following", x)}).collect()
+        assert max(r["_range"] for r in got) > 15
+        alone = {r["i"]: r["n"] for r in ordering.dense_ordinals(df, [], ["t", "i"], "n").collect()}
+        odd = spark.createDataFrame([(f"it's \\{i}", i) for i in range(50)], "s string, i int")
+        assert sorted(r["n"] for r in ordering.dense_ordinals(odd, [], ["s"], "n").collect()) == list(range(50))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    by = lambda r: (r[1] is not None, r[1] or 0.0, r[2])
+    assert alone == {r[2]: n for n, r in enumerate(sorted(data, key=by))}
+    want = {}
+    for k in {r[0] for r in data}:
+        mine, last = sorted((r for r in data if r[0] == k), key=by), None
+        for n, r in enumerate(mine):
+            last = r[3] if r[3] is not None else last
+            want[r[2]] = (n, last, mine[n - 1][3] if n else None, mine[n + 1][3] if n + 1 < len(mine) else None)
+    assert {r["i"]: (r["n"], r["l"], r["p"], r["f"]) for r in got} == want
+
+
+def test_poll_stops_at_a_gap(spark):
+    log_ = spark.createDataFrame([(0, o) for o in (0, 1, 2, 4, 5)] + [(1, o) for o in range(9)] + [(2, 7)], "partition int, offset long")
+    cursors = spark.createDataFrame([(0, 1), (1, 3), (2, 0)], "partition int, cursor long")
+    assert rows(groups.poll(log_, cursors, 100), "partition", "offset") == [(0, 1), (0, 2), *((1, o) for o in range(3, 9))]
+    assert rows(groups.poll(log_, cursors, 4), "partition", "offset") == [(0, 1), (0, 2), (1, 3), (1, 4)]
+
+
+def test_a_jump_of_the_sequence(spark, monkeypatch):
+    monkeypatch.setattr(playout, "CHUNK", 64)
+    data = [(0, 1000), (1, 1020), (5_000, 101_000), (5_001, 101_021)]
+    out = playout.playout(packets(spark, data), 20, 60, True)
+    assert out.count() == 5_002 and out.filter("kind = 'packet'").count() == 4
+    assert rows(out.filter("sequence IN (1, 2, 4999, 5000)"), "sequence", "payload") == [(1, "1"), (2, "1"), (4999, "1"), (5000, "5000")]
+
+
+def test_null_samples(spark):
+    e = spark.createDataFrame([("a", 1, None), ("a", 2, 1.0), ("a", 3, None), ("a", 4, 0.0), ("b", 1, None), (None, 1, 2.0)], "k string, n int, x double")
+    assert rows(estimators.ema(e, "k", ["n"], F.col("x"), 0.5, "m")) == [("a", 0.5), ("b", None), (None, 2.0)]
+    assert [r["m"] for r in estimators.running_ema(e.filter("k = 'a'"), "k", ["n"], "x", 0.5, "m").orderBy("n").collect()] == [None, 1.0, 1.0, 0.5]
+    s = spark.createDataFrame([("a", 1, None, None), ("a", None, 5, None)], "k string, ms long, size long, kbps int")
+    assert control.rate_ladder(s, "k", ["ms"], "kbps", "size").count() == 2
+    assert all(r["accepted"] for r in control.token_bucket(s, "k", ["ms"], "ms", "size", 10.0, 5.0).collect())
+    d = s.withColumn("p", F.lit(1))
+    assert sorted(r["sent"] for r in control.priority_drain(d, "k", "ms", "p", ["size"], "size", "kbps").collect()) == [False, True]
+    assert rows(membership.sessions(s, "k", "ms", 10), "session_start", "n") == [(1, 1)]
+
+
+def test_adaptive_drain(spark):
+    """Two bad reports hold the lowest rate; three good ones lift it, and more is sent."""
+    q = spark.createDataFrame([("a", t * 1000, 1, i, 4000) for t in range(6) for i in range(20)], "k string, t long, p int, i int, size long")
+    r = spark.createDataFrame([("a", t * 1000, 100.0 if t < 2 else 4000.0, 0.0) for t in range(6)], "k string, t long, kbps double, loss double")
+    out = control.adaptive_drain(q, r, "k", "t", "p", ["i"], "size", "kbps", "loss")
+    sent = {x["t"]: (x["level_kbps"], x["n"]) for x in out.groupBy("t", "level_kbps").agg(F.count_if("sent").alias("n")).collect()}
+    assert [sent[t * 1000][0] for t in range(6)] == [128, 128, 128, 128, 512, 512]
+    assert sent[0][1] == 2 and sent[5000][1] == 8
+
+
+def test_recovery_cuts_and_reads_on(spark, tmp_path):
+    folder = f"file://{tmp_path}/log"
+    segments.register(spark)
+    data = spark.range(200).selectExpr("'t' AS topic", "cast(id % 2 AS int) AS partition", "id div 2 AS offset", "cast(repeat('x', cast(id % 40 AS int)) AS binary) AS payload")
+    segments.append(data, folder, 600, 100)
+    found = [s for s in segments.list_segments(folder) if s.partition == 1]
+    middle = found[len(found) // 2]
+    blob = bytearray(open(middle.path, "rb").read())
+    blob[-1 if blob[-1] else -3] ^= 0xFF
+    open(middle.path, "wb").write(bytes(blob))
+    with open(found[-1].path, "ab") as f:
+        f.write(bytes(100))  # preallocated, never written
+    first = {r["segment_base"]: r for r in segments.recover(spark, folder, 100).filter("partition = 1").collect()}
+    assert [b for b, r in first.items() if r["torn_bytes"]] and first[middle.base]["torn_bytes"] > 16 and first[found[-1].base]["torn_bytes"] == 100
+    assert [r["sealed"] for _, r in sorted(first.items())] == [True] * (len(found) - 1) + [False]
+    assert first[found[-1].base]["next_offset"] == 100
+    assert not segments.recover(spark, folder, 100).filter("torn_bytes > 0").count()
+    lost = {middle.base + first[middle.base]["records"]}
+    df = spark.read.format("segments").load(folder).filter("partition = 1")
+    assert {r["offset"] for r in df.collect()} == set(range(100)) - lost
+    for least in (0, 1, 17, 55, 99, 100):
+        got = sorted(r["offset"] for r in df.filter(f"offset >= {least}").collect())
+        assert got == sorted(set(range(least, 100)) - lost)
+
+
+def test_index_is_used_and_streams_restart(spark, tmp_path):
+    from logmill.streaming.run import started
+
+    folder = f"file://{tmp_path}/log"
+    segments.register(spark)
+    data = spark.range(300).selectExpr("'t' AS topic", "0 AS partition", "id AS offset", "cast(repeat('y', 30) AS binary) AS payload")
+    segments.append(data.filter("offset < 100"), folder, 1000, 200)
+    s = segments.list_segments(folder)[1]
+    system, _ = segments.file_system(folder)
+    assert segments.indexed_place(system, s, s.base + 19)[0] > s.base and segments.indexed_place(system, s, s.base) == (s.base, 0)
+    out = f"file://{tmp_path}/stream"
+    stream = lambda: spark.readStream.format("segments").load(folder).select("offset")
+    started(stream(), out).awaitTermination()
+    segments.append(data.filter("offset >= 100"), folder, 1000, 200)
+    started(stream(), out).awaitTermination()
+    started(stream(), out).awaitTermination()
+    assert sorted(r["offset"] for r in spark.read.parquet(f"{out}/out").collect()) == list(range(300))
+
+
+def test_stream_sink(spark, tmp_path):
+    segments.register(spark)
+    spark.range(100).selectExpr("'t' AS topic", "0 AS partition", "id AS offset", "cast('z' AS binary) AS payload").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("topic string, partition int, offset long, payload binary").parquet(f"{tmp_path}/in")
+    stream.writeStream.format("segments").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"file://{tmp_path}/log").awaitTermination()
+    assert spark.read.format("segments").load(f"file://{tmp_path}/log").count() == 100
+
+
+def test_sessions_of_unordered_batches(spark, tmp_path):
+    """Events that come in a later batch, before an open session's start or between two."""
+    import os
+
+    batches = [[(1, 5_000), (1, 20_000)], [(1, 4_500), (1, 1_000)], [(1, 12_500), (2, 7_000)], [(9, 1_000_000)], [(9, 2_000_000)]]
+    for k, events in enumerate(batches):
+        spark.createDataFrame(events, "user_id long, ms long").coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (f,) = (tmp_path / str(k)).glob("*.parquet")
+        f.rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("user_id long, ms long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("at", F.timestamp_millis("ms"))
+    out = all_available(processors.keyed(stream, "user_id", processors.Sessions(8_000), "at", "60 seconds"))
+    assert rows(out.filter("user_id < 9")) == [(1, 1_000, 20_000, 5), (2, 7_000, 7_000, 1)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from logmill.streaming.run import late_rows
+
+    for k, ms in enumerate([(100_000_000,), (100_000_001,), (1,)]):  # rows count as late by the batch before
+        spark.createDataFrame([(m, "a") for m in ms], "ms long, k string").selectExpr("timestamp_millis(ms) AS at", "k").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    import glob
+
+    for k, f in enumerate(sorted(glob.glob(f"{tmp_path}/in/*.parquet"), key=lambda f: __import__("os").path.getmtime(f))):
+        __import__("os").utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("at timestamp, k string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    counted = processors.tumbling_counts(stream, "at", "k", "1 second", "1 second")
+    query = counted.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert late_rows(query) == 1
+
+
+def test_paths_without_scheme(spark):
+    """They mean what Spark takes them for, and nothing local is invented on a cluster."""
+    from types import SimpleNamespace
+
+    from logmill.sources import storage
+
+    assert storage.qualified(spark, "/tmp/x") == "file:/tmp/x"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store/")
+    conf.set("fs.viewfs.mounttable.store.link./a", "file:///tmp")
+    try:
+        assert storage.qualified(spark, "/a/b") == "viewfs://store/a/b"
+    finally:
+        conf.set("fs.defaultFS", before)
     with pytest.raises(ValueError):
-        metrics.span_tree(spans, 3)
+        storage.file_system("/tmp/x")
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(ValueError, match="share"):
+        storage.scratch_root(far)
