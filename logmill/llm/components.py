@@ -8,16 +8,32 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Edges of a node from which its least neighbour is sent to them; at most edges / HEAVY rows are sent.
+HEAVY = 1_000_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows (u, v) with m of least (u, m, n): by a join, but where u has over HEAVY edges, which stay where they are."""
+    sent = least.filter(F.col("n") > HEAVY).select("u", F.col("m").alias("_m"))
+    marked = rows.join(F.broadcast(sent), "u", "left")
+    others = marked.filter("_m IS NULL").drop("_m").join(least.filter(F.col("n") <= HEAVY).select("u", "m"), "u")
+    return others.unionByName(marked.filter("_m IS NOT NULL").withColumnRenamed("_m", "m"))
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = _least(both).withColumn("m", F.least("u", "m"))
+    return _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(down)
+    moved = _with_least(down, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 

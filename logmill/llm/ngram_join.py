@@ -498,3 +498,24 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return kept
     one = kept.join(repeated, docs_ids == F.col("_id"), "left_semi").dropDuplicates([id_col])
     return kept.join(repeated, docs_ids == F.col("_id"), "left_anti").union(one)
+
+
+def oracle(n: int = N, percent: int = PERCENT) -> str:
+    """The same by counting the shingles that any two different sets share, and following links from every document."""
+    upper, word = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\x20\x09-\x0D]+"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(doc_id, {NULL_ID}) AS id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{word}') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))) END AS s FROM d),
+kinds AS MATERIALIZED (SELECT s, min(id) AS k, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+held AS MATERIALIZED (SELECT row_number() OVER (ORDER BY k, n) AS c, k, n, s FROM kinds),
+shingle AS MATERIALIZED (SELECT c, n, md5(unnest(s)) AS g FROM held),
+pair AS (SELECT a.c AS a, b.c AS b FROM shingle a JOIN shingle b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+         GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+member AS MATERIALIZED (SELECT DISTINCT id, c FROM sets JOIN held ON sets.s = held.s),
+link AS MATERIALIZED (SELECT DISTINCT x.id AS u, held.k AS v FROM member x JOIN held USING (c) UNION SELECT held.k, x.id FROM member x JOIN held USING (c)
+         UNION SELECT p.k, q.k FROM pair JOIN held p ON p.c = pair.a JOIN held q ON q.c = pair.b UNION SELECT q.k, p.k FROM pair JOIN held p ON p.c = pair.a JOIN held q ON q.c = pair.b),
+reach(id, other) AS (SELECT DISTINCT id, id FROM sets UNION SELECT reach.id, link.v FROM reach JOIN link ON link.u = reach.other),
+comp AS (SELECT id, min(other) AS m FROM reach GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, nullif(m, {NULL_ID})::BIGINT AS component_id FROM sets JOIN comp USING (id)
+"""

@@ -60,6 +60,15 @@ def test_table(spark, sf):
     assert check(spark, rows) > 5
 
 
+def test_sql(spark, sf):
+    from .test_rules import against_sql, with_texts
+
+    base = [f"w{i}" for i in range(200)]
+    chain = [" ".join([*base[: 200 - 20 * k], *(f"x{i}" for i in range(20 * k))]) for k in range(6)]
+    docs = with_texts(spark, sf, [*chain, chain[0].upper(), "a b", "A B", "", " "])
+    against_sql(docs, similarity_components(docs), ngram_join.oracle())
+
+
 def test_near_copies(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(500)}"
