@@ -17,7 +17,7 @@
 5. Findings have the cosine of window and item, folded in (scaled by the inverse singular values). It tells windows
    with the same count apart and drops none.
 
-The benchmark is what is broadcast; MOST_ITEM_WORDS bounds it. The texts are read once; ids go to the shared
+The benchmark is what is broadcast, at most MOST_ITEM_WORDS of it at a time. The texts are read once; ids go to the shared
 folder. Nothing is shuffled but sums and findings, so no document, source or passage can skew a task.
 
 Defined results: null text has no words; null ids stay null in documents and items; repeated rows and items
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ STOP, RANK = 200, 192
 NEAR, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
 #: Of the places that a leak needs, those that must stand among the indexed ones. Any value finds the same leaks.
 INDEXED = 0.3
-MOST_ITEM_WORDS = 2_000_000
+MOST_ITEM_WORDS = 200_000
 #: Words of documents that are searched at one time, and index entries of their windows.
 SEARCHED_WORDS = 40_000
 MOST_ENTRIES = 4_000_000
@@ -305,14 +306,21 @@ class Searcher:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:
-    """One row (FOUND) per document and benchmark item that leaked into it: the window with the most of it."""
+    """One row (FOUND) per document and benchmark item that leaked into it: the window with the most of it. A benchmark of
+    over MOST_ITEM_WORDS words (by 8 characters each) is searched in parts, each as one of its own."""
+    size = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    parts = max(1, -(-size["n"] // (8 * MOST_ITEM_WORDS)), -(-size["rows"] // MOST_ITEM_WORDS))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    found = [_find_leaks(docs, items.filter(of == k) if parts > 1 else items, id_col, text_col, rank) for k in range(parts)]
+    return reduce(DataFrame.unionAll, found).withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
+
+
+def _find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, rank: int) -> DataFrame:
     spark = docs.sparkSession
     context = spark.sparkContext
-    size = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
-    if size["n"] > 8 * MOST_ITEM_WORDS or size["rows"] > MOST_ITEM_WORDS:
-        raise ValueError("the benchmark is over its size bound: search it in parts")
-    rows = sorted(((r[0], r[1]) for r in benchmark.select(item_col, item_text).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    schema = FOUND.replace("doc_id", id_col, 1).replace("item_id", item_col, 1)
+    rows = sorted(((r[0], r[1]) for r in benchmark.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    schema = FOUND
     known = Benchmark(rows)
     if not known.items:
         return spark.createDataFrame([], schema)

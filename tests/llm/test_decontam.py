@@ -153,3 +153,11 @@ def test_index_entries_in_parts(monkeypatch):
     assert [{f[0] for f in found} for found in got] == want and sum(map(len, want)) > 9
     monkeypatch.setattr(decontam, "MOST_ENTRIES", 3)
     assert search() == got
+
+
+def test_a_large_benchmark_is_searched_in_parts(spark, sf, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    columns = ["doc_id", "item_id", "n_words", "lcs", "item_words", "answer"]
+    whole = sorted(map(tuple, decontam.find_leaks(docs, items).select(*columns).collect()))
+    monkeypatch.setattr(decontam, "MOST_ITEM_WORDS", 300)
+    assert sorted(map(tuple, decontam.find_leaks(docs, items).select(*columns).collect())) == whole and whole
