@@ -5,7 +5,9 @@ what is left is routed to the smallest tier that holds it. Tiers are packed from
 opens a sequence, its gap takes the longest whole pieces of shorter tiers that fit, and a last gap is closed
 by cutting one short piece. Sequences are thus full at their tier's length (a power of two, so unpadded);
 only the last one of a task can be padded. Packing needs no shuffle: a task packs the documents of its input
-split, so the plan stays one scan at any size and a lost executor costs a task.
+split, and a lost executor costs a task. Pieces are written to the shared folder; then the sequences of a tier are
+numbered over all tasks (a row a task and tier is what that takes) and cut into step groups, of which only the last one of
+a tier can have fewer sequences.
 
 Defined results: null text counts as empty (one piece, the end id); a null id stays null; repeated rows are
 packed each on their own; empty tables give no rows; further columns are ignored.
@@ -20,11 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 from .tokens import blocks, encoder_of, read_spec
 
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, nth long"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 TIERS = (128, 256, 512, 1024)
 STEP_TOKENS = 1 << 16
@@ -116,29 +120,27 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         task = TaskContext.get().partitionId()
         encoder, packer = encoder_of(spec.value), Packer(tiers)
         live: dict[int, list] = {}  # key: doc_id, ids as 32-bit bytes, tokens not yet in a sequence
-        groups: dict[int, int] = dict.fromkeys(tiers, 0)
+        made: dict[int, int] = dict.fromkeys(tiers, 0)
         n_keys = n_sequences = 0
 
         def rows(sequences) -> pa.RecordBatch | None:
             nonlocal n_sequences
             cols: list[list] = [[] for _ in range(9)]
             for tier, pieces in sequences:
-                per_group = max(1, step_tokens // tier)
-                group = (task << 40) | (groups[tier] // per_group << 8) | tiers.index(tier)
-                groups[tier] += 1
                 offset = 0
                 for key, start, length in pieces:
                     doc = live[key]
                     crc = zlib.crc32(memoryview(doc[1])[4 * start : 4 * (start + length)])
-                    for col, value in zip(cols, (doc[0], start, length, crc, len(doc[1]) // 4, (task << 40) | n_sequences, offset, tier, group), strict=True):
+                    for col, value in zip(cols, (doc[0], start, length, crc, len(doc[1]) // 4, (task << 40) | n_sequences, offset, tier, made[tier]), strict=True):
                         col.append(value)
                     offset += length
                     doc[2] -= length
                     if not doc[2]:
                         del live[key]
                 n_sequences += 1
+                made[tier] += 1
             kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            names = [x.split()[0] for x in PIECES.split(", ")]
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names) if cols[0] else None
 
         for batch in slices(batches):
@@ -155,4 +157,18 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if (out := rows(packer.finish())) is not None:
             yield out
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA.replace("doc_id", id_col, 1))
+    pieces = written(docs.select(id_col, text_col).mapInArrow(run, PIECES), "pieces")
+    return _grouped(pieces, tiers, step_tokens).withColumnRenamed("doc_id", id_col)
+
+
+def _grouped(pieces: DataFrame, tiers: tuple[int, ...], step_tokens: int) -> DataFrame:
+    """nth, a sequence's number among those of its tier and task, becomes step_group."""
+    task = F.shiftright("sequence_id", 40)
+    counts = pieces.groupBy(task.alias("_task"), F.col("tier").alias("_tier")).agg((F.max("nth") + 1).alias("_n"))
+    before = Window.partitionBy("_tier").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_task", "_tier", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    order = F.array_position(F.array(*map(F.lit, tiers)), F.col("tier")).cast("long") - 1
+    per_group = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier")))
+    group = F.shiftleft(F.floor((F.col("_base") + F.col("nth")) / per_group), 8) + order
+    joined = pieces.join(base, (task == F.col("_task")) & (F.col("tier") == F.col("_tier")))
+    return joined.select(*(x.split()[0] for x in SCHEMA.split(", ")[:-1]), group.alias("step_group"))

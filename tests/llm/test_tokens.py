@@ -12,8 +12,8 @@ from logmill.llm.common import tokenizer_path
 from logmill.llm.packing import Packer, pack
 from logmill.llm.token_counts import Counter, count_tokens
 from logmill.llm.token_files import EliasFano, ShardReader, read_token_files, round_trip, write_token_files
-from logmill.sources.storage import file_system
 from logmill.llm.tokens import Encoder, read_spec
+from logmill.sources.storage import file_system
 
 from .common import empty, odd
 
@@ -154,3 +154,14 @@ def test_shards_roll_and_rows_without_id_spread(spark, tmp_path):
         want.append((start, len(ids), crc(ids)))
         start += len(ids)
     assert got == want
+
+
+def test_step_groups_are_full(spark, sf):
+    """Of a tier all groups but one hold as many sequences as make a step, over all tasks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)
+    got = pack(docs, PATH, step_tokens=8192).select("tier", "sequence_id", "step_group").distinct().collect()
+    for tier in (128, 256, 512, 1024):
+        groups = [r["step_group"] for r in got if r["tier"] == tier]
+        sizes = sorted(map(groups.count, set(groups)))
+        assert all(n == 8192 // tier for n in sizes[1:]) and (not sizes or sizes[0] <= 8192 // tier)
+    assert len({r["sequence_id"] for r in got}) == len(got) and len({(r["tier"], r["step_group"]) for r in got}) == len({r["step_group"] for r in got}) > 20
