@@ -29,7 +29,8 @@ SYMBOLS = "#*$%&|<>"
 #: Ends of a line that count as punctuation, separators of menus, phrases of notices.
 ENDS = ".!?:;,\"')]}…”’»"
 SEPARATORS = (" | ", " » ", " > ")
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "accept cookies", "enable javascript", "subscribe to our newsletter", "read more", "sign up", "log in", "back to top", "share this", "add to cart")
+BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "accept cookies", "enable javascript", "subscribe to our newsletter", "read more", "sign up", "log in", "back to top", "share this", "add to cart",
+               "todos los derechos reservados", "política de privacidad", "política de cookies", "haga clic aquí", "iniciar sesión", "alle rechte vorbehalten", "datenschutzerklärung", "hier klicken", "zum warenkorb", "tous droits réservés", "politique de confidentialité", "cliquez ici", "se connecter")
 MIN_WORDS, MOST_REPEATED, MOST_LOST = 50, 0.5, 0.5
 LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"

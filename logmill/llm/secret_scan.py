@@ -255,3 +255,35 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _either_case(pattern: str) -> str:
+    """The pattern with each letter outside of its classes and escapes as a class of both cases."""
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        size = 4 if pattern.startswith("\\x", at) else 2 if pattern[at] == "\\" else 1
+        part = pattern[at : at + size]
+        inside = part == "[" or inside and part != "]"
+        out += f"[{part.upper()}{part.lower()}]" if size == 1 and not inside and part.isalpha() else part
+        at += size
+    return out
+
+
+def oracle() -> str:
+    """The base and further rules on every text, without an index. What stands between a rule's matches tells where they are."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    ways = []
+    for k, (kind, pattern, either, group, least) in enumerate(RULES):
+        p = quote(_either_case(pattern) if either else pattern)
+        ways.append(f"SELECT r, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS hits, regexp_extract_all(t, {p}, {group}) AS parts FROM d WHERE regexp_matches(t, {p})")
+    kinds = ", ".join(f"count(*) FILTER (k = {k}) AS n_{RULES[k][0]}" for k in range(len(BASE)))
+    counts = ", ".join(f"coalesce(n_{RULES[k][0]}, 0)::BIGINT AS n_{RULES[k][0]}" for k in range(len(BASE)))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(ways)}),
+each AS (SELECT r, k, kind, least, parts[i] AS part, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a, length(hits[i]) AS n
+         FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found)),
+span AS (SELECT r, k, a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS s FROM each WHERE length(part) >= least),
+told AS (SELECT r, {kinds}, string_agg(s, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(s, ',' ORDER BY a, k) AS spans FROM span GROUP BY r)
+SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)
+"""

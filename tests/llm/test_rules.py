@@ -76,6 +76,7 @@ def test_secrets(spark, sf):
         want = sorted(((r["doc_id"], *brute_secrets(r["text"] or "")) for r in docs.collect()), key=str)
         assert got == want
     assert sum(r[1] for r in got) and sum(r[2] for r in got) and sum(r[3] for r in got)
+    against_sql(docs, scan_secrets(docs), secret_scan.oracle())
     assert scan_secrets(empty(spark)).count() == 0
 
 
