@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmill.llm.common import table, tokenizer_path, written
+from logmill.llm.common import small_batches, table, tokenizer_path, written
 from logmill.llm.decontam import without_leaks
 from logmill.llm.ngram_join import representatives
 from logmill.llm.packing import pack
@@ -19,6 +19,7 @@ from logmill.llm.secret_scan import mask_secrets
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, without their failing lines."""
+    small_batches(spark)
     return clean_documents(docs)
 
 
