@@ -83,8 +83,7 @@ class Counter:
             parts = self.special.split(t) if self.special else [t]
             totals.append(len(parts) - 1)
             cut.append([p for part in parts for p in (cutter(part) or FULL_PRETOKEN).findall(part)])
-        self.known.want(set().union(*cut))
-        get = self.known.__getitem__
+        get = self.known.want(set().union(*cut))
         return [n + sum(map(get, c)) for n, c in zip(totals, cut, strict=True)]
 
 

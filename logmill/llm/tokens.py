@@ -26,7 +26,8 @@ SAFE_LATIN = bytes(b for b in range(256) if not UNSAFE.match(chr(b)))
 
 
 def _pretokens(letters: str) -> re.Pattern:
-    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{_N}]+| ?[^\s{letters}{_N}]+|\s+(?!\S)|\s+")
+    # words come first as most tokens are words; no other alternative matches where they do
+    return re.compile(rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^\s{letters}{_N}]+|\s+(?!\S)|\s+")
 
 
 PRETOKEN, PRETOKEN_LATIN = _pretokens(_L), _pretokens(_L1)
@@ -65,28 +66,27 @@ def read_spec(path: str, most_mb: int = 64) -> str:
     return blob.decode()
 
 
-class Recent(dict):
+class Recent:
     """What was learnt for recent keys: of two generations of ``most`` entries the older one goes."""
 
     def __init__(self, learn, most: int):
-        super().__init__()
-        self.learn, self.most, self.old = learn, most, {}
-
-    def want(self, keys) -> None:
-        """Makes sure that all ``keys`` can be looked up until the next call."""
-        new = [k for k in keys if k not in self]
-        if not new:
-            return
-        if len(self) + len(new) > self.most:
-            self.old = dict(self)
-            self.clear()
-            new = list(keys)
-        old = self.old
-        ask = [k for k in new if k not in old]
-        if len(ask) < len(new):
-            self.update({k: old[k] for k in new if k in old})
-        if ask:
-            self.update(zip(ask, self.learn(ask), strict=True))
+        # plain dicts, from which a set is subtracted without a loop in Python
+        self.learn, self.most, self.now, self.old = learn, most, {}, {}
+
+    def want(self, keys: set):
+        """Looks keys up, ``keys`` at least until the next call."""
+        new = keys.difference(self.now)
+        if new:
+            if len(self.now) + len(new) > self.most:
+                self.old, self.now, new = self.now, {}, keys
+            ask = new.difference(self.old)
+            if len(ask) < len(new):
+                old = self.old
+                self.now.update({k: old[k] for k in new - ask})
+            if ask:
+                asked = list(ask)
+                self.now.update(zip(asked, self.learn(asked), strict=True))
+        return self.now.__getitem__
 
 
 class Encoder:
@@ -136,8 +136,7 @@ class Encoder:
         out: list[bytes | None] = [None] * len(texts)
         if self.cached:
             cut = {i: c.findall(t) for i, t in enumerate(texts) if not any(s in t for s in self.specials) and (c := cutter(t))}
-            self.known.want(set().union(*cut.values()))
-            ids = self.known.__getitem__
+            ids = self.known.want(set().union(*cut.values()))
             for i, c in cut.items():
                 out[i] = b"".join(map(ids, c))
         rest = [i for i, x in enumerate(out) if x is None]
