@@ -104,6 +104,10 @@ class Encoder:
         self.specials = [t["content"] for t in parsed.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.known = Recent(self._pretokens, most_pieces)
+        #: The ids whose piece begins with a space, in the letter that stands for it.
+        vocabulary = self.tok.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for piece, i in vocabulary.items() if piece[:1] == "\u0120"]] = True
 
     def _library(self, texts: list[str], step: int = 20_000) -> list[bytes]:
         kind, out = self.dtype.char, []
@@ -113,18 +117,18 @@ class Encoder:
 
     def _pretokens(self, new: list[str], step: int = 1000) -> list[bytes]:
         """Ids of pretokens. Words that begin with a space part again where they are joined, so the library gets many
-        at a time and tells which id is of which word."""
+        at a time; a word's first id, and no other of its ids, is a piece that begins with a space."""
         words = [i for i, p in enumerate(new) if p[0] == " " and p[1:].isalpha()]
         out: list[bytes | None] = [None] * len(new)
         size = self.dtype.itemsize
         for a in range(0, len(words), step):
             part = words[a : a + step]
-            found = self.tok.encode("".join([new[i] for i in part]), add_special_tokens=False)
-            of_word = np.array(found.word_ids)
-            ends = (np.flatnonzero(of_word[1:] != of_word[:-1]) + 1) * size
-            if len(ends) + 1 == len(part):
-                flat = np.array(found.ids, self.dtype).tobytes()
-                cuts = [0, *ends.tolist(), len(flat)]
+            (found,) = self.tok.encode_batch_fast(["".join([new[i] for i in part])], add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype)
+            starts = np.flatnonzero(self.begins[ids]) * size
+            if len(starts) == len(part):
+                flat = ids.tobytes()
+                cuts = [*starts.tolist(), len(flat)]
                 for i, b, e in zip(part, cuts, cuts[1:], strict=False):
                     out[i] = flat[b:e]
         rest = [i for i, x in enumerate(out) if x is None]
