@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of texts that go to Python in one Arrow batch, and the session's setting of it.
-BATCH_BYTES, BATCH_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH_KEY = "3m", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of the input for each of the partitions that texts are shuffled to.
 PARTITION_BYTES = 64 << 20
 
