@@ -25,6 +25,10 @@ UNSAFE = re.compile(f"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xbf\xd7\xf7‐-‧‰-⁞
 SAFE_LATIN = bytes(b for b in range(256) if not UNSAFE.match(chr(b)))
 
 
+#: How byte-level vocabularies spell a space.
+SPACE = "\u0120"
+
+
 def _pretokens(letters: str) -> re.Pattern:
     # words come first as most tokens are words; no other alternative matches where they do
     return re.compile(rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^\s{letters}{_N}]+|\s+(?!\S)|\s+")
@@ -107,7 +111,8 @@ class Encoder:
         #: The ids whose piece begins with a space, in the letter that stands for it.
         vocabulary = self.tok.get_vocab()
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.begins[[i for piece, i in vocabulary.items() if piece[:1] == "\u0120"]] = True
+        self.begins[[i for piece, i in vocabulary.items() if piece[:1] == SPACE]] = True
+        self.model = self.tok.model
 
     def _library(self, texts: list[str], step: int = 20_000) -> list[bytes]:
         kind, out = self.dtype.char, []
@@ -116,11 +121,17 @@ class Encoder:
         return out
 
     def _pretokens(self, new: list[str], step: int = 1000) -> list[bytes]:
-        """Ids of pretokens. Words that begin with a space part again where they are joined, so the library gets many
-        at a time; a word's first id, and no other of its ids, is a piece that begins with a space."""
-        words = [i for i, p in enumerate(new) if p[0] == " " and p[1:].isalpha()]
+        """Ids of pretokens. Words of ASCII letters after a space are spelt alike in the vocabulary, so the library's model
+        takes them as they are. Other words that begin with a space part again where they are joined, so the library
+        gets many at a time; a word's first id, and no other of its ids, is a piece that begins with a space."""
         out: list[bytes | None] = [None] * len(new)
-        size = self.dtype.itemsize
+        size, kind, merge, words = self.dtype.itemsize, self.dtype.char, self.model.tokenize, []
+        for i, p in enumerate(new):
+            if p[0] == " " and p[1:].isalpha():
+                if p.isascii():
+                    out[i] = array(kind, [t.id for t in merge(SPACE + p[1:])]).tobytes()
+                else:
+                    words.append(i)
         for a in range(0, len(words), step):
             part = words[a : a + step]
             (found,) = self.tok.encode_batch_fast(["".join([new[i] for i in part])], add_special_tokens=False)
