@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .ordering import carried, with_ranges
 
@@ -68,6 +74,52 @@ def admission(events: DataFrame, order: list[str], is_commit: str, max_lag: int)
     return since.filter(~commit).withColumn("accepted", accepted).drop("_range", "_before", "_taken")
 
 
+def publish(events: DataFrame, order: list[str], ms: str, is_commit: str, max_lag: int, timeout_ms: int) -> DataFrame:
+    """Publishes that wait: (partition, order, ms, published_ms, outcome). A publish that meets max_lag records since the last
+    commit waits, in order of arrival, for the next commit that has room for it; after timeout_ms it gives up. outcome:
+    published, or timeout (published_ms is then null). A time that is null is that of the row before.
+
+    Who waits depends on who waited before, so a partition is walked in order, as a stream with the waiting rows held.
+    """
+    names = list(dict.fromkeys(["partition", *order, ms]))
+    rows = events.select(*names, F.coalesce(F.expr(is_commit), F.lit(False)).alias("_commit")).repartition("partition").sortWithinPartitions("partition", *order)
+    at = names.index(ms)
+    schema = StructType([*(events.schema[n] for n in names), StructField("published_ms", LongType()), StructField("outcome", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, lag, clock, out = object(), 0, 0, []
+        waiting: deque[tuple] = deque()  # (deadline, row)
+
+        def give_up(until: float) -> None:
+            while waiting and waiting[0][0] <= until:
+                out.append((*waiting.popleft()[1], None, "timeout"))
+
+        for batch in batches:
+            for *row, commit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != part:
+                    give_up(float("inf"))
+                    part, lag, clock = row[0], 0, 0
+                clock = row[at] if row[at] is not None else clock
+                give_up(clock)
+                if commit:
+                    lag = 0
+                    while waiting and lag < max_lag:
+                        out.append((*waiting.popleft()[1], clock, "published"))
+                        lag += 1
+                elif lag < max_lag and not waiting:
+                    out.append((*row, clock, "published"))
+                    lag += 1
+                else:
+                    waiting.append((clock + timeout_ms, row))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+            out.clear()
+        give_up(float("inf"))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def delivery_audit(published: DataFrame, received: DataFrame, key: str) -> DataFrame:
     """Counts of what was published, received, lost, delivered twice, or received though never published."""
     both = published.select(key, F.lit(1).alias("p"), F.lit(0).alias("r")).unionAll(received.select(key, F.lit(0).alias("p"), F.lit(1).alias("r")))

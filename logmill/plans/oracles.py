@@ -49,6 +49,15 @@ UNION ALL SELECT l.partition, l."offset", CASE WHEN full_ THEN l."offset" ELSE s
 NUM = "n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM e)"
 
 
+#: Publishes that wait for a commit with room, three a commit, for two hours. told: what each event settles.
+WAITING = f"""wait AS (SELECT partition, 0::BIGINT AS rn, 0::BIGINT AS lag, []::STRUCT(id BIGINT, due BIGINT)[] AS queue, []::STRUCT(id BIGINT, ms BIGINT)[] AS told FROM parts
+UNION ALL SELECT partition, rn, CASE WHEN commit THEN least(len(alive), 3) WHEN free THEN lag + 1 ELSE lag END,
+  CASE WHEN commit THEN alive[4:] WHEN free THEN alive ELSE list_append(alive, {{'id': event_id, 'due': ms + {2 * HOUR_MS}}}) END,
+  list_concat(list_transform(gone, lambda x: {{'id': x.id, 'ms': NULL::BIGINT}}), CASE WHEN commit THEN list_transform(alive[1:3], lambda x: {{'id': x.id, 'ms': ms}}) WHEN free THEN [{{'id': event_id, 'ms': ms}}] ELSE [] END)
+  FROM (SELECT *, NOT commit AND lag < 3 AND len(alive) = 0 AS free FROM (SELECT wait.partition, n.rn, lag, n.event_id, n.ms, n.commit, list_filter(queue, lambda x: x.due > n.ms) AS alive, list_filter(queue, lambda x: x.due <= n.ms) AS gone
+  FROM wait JOIN n ON n.partition = wait.partition AND n.rn = wait.rn + 1)))"""
+
+
 def histogram(source: str, bounds: tuple = BOUNDS) -> str:
     bounds = ", ".join(f"({float(x)}::DOUBLE)" for x in bounds)
     return with_(E, f"s AS ({source})", f"bounds(bound) AS (VALUES {bounds}, (NULL::DOUBLE))", select="SELECT event_type, bound, count(*) FILTER (bound IS NULL OR value < bound) AS cumulative, count(*) AS count, round(sum(value), 4) AS sum FROM s, bounds GROUP BY event_type, bound")
@@ -131,6 +140,7 @@ ORACLES: dict[str, str] = {
     "min_committed": with_(E, R, LOG, PARTS, HWM, GRP, select="SELECT partition, next_offset, min(committed) AS min_committed, greatest(next_offset - min(committed), 0) AS lag FROM grps GROUP BY partition, next_offset"),
     "backpressure_flag": with_(E, R, LOG, PARTS, HWM, GRP, select="SELECT partition, next_offset, min(committed) AS min_committed, greatest(next_offset - min(committed), 0) AS lag, next_offset - min(committed) >= 1000 AS blocked FROM grps WHERE grp <> 'idle' GROUP BY partition, next_offset"),
     "admission": with_(E, R, select="SELECT event_id, partition, row_number() OVER (PARTITION BY partition, epoch ORDER BY ts, event_id) <= 5 AS accepted FROM (SELECT *, sum((event_type = 'signup')::INTEGER) OVER (PARTITION BY partition ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM r) WHERE event_type <> 'signup'"),
+    "publish_timeout": with_(E, R, PARTS, "n AS MATERIALIZED (SELECT partition, event_id, ms, event_type = 'signup' AS commit, row_number() OVER (PARTITION BY partition ORDER BY ts, event_id) AS rn FROM r)", WAITING, "done AS (SELECT unnest(told) AS t FROM wait)", recursive=True, select="SELECT event_id, partition, t.ms AS published_ms, CASE WHEN t.ms IS NULL THEN 'timeout' ELSE 'published' END AS outcome FROM n LEFT JOIN done ON t.id = event_id WHERE NOT commit"),
     "delivery_audit": with_(E, R, "got AS (SELECT event_id FROM r WHERE partition % 2 = 0 UNION ALL SELECT event_id FROM r WHERE partition % 2 = 1 AND event_id % 50 <> 7 UNION ALL SELECT event_id FROM r WHERE event_id % 100 = 3)", select="SELECT (SELECT count(*) FROM r) AS n_published, (SELECT count(*) FROM got) AS n_received, (SELECT count(*) FROM r WHERE event_id NOT IN (SELECT event_id FROM got)) AS n_missing, (SELECT count(*) FROM (SELECT event_id FROM got GROUP BY event_id HAVING count(*) > 1)) AS n_repeated, (SELECT count(*) FROM got WHERE event_id NOT IN (SELECT event_id FROM r)) AS n_unknown"),
     "playout_drain": with_(*slots("true"), select="SELECT * FROM played"),
     "playout_continuous": with_(*slots(ON_TIME), select="SELECT * FROM played"),

@@ -209,6 +209,11 @@ def admission(spark, sf):
     return groups.admission(b.routed(spark, sf), ["ts", "event_id"], "event_type = 'signup'", 5).select("event_id", "partition", "accepted")
 
 
+@query
+def publish_timeout(spark, sf):
+    return groups.publish(b.routed(spark, sf), ["ts", "event_id"], "ms", "event_type = 'signup'", 3, 2 * HOUR_MS).select("event_id", "partition", "published_ms", "outcome")
+
+
 @query
 def delivery_audit(spark, sf):
     whole = b.routed(spark, sf).select("event_id", "partition")

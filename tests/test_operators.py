@@ -126,6 +126,14 @@ def test_groups(spark):
     assert accepted.filter("accepted").count() == 40 and accepted.filter("n < 30 AND accepted").count() == 20
 
 
+def test_publish_waits_or_gives_up(spark):
+    kinds = "ppp" + "pp" + "c" + "ppp" + "c"  # a lag of two: the third waits, and so on
+    df = spark.createDataFrame([(0, i, 10 * i, k) for i, k in enumerate(kinds)] + [(1, 0, 5, "p"), (1, 1, None, "p"), (1, 2, 6, "p")], "partition int, n int, ms long, kind string")
+    got = {(r["partition"], r["n"]): (r["published_ms"], r["outcome"]) for r in groups.publish(df, ["n"], "ms", "kind = 'c'", 2, 35).collect()}
+    p, t = "published", "timeout"
+    assert got == {(0, 0): (0, p), (0, 1): (10, p), (0, 2): (50, p), (0, 3): (50, p), (0, 4): (None, t), (0, 6): (90, p), (0, 7): (90, p), (0, 8): (None, t), (1, 0): (5, p), (1, 1): (5, p), (1, 2): (None, t)}
+
+
 def packets(spark, data):
     return spark.createDataFrame([("s", s, a, str(s)) for s, a in data], "stream string, sequence long, arrival_ms long, payload string")
 
