@@ -13,6 +13,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .ordering import carried, with_ranges
 
+#: Records of a poll that are sorted, and offsets in one of Spark's bitmaps.
+SORTED, BITS = 1 << 16, 1 << 15
+
 
 def assignment(members: DataFrame, partitions: int) -> DataFrame:
     """(grp, group_size, consumer_index) -> the partitions each member owns: partition modulo size is its index."""
@@ -50,15 +53,41 @@ def poll(log: DataFrame, cursors: DataFrame, max_records: int) -> DataFrame:
     another up to the limit.
 
     Offsets are unique, so a partition offers at most max_records rows from its cursor on: the filter on them reaches
-    the log before anything is sorted, and what is sorted is bounded by the limit.
+    the log before anything is sorted. Up to SORTED records, they are sorted. Beyond, nothing is: bitmaps of BITS offsets
+    tell where each partition's first gap lies, a row for each, and the log is filtered by that.
     """
     near = log.join(F.broadcast(cursors), "partition").filter((F.col("offset") >= F.col("cursor")) & (F.col("offset") < F.col("cursor") + max_records))  # a row a partition
+    if max_records > SORTED:
+        ends = _limited(_ready(near), max_records)
+        return log.join(F.broadcast(ends), "partition").filter((F.col("offset") >= F.col("cursor")) & (F.col("offset") < F.col("cursor") + F.col("_ready"))).drop("cursor", "_ready")
     place = F.row_number().over(Window.partitionBy("partition").orderBy("offset")) - 1
     ready = near.withColumn("_at", place).filter(F.col("offset") - F.col("cursor") == F.col("_at"))
     before = Window.orderBy("partition", "offset")  # at most max_records rows of each owned partition
     return ready.withColumn("_place", F.row_number().over(before)).filter(F.col("_place") <= max_records).drop("_at", "_place", "cursor")
 
 
+def _ready(near: DataFrame) -> DataFrame:
+    """(partition, cursor, _ready): the number of records from the cursor to the first missing offset."""
+    nth = F.col("offset") - F.col("cursor") + 1
+    maps = near.groupBy("partition", "cursor", F.bitmap_bucket_number(nth).alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(nth)).alias("_bits"))
+    # whole bytes of ones, and the ones at the low end of the byte after them
+    text = F.hex("_bits")
+    whole = F.floor((F.length(text) - F.length(F.ltrim(text, F.lit("F")))) / 2).cast("int")
+    byte = F.conv(F.substring(text, whole * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    ones = F.when(F.bitmap_count("_bits") == BITS, BITS).otherwise(whole * 8 + F.bit_count(byte.bitwiseXOR(byte + 1)) - 1)
+    led = maps.select("partition", "cursor", "_map", ones.cast("long").alias("_ones"))
+    of = Window.partitionBy("partition").orderBy("_map")  # a row for each BITS offsets
+    broken = F.coalesce(F.max(F.col("_ones") < BITS).over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    reached = led.withColumn("_reached", (F.row_number().over(of) == F.col("_map")) & ~broken).filter("_reached")
+    return reached.groupBy("partition", "cursor").agg(F.sum("_ones").alias("_ready"))
+
+
+def _limited(ready: DataFrame, max_records: int) -> DataFrame:
+    """Less what is beyond the limit, partitions taken in order: a row for each that is owned."""
+    before = F.coalesce(F.sum("_ready").over(Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ready.withColumn("_ready", F.least(F.col("_ready"), F.lit(max_records) - before))
+
+
 def admission(events: DataFrame, order: list[str], is_commit: str, max_lag: int) -> DataFrame:
     """Publishes and commits in one order per partition; a commit takes all published so far. A publish is accepted
     while fewer than ``max_lag`` were accepted since the last commit. A row whose condition is null is a publish.

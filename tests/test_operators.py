@@ -282,6 +282,26 @@ def test_poll_stops_at_a_gap(spark):
     assert rows(groups.poll(log_, cursors, 4), "partition", "offset") == [(0, 1), (0, 2), (1, 3), (1, 4)]
 
 
+def test_a_large_poll_sorts_no_records(spark, monkeypatch):
+    """Gaps within, at the edge of and between bitmaps, a partition without gap, one without records at its cursor."""
+    import re
+
+    whole = {0: set(range(70_000)) - {33_000}, 1: set(range(65_541)), 2: set(range(5, 70_000)) - set(range(32_773, 65_541)), 3: {9}, 4: set(range(40)) - {25}, 5: {0, 1, 2, 4}}
+    cursors = {0: 0, 1: 5, 2: 5, 3: 0, 4: 1, 5: 3}
+    log_ = spark.createDataFrame([(p, o) for p, offsets in whole.items() for o in offsets], "partition int, offset long")
+    at = spark.createDataFrame(list(cursors.items()), "partition int, cursor long")
+    monkeypatch.setattr(groups, "SORTED", 0)
+    want = []
+    for p, o in cursors.items():
+        while o in whole[p]:
+            want.append((p, o))
+            o += 1
+    for limit in (200_000, 40_000, len(want), 33_001, 1):
+        got = groups.poll(log_, at, limit)
+        assert got.columns == ["partition", "offset"] and sorted(map(tuple, got.collect())) == want[:limit]
+    assert not re.search(r"windowspecdefinition\([^)]*offset", got._jdf.queryExecution().executedPlan().toString())
+
+
 def test_a_jump_of_the_sequence(spark, monkeypatch):
     monkeypatch.setattr(playout, "CHUNK", 64)
     data = [(0, 1000), (1, 1020), (5_000, 101_000), (5_001, 101_021)]
