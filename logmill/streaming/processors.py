@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 
 def tumbling_counts(events: DataFrame, ts: str, by: str, width: str, late: str) -> DataFrame:
@@ -83,7 +84,11 @@ class SlidingRate(StatefulProcessor):
 
 class Sessions(StatefulProcessor):
     """Input (user_id, ms): sessions parted by gaps of gap_ms or more; a session leaves when the watermark passes its end by
-    the gap. Until then events in any order lengthen it at both ends or join it with another."""
+    the gap. Until then events in any order lengthen it at both ends or join it with another.
+
+    Each access to the state goes to the JVM and back, so the open sessions of a key are one value, in order, and its
+    only timer is that of the first to end; all that have ended leave with it.
+    """
 
     OUT = StructType([StructField("user_id", LongType()), StructField("session_start", LongType()), StructField("session_end", LongType()), StructField("n", LongType())])
 
@@ -92,43 +97,93 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", StructType([StructField("first", LongType())]), StructType([StructField("last", LongType()), StructField("n", LongType())]))
+        self.open = handle.getValueState("sessions", StructType([StructField(c, ArrayType(LongType())) for c in ("first", "last", "n")]))
 
-    def _held(self) -> list[tuple[int, int, int]]:
-        return sorted((first[0], last, n) for first, (last, n) in self.open.iterator())
+    def _merged(self, first: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(first, kind="stable")
+        first, last, n = first[order], last[order], n[order]
+        apart = first[1:] - np.maximum.accumulate(last)[:-1] >= self.gap_ms
+        starts = np.flatnonzero(np.concatenate(([True], apart)))
+        return first[starts], np.maximum.reduceat(last, starts), np.add.reduceat(n, starts)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self._held()
-        spans = sorted([*held, *((int(ms), int(ms), 1) for ms in pd.concat(list(rows))["ms"])])
-        merged: list[tuple[int, int, int]] = []
-        for first, last, n in spans:
-            if merged and first - merged[-1][1] < self.gap_ms:
-                before = merged.pop()
-                first, last, n = before[0], max(last, before[1]), before[2] + n
-            merged.append((first, last, n))
-        for first, *_ in held:
-            self.open.removeKey((first,))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        for first, last, n in merged:
-            self.open.updateValue((first,), (last, n))
-            self.handle.registerTimer(last + self.gap_ms)
-        yield pd.DataFrame([], columns=["user_id", "session_start", "session_end", "n"])
+        held = self.open.get()
+        spans = tuple(np.array(c, np.int64) for c in held or ([], [], []))
+        due = int(spans[1][0]) + self.gap_ms if held else None
+        for frame in rows:
+            ms = frame["ms"].astype("int64").to_numpy()
+            spans = self._merged(*(np.concatenate(c) for c in zip(spans, (ms, ms, np.ones(len(ms), np.int64)), strict=True)))
+        self._keep(spans, due)
+        yield from ()
+
+    def _keep(self, spans, due: int | None) -> None:
+        """Holds sessions, and sets the timer, which is at ``due``, to the first end."""
+        self.open.update(tuple(c.tolist() for c in spans))
+        first = int(spans[1][0]) + self.gap_ms
+        if first != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = [s for s in self._held() if s[1] + self.gap_ms <= expiredTimerInfo.getExpiryTimeInMs()]
-        for first, *_ in done:
-            self.open.removeKey((first,))
-        yield pd.DataFrame([(key[0], *s) for s in done], columns=["user_id", "session_start", "session_end", "n"])
+        first, last, n = (np.array(c, np.int64) for c in self.open.get())
+        over = int(np.searchsorted(last, timerValues.getCurrentWatermarkInMs() - self.gap_ms, side="right"))
+        if over < len(last):
+            self._keep((first[over:], last[over:], n[over:]), None)  # the timer that fired is gone
+        else:
+            self.open.clear()
+        yield pd.DataFrame({"user_id": key[0], "session_start": first[:over], "session_end": last[:over], "n": n[:over]})
 
     def close(self) -> None:
         pass
 
 
+class Waiting:
+    """The packets of one stream that wait for their slots, over a map state of blocks of BLOCK slots. A block is read
+    when it is first asked for and, if it changed, written once, by save(). new: there is no state yet."""
+
+    BLOCK = 64
+    KEY, VALUE = StructType([StructField("block", LongType())]), StructType([StructField("sequences", ArrayType(LongType())), StructField("payloads", ArrayType(StringType()))])
+
+    def __init__(self, state, new: bool):
+        self.state, self.new = state, new
+        self.blocks: dict[int, dict[int, str | None]] = {}
+        self.stored: set[int] = set()
+        self.changed: set[int] = set()
+
+    def _block(self, n: int) -> dict[int, str | None]:
+        if n not in self.blocks:
+            known = not self.new and self.state.containsKey((n,))
+            if known:
+                self.stored.add(n)
+            self.blocks[n] = dict(zip(*self.state.getValue((n,)), strict=True)) if known else {}
+        return self.blocks[n]
+
+    def put(self, sequence: int, payload: str | None) -> None:
+        n = sequence // self.BLOCK
+        self._block(n)[sequence] = payload
+        self.changed.add(n)
+
+    def take(self, sequence: int) -> tuple[str | None] | None:
+        n = sequence // self.BLOCK
+        held = self._block(n)
+        if sequence not in held:
+            return None
+        self.changed.add(n)
+        return (held.pop(sequence),)
+
+    def save(self) -> None:
+        for n in self.changed:
+            if self.blocks[n]:
+                self.state.updateValue((n,), (list(self.blocks[n]), list(self.blocks[n].values())))
+            elif n in self.stored:
+                self.state.removeKey((n,))
+
+
 class Playout(StatefulProcessor):
     """Input (stream, sequence, arrival_ms, payload): slots in order, packet or concealed with the last payload. A slot's
     packet must have come by its deadline; a slot is settled by the first later packet or by a timer at the deadline
-    of the newest packet."""
+    of the newest packet. A stream's place is read and written once a batch, and the packets that wait in blocks."""
 
     OUT = StructType([StructField("stream", LongType()), StructField("sequence", LongType()), StructField("kind", StringType()), StructField("payload", StringType())])
 
@@ -137,45 +192,56 @@ class Playout(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", StructType([StructField("base_ms", LongType()), StructField("next", LongType()), StructField("last", StringType()), StructField("newest", LongType())]))
-        self.waiting = handle.getMapState("waiting", StructType([StructField("sequence", LongType())]), StructType([StructField("arrival_ms", LongType()), StructField("payload", StringType())]))
+        self.place = handle.getValueState("at", StructType([StructField("base_ms", LongType()), StructField("next", LongType()), StructField("last", StringType()), StructField("newest", LongType()), StructField("due", LongType())]))
+        self.waiting = handle.getMapState("blocks", Waiting.KEY, Waiting.VALUE)
 
-    def _play(self, key, until_ms: int) -> list[tuple]:
-        """Slots whose deadline is before ``until_ms``, up to the newest packet."""
-        base_ms, at, last, newest = self.place.get()
-        out = []
+    def _play(self, place: list, waiting: Waiting, until_ms: int, out: list[tuple]) -> None:
+        """Slots whose deadline is before ``until_ms``, up to the newest packet. place: (base_ms, next, last, newest)."""
+        base_ms, at, last, newest = place
         while at <= newest and base_ms + at * self.interval_ms < until_ms:
-            held = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else None
+            held = waiting.take(at)
             if held is not None:
-                self.waiting.removeKey((at,))
-                last = held[1]
-            out.append((key[0], at, "packet" if held is not None else "concealed", last))
+                last = held[0]
+            out.append((at, "packet" if held is not None else "concealed", last))
             at += 1
-        self.place.update((base_ms, at, last, newest))
-        return out
+        place[1:3] = at, last
+
+    def _told(self, key, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            sequences, kinds, payloads = zip(*out, strict=True)
+            yield pd.DataFrame({"stream": key[0], "sequence": sequences, "kind": kinds, "payload": payloads})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        for r in pd.concat(list(rows)).sort_values(["arrival_ms", "sequence"]).itertuples():
-            if not self.place.exists():
-                self.place.update((int(r.arrival_ms) + self.delay_ms - int(r.sequence) * self.interval_ms, int(r.sequence), None, int(r.sequence)))
-            out += self._play(key, int(r.arrival_ms))
-            base_ms, at, last, newest = self.place.get()
-            if r.sequence >= at:
+        before = self.place.get()
+        place, due = (list(before[:4]), before[4]) if before is not None else (None, None)
+        waiting, out = Waiting(self.waiting, before is None), []
+        packets = [p for frame in rows for p in zip(*(frame[c].tolist() for c in ("arrival_ms", "sequence", "payload")), strict=True)]
+        for arrival_ms, sequence, payload in sorted(packets, key=lambda p: p[:2]):
+            if place is None:
+                place = [arrival_ms + self.delay_ms - sequence * self.interval_ms, sequence, None, sequence]
+            self._play(place, waiting, arrival_ms, out)
+            if sequence >= place[1]:
                 # slots between are still open, or are settled as concealed once this one is the newest
-                self.place.update((base_ms, at, last, max(newest, int(r.sequence))))
-                if r.arrival_ms <= base_ms + r.sequence * self.interval_ms:
-                    self.waiting.updateValue((int(r.sequence),), (int(r.arrival_ms), r.payload))
-                out += self._play(key, int(r.arrival_ms))
-        base_ms, _, _, newest = self.place.get()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(base_ms + newest * self.interval_ms + 1)
-        yield pd.DataFrame(out, columns=["stream", "sequence", "kind", "payload"])
+                place[3] = max(place[3], sequence)
+                if arrival_ms <= place[0] + sequence * self.interval_ms:
+                    waiting.put(sequence, payload)
+                self._play(place, waiting, arrival_ms, out)
+        waiting.save()
+        ends = place[0] + place[3] * self.interval_ms + 1
+        if ends != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(ends)
+        self.place.update((*place, ends))
+        yield from self._told(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.place.exists():
-            yield pd.DataFrame(self._play(key, 1 << 62), columns=["stream", "sequence", "kind", "payload"])
+        before = self.place.get()
+        place, waiting, out = list(before[:4]), Waiting(self.waiting, False), []
+        self._play(place, waiting, 1 << 62, out)
+        waiting.save()
+        self.place.update((*place, None))
+        yield from self._told(key, out)
 
     def close(self) -> None:
         pass

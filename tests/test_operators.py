@@ -167,6 +167,70 @@ def test_stream_playout_is_the_batch_one(spark, tmp_path):
     assert rows(got.filter("stream < 99")) == rows(playout.playout(df.filter("stream < 99"), 20, 60, False))
 
 
+class CountedState:
+    """A handle with value and map states in memory and timers; counts what goes to the JVM and back in Spark."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def _state(self, names):
+        from types import SimpleNamespace
+
+        held = {}
+        do = {
+            "exists": lambda: bool(held), "get": lambda: held.get(None), "update": lambda v: held.update({None: v}), "clear": held.clear,
+            "containsKey": lambda k: k in held, "getValue": held.get, "updateValue": lambda k, v: held.update({k: v}), "removeKey": lambda k: held.pop(k, None), "iterator": lambda: iter(list(held.items())),
+        }
+        return SimpleNamespace(held=held, **{n: self._counted(f) for n, f in do.items()})
+
+    def _counted(self, f):
+        def call(*args):
+            self.calls += 1
+            return f(*args)
+
+        return call
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return self._state(name)
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, t):  # noqa: N802
+        self._counted(self.timers.append)(t)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self._counted(self.timers.remove)(t)
+
+    def listTimers(self):  # noqa: N802
+        return iter(self._counted(lambda: list(self.timers))())
+
+    def fire(self, processor, key, watermark):
+        from types import SimpleNamespace
+
+        out = []
+        for t in sorted(t for t in self.timers if t <= watermark):
+            out += processor.handleExpiredTimer(key, SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), SimpleNamespace(getExpiryTimeInMs=lambda t=t: t))
+            self.timers.remove(t)
+        return [tuple(r) for frame in out for r in frame.itertuples(index=False)]
+
+
+def test_sessions_take_few_state_calls():
+    """A call is a round trip to the JVM; they were several for each session, and each timer read them all."""
+    import pandas as pd
+
+    sessions, handle = processors.Sessions(8_000), CountedState()
+    sessions.init(handle)
+    ms = [10_000 * i for i in range(1000)]
+    random.Random(5).shuffle(ms)
+    for part in (ms[:600], ms[600:]):
+        assert not [r for f in sessions.handleInputRows((7,), iter([pd.DataFrame({"ms": part[:300]}), pd.DataFrame({"ms": part[300:]})]), None) for r in f.itertuples()]
+    assert handle.calls <= 8 and handle.timers == [8_000]
+    want = [(7, 10_000 * i, 10_000 * i, 1) for i in range(1000)]
+    assert handle.fire(sessions, (7,), 4_998_000) == want[:500] and handle.timers == [5_008_000]
+    assert handle.fire(sessions, (7,), 4_999_999) == [] and handle.fire(sessions, (7,), 1 << 50) == want[500:]
+    assert handle.calls <= 20 and not handle.timers and not sessions.open.held
+
+
 def test_estimators(spark):
     s = spark.createDataFrame([("a", 0, 12500), ("a", 1000, 0)], "k string, ms long, b long")
     assert rows(estimators.sliding_rate(s, "k", "ms", "b", 1000), "ms", "kbps")[1] == (1000, 100.0)
