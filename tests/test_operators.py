@@ -231,6 +231,41 @@ def test_sessions_take_few_state_calls():
     assert handle.calls <= 20 and not handle.timers and not sessions.open.held
 
 
+def test_playout_takes_few_state_calls():
+    """They were ten for each packet."""
+    import pandas as pd
+
+    played, handle = processors.Playout(20, 60), CountedState()
+    played.init(handle)
+    data = [(1000 + 20 * s, s, str(s)) for s in range(2000)] + [(1005, s, f"early {s}") for s in range(2000, 2200)]
+    got = []
+    for part in (data[:1000], data[1000:]):
+        got += [tuple(r) for f in played.handleInputRows((3,), iter([pd.DataFrame(part, columns=["arrival_ms", "sequence", "payload"])]), None) for r in f.itertuples(index=False)]
+    assert handle.calls < 50 and len(handle.timers) == 1
+    got += handle.fire(played, (3,), 1 << 50)
+    assert got == [(3, s, "packet", str(s) if s < 2000 else f"early {s}") for s in range(2200)] and handle.calls < 70 and not played.waiting.held
+
+
+def test_stream_playout_over_batches_is_the_batch_one(spark, tmp_path):
+    """Packets wait over several batches, in several blocks."""
+    import os
+
+    rng = random.Random(6)
+    data = [(k, s, 1000 + 20 * s + rng.randrange(120) - (3000 if s > 160 and rng.random() < 0.3 else 0), f"{k}-{s}") for k in range(3) for s in range(400) if rng.random() > 0.1]
+    cuts = [0, 2500, 4000, 5500, 7000, 1 << 40]
+    parts = [[p for p in data if a <= p[2] < b] for a, b in zip(cuts, cuts[1:], strict=False)] + [[(99, 0, 10_000_000, "end")]]
+    schema = "stream long, sequence long, arrival_ms long, payload string"
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).withColumn("at", F.timestamp_millis("arrival_ms")).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        (f,) = (tmp_path / str(i)).glob("*.parquet")
+        f.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema + ", at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = all_available(processors.keyed(stream, "stream", processors.Playout(20, 60), "at"))
+    assert rows(got.filter("stream < 99")) == rows(playout.playout(spark.createDataFrame(data, schema), 20, 60, False))
+
+
 def test_estimators(spark):
     s = spark.createDataFrame([("a", 0, 12500), ("a", 1000, 0)], "k string, ms long, b long")
     assert rows(estimators.sliding_rate(s, "k", "ms", "b", 1000), "ms", "kbps")[1] == (1000, 100.0)
