@@ -8,8 +8,9 @@ after every so many bytes. Reading checks every record and ends a segment at the
 cut off or damaged; a read from an offset on begins at the index entry before it, so damage before that isn't met.
 recover() cuts segments to their valid records, and then both ways agree.
 
-One segment is one input partition, in streams too; filters on topic, partition and offset prune whole segments before
-any is opened. Files are reached with pyarrow, so the folder may be in any shared storage that it knows; it needs its
+Segments that follow each other make an input partition, in streams too, by their bytes (packed()): small segments are many,
+and a task for each would cost more than reading it. Filters on topic, partition and offset prune whole segments before any
+is opened. Files are reached with pyarrow, so the folder may be in any shared storage that it knows; it needs its
 scheme (storage.qualified() gives it the one that Spark would).
 """
 
@@ -19,9 +20,11 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,10 @@ from .storage import file_system, qualified, scratch_folder
 
 HEADER, ENTRY = "<QII", "<QQ"
 HEADER_BYTES, SEGMENT_BYTES, INDEX_BYTES = 16, 64 << 20, 4096
+#: Bytes that one task reads, what opening a segment counts as, and tasks that a small log is spread over.
+TASK_BYTES, OPEN_BYTES, TASKS = 64 << 20, 64 << 10, 32
+#: Rows and payload bytes of a batch that is read, and bytes that a segment being written holds back.
+BATCH_ROWS, BATCH_BYTES, HELD_BYTES = 1 << 14, 4 << 20, 1 << 20
 SCHEMA = "topic string, partition int, offset long, len long, crc long, payload binary"
 RECOVERED = "topic string, partition int, segment_base long, records long, bytes long, torn_bytes long, sealed boolean, next_offset long"
 
@@ -42,33 +49,66 @@ def encode_record(offset: int, payload: bytes) -> bytes:
 
 def replay(file, base: int, chunk: int = 1 << 22) -> Iterator[tuple[int, int, int, bytes]]:
     """(offset, len, crc, payload) of the valid records of an open segment, from its first offset on."""
-    held, expected = b"", base
+    held, at, expected = b"", 0, base
     while True:
-        if len(held) < HEADER_BYTES:
-            held += file.read(chunk)
+        if len(held) - at < HEADER_BYTES:
+            held, at = held[at:] + file.read(max(chunk, HEADER_BYTES)), 0
             if len(held) < HEADER_BYTES:
                 return
-        offset, size, crc = struct.unpack_from(HEADER, held)
+        offset, size, crc = struct.unpack_from(HEADER, held, at)
         if offset != expected or (offset, size, crc) == (0, 0, 0):
             return
-        while len(held) < HEADER_BYTES + size:
-            more = file.read(max(chunk, HEADER_BYTES + size - len(held)))
-            if not more:
-                return
-            held += more
-        payload = held[HEADER_BYTES : HEADER_BYTES + size]
+        end = at + HEADER_BYTES + size
+        if len(held) < end:
+            parts, at, end = [held[at:]], 0, HEADER_BYTES + size
+            missing = end - len(parts[0])
+            while missing > 0:
+                more = file.read(max(chunk, missing))
+                if not more:
+                    return
+                parts.append(more)
+                missing -= len(more)
+            held = b"".join(parts)
+        payload = held[at + HEADER_BYTES : end]
         if zlib.crc32(payload) != crc:
             return
         yield offset, size, crc, payload
-        held, expected = held[HEADER_BYTES + size :], expected + 1
+        at, expected = end, expected + 1
 
 
 @dataclass
-class Segment(InputPartition):
+class Segment:
     topic: str
     partition: int
     base: int
     path: str
+    size: int = 0
+
+
+@dataclass
+class Segments(InputPartition):
+    """Segments that one task reads, in order."""
+
+    held: list[Segment] = field(default_factory=list)
+
+    @property
+    def base(self) -> int:
+        return self.held[0].base
+
+
+def packed(found: list[Segment]) -> list[Segments]:
+    """Segments in their order, dealt to tasks by bytes and files: as many tasks as the log's size asks for, however small its
+    segments are. A task takes TASK_BYTES, or one segment that is larger; less where that would make under TASKS tasks."""
+    total = sum(s.size + OPEN_BYTES for s in found)
+    each = min(TASK_BYTES, total // TASKS)
+    dealt, room = [], 0
+    for s in found:
+        if not dealt or room < s.size + OPEN_BYTES:
+            dealt.append(Segments())
+            room = each
+        dealt[-1].held.append(s)
+        room -= s.size + OPEN_BYTES
+    return dealt
 
 
 def list_segments(folder: str) -> list[Segment]:
@@ -79,7 +119,7 @@ def list_segments(folder: str) -> list[Segment]:
     for info in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
         m = re.search(r"([^/]+)/partition-(\d+)/(\d{20})\.seg$", info.path)
         if m and info.size:
-            found.append(Segment(m[1], int(m[2]), int(m[3]), info.path))
+            found.append(Segment(m[1], int(m[2]), int(m[3]), info.path, info.size))
     return sorted(found, key=lambda s: (s.topic, s.partition, s.base))
 
 
@@ -105,17 +145,28 @@ class SegmentReader(DataSourceReader):
             ends = after.base if after is not None and (after.topic, after.partition) == (s.topic, s.partition) else None
             if (self.most is None or s.base <= self.most) and (ends is None or ends > self.least):
                 kept.append(s)
-        return kept or [Segment("", 0, 0, "")]
+        return packed(kept) or [Segments()]
 
-    def read(self, segment: Segment):
-        if not segment.path:
-            return
+    def read(self, partition: Segments):
         system, _ = file_system(self.folder)
-        offset, position = indexed_place(system, segment, self.least)
-        with system.open_input_file(segment.path) as file:
-            file.seek(position)
-            for offset, size, crc, payload in replay(file, offset):
-                yield segment.topic, segment.partition, offset, size, crc, payload
+        rows, size = [], 0
+        for segment in partition.held:
+            offset, position = indexed_place(system, segment, self.least)
+            with system.open_input_file(segment.path) as file:
+                file.seek(position)
+                for record in replay(file, offset):
+                    rows.append((segment.topic, segment.partition, *record))
+                    size += record[1]
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), *[pa.int64()] * 3, pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def indexed_place(system, segment: Segment, least: int) -> tuple[int, int]:
@@ -131,7 +182,7 @@ def indexed_place(system, segment: Segment, least: int) -> tuple[int, int]:
 
 
 class SegmentStream(DataSourceStreamReader):
-    """Whole segments as they appear, each read by a task. A position is the first offset of the last segment of each
+    """Whole segments as they appear. A position is the first offset of the last segment of each
     partition that was read; a log only grows at its end."""
 
     def __init__(self, folder: str):
@@ -145,7 +196,7 @@ class SegmentStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict):
         name = lambda s: f"{s.topic}/{s.partition}"
-        return [s for s in list_segments(self.folder) if start.get(name(s), -1) < s.base <= end.get(name(s), -1)] or [Segment("", 0, 0, "")]
+        return [Segments([s]) for s in list_segments(self.folder) if start.get(name(s), -1) < s.base <= end.get(name(s), -1)] or [Segments()]
 
     def read(self, partition):
         return SegmentReader(self.folder).read(partition)
@@ -156,20 +207,24 @@ class SegmentStream(DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    #: (temporary path, path) of each file, an index before its segment.
-    moves: list
+    #: (folder, prefix of the temporary names, first offsets) of the segments of a task in each log partition.
+    made: list[tuple[str, str, array]] = field(default_factory=list)
+
+
+def names_of(folder: str, prefix: str, base: int) -> list[tuple[str, str]]:
+    """(temporary path, path) of a segment's files, the index before the segment."""
+    return [(f"{folder}/{prefix}{base:020d}{end}", f"{folder}/{base:020d}{end}") for end in (".idx", ".seg")]
 
 
 class SegmentFile:
     """A segment and its index that are being written under other names."""
 
-    def __init__(self, system, folder: str, base: int, index_bytes: int):
-        self.system, self.base, self.index_bytes, self.entries = system, base, index_bytes, []
-        self.records = self.size = 0
+    def __init__(self, system, folder: str, prefix: str, base: int, index_bytes: int):
+        self.system, self.index_bytes, self.entries, self.blocks = system, index_bytes, [], []
+        self.records = self.size = self.held = 0
         self.since = index_bytes
-        system.create_dir(folder, recursive=True)
-        self.path, self.temporary = f"{folder}/{base:020d}", f"{folder}/_{uuid.uuid4().hex}"
-        self.out = system.open_output_stream(self.temporary + ".seg")
+        self.index, self.segment = (temporary for temporary, _ in names_of(folder, prefix, base))
+        self.out = system.open_output_stream(self.segment)
 
     def add(self, offset: int, payload: bytes) -> None:
         record = encode_record(offset, payload)
@@ -178,21 +233,37 @@ class SegmentFile:
             self.since = 0
         else:
             self.since += len(record)
-        self.out.write(record)
-        self.records, self.size = self.records + 1, self.size + len(record)
+        self.blocks.append(record)
+        self.records, self.size, self.held = self.records + 1, self.size + len(record), self.held + len(record)
+        if self.held >= HELD_BYTES:
+            self._flush()
 
-    def close(self) -> list[tuple[str, str]]:
+    def _flush(self) -> None:
+        self.out.write(b"".join(self.blocks))
+        self.blocks, self.held = [], 0
+
+    def close(self) -> None:
+        self._flush()
         self.out.close()
-        with self.system.open_output_stream(self.temporary + ".idx") as file:
+        with self.system.open_output_stream(self.index) as file:
             file.write(b"".join(struct.pack(ENTRY, *e) for e in self.entries))
-        return [(self.temporary + end, self.path + end) for end in (".idx", ".seg")]
 
 
 def _moved(folder: str, messages) -> None:
+    """Log partitions side by side, the segments of one in order: who reads meanwhile sees a log that grows at its end."""
     system, _ = file_system(folder)
+    logs: dict[str, list[tuple[int, str]]] = {}
     for message in messages:
-        for temporary, path in message.moves if message is not None else ():
-            system.move(temporary, path)
+        for where, prefix, bases in message.made if message is not None else ():
+            logs.setdefault(where, []).extend((base, prefix) for base in bases)
+
+    def move(where: str) -> None:
+        for base, prefix in sorted(set(logs[where])):
+            for temporary, path in names_of(where, prefix, base):
+                system.move(temporary, path)
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, logs))
 
 
 class SegmentWriter(DataSourceArrowWriter):
@@ -206,7 +277,7 @@ class SegmentWriter(DataSourceArrowWriter):
     def write(self, iterator):
         system, root = file_system(self.folder)
         at = {n: i for i, n in enumerate(self.names)}
-        moves, now, file = [], None, None
+        made, prefix, now, file = Written(), f"_{uuid.uuid4().hex}-", None, None
         for batch in iterator:
             columns = [batch.column(at[n]).to_pylist() for n in ("topic", "partition", "offset", "payload")]
             bases = batch.column(at["segment_base"]).to_pylist() if "segment_base" in at else [None] * batch.num_rows
@@ -216,12 +287,19 @@ class SegmentWriter(DataSourceArrowWriter):
                     raise ValueError(f"record too large: {HEADER_BYTES + len(payload)} bytes in segments of {self.segment_bytes}")
                 full = file is not None and file.size + HEADER_BYTES + len(payload) > self.segment_bytes
                 if file is None or (topic, partition, base) != now or (base is None and full):
-                    moves += file.close() if file is not None else []
+                    if file is not None:
+                        file.close()
+                    if now is None or (topic, partition) != now[:2]:
+                        folder = f"{root}/{topic}/partition-{partition}"
+                        system.create_dir(folder, recursive=True)
+                        made.made.append((folder, prefix, array("q")))
                     now = (topic, partition, base)
-                    file = SegmentFile(system, f"{root}/{topic}/partition-{partition}", offset if base is None else base, self.index_bytes)
+                    made.made[-1][2].append(offset if base is None else base)
+                    file = SegmentFile(system, folder, prefix, made.made[-1][2][-1], self.index_bytes)
                 file.add(offset, payload)
-        moves += file.close() if file is not None else []
-        return Written(moves)
+        if file is not None:
+            file.close()
+        return made
 
     def commit(self, messages):
         _moved(self.folder, messages)
@@ -229,9 +307,10 @@ class SegmentWriter(DataSourceArrowWriter):
     def abort(self, messages):
         system, _ = file_system(self.folder)
         for message in messages:
-            for temporary, _ in message.moves if message is not None else ():
-                if system.get_file_info(temporary).is_file:
-                    system.delete_file(temporary)
+            for folder, prefix, bases in message.made if message is not None else ():
+                for temporary, _ in (pair for base in bases for pair in names_of(folder, prefix, base)):
+                    if system.get_file_info(temporary).is_file:
+                        system.delete_file(temporary)
 
 
 class SegmentStreamWriter(DataSourceStreamArrowWriter):
@@ -307,30 +386,32 @@ def write_segments(laid: DataFrame, folder: str, topic: str, payload: str = "pay
 
 def recover(spark: SparkSession, folder: str, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Cuts every segment, at once, to its valid records and writes its index anew where any were lost. One row (RECOVERED) a segment:
-    all but the last of a log partition are sealed, and the last tells the partition's next offset. A segment is one
-    task; a task that runs again finds nothing more to cut."""
+    all but the last of a log partition are sealed, and the last tells the partition's next offset. Tasks take segments
+    as in reading; a task that runs again finds nothing more to cut."""
     folder = qualified(spark, folder)
     found = list_segments(folder)
     last = {(s.topic, s.partition): s.base for s in found}
-    rows = [(s.topic, s.partition, s.base, s.path, s.base < last[s.topic, s.partition]) for s in found]
-    listed = spark.createDataFrame(rows, "topic string, partition int, base long, path string, sealed boolean")
+    rows = [([(s.topic, s.partition, s.base, s.path, s.base < last[s.topic, s.partition]) for s in task.held],) for task in (Segments([s]) for s in found)]
+    listed = spark.createDataFrame(rows, "segments array<struct<topic: string, partition: int, base: long, path: string, sealed: boolean>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(folder)
         for batch in batches:
             out = []
-            for topic, partition, base, path, sealed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for topic, partition, base, path, sealed in (tuple(s.values()) for task in batch.column(0).to_pylist() for s in task):
                 size, before = 0, system.get_file_info(path).size
                 records = 0
                 with system.open_input_file(path) as file:
                     for _, n, _, _ in replay(file, base):
                         records, size = records + 1, size + HEADER_BYTES + n
                 if size < before:
-                    cut = SegmentFile(system, path.rsplit("/", 1)[0], base, index_bytes)
+                    where, prefix = path.rsplit("/", 1)[0], f"_{uuid.uuid4().hex}-"
+                    cut = SegmentFile(system, where, prefix, base, index_bytes)
                     with system.open_input_file(path) as file:
                         for offset, _, _, payload in replay(file, base):
                             cut.add(offset, payload)
-                    for temporary, name in cut.close():
+                    cut.close()
+                    for temporary, name in names_of(where, prefix, base):
                         system.move(temporary, name)
                 out.append((topic, partition, base, records, size, before - size, sealed, base + records))
             kinds = (pa.string(), pa.int32(), *[pa.int64()] * 4, pa.bool_(), pa.int64())

@@ -475,6 +475,35 @@ def test_index_is_used_and_streams_restart(spark, tmp_path):
     assert sorted(r["offset"] for r in spark.read.parquet(f"{out}/out").collect()) == list(range(300))
 
 
+def _many_segments(spark, folder):
+    """1,000 segments of a record each, in two log partitions."""
+    segments.register(spark)
+    data = spark.range(1000).selectExpr("'t' AS topic", "cast(id % 2 AS int) AS partition", "id div 2 AS offset", "cast(id AS string) AS payload")
+    segments.append(data, folder, 20, 8)
+    assert len(segments.list_segments(folder)) == 1000
+    return folder
+
+
+def test_small_segments_share_tasks(spark, tmp_path):
+    folder = _many_segments(spark, f"file://{tmp_path}/log")
+    assert sorted(f.name for f in (tmp_path / "log/t/partition-1").iterdir())[:2] == [f"{0:020d}.idx", f"{0:020d}.seg"]
+    df = spark.read.format("segments").load(folder)
+    assert df.rdd.getNumPartitions() <= 2 * segments.TASKS
+    assert {(r["partition"], r["offset"], bytes(r["payload"])) for r in df.collect()} == {(i % 2, i // 2, str(i).encode()) for i in range(1000)}
+    large = [segments.Segment("t", 0, i, "", segments.TASK_BYTES) for i in range(3)]
+    assert [t.held for t in segments.packed(large)] == [[s] for s in large]
+
+
+def test_replay_of_records_longer_than_a_read(tmp_path):
+    import io
+
+    payloads = [b"x" * n for n in (0, 3, 100, 5, 0, 64)]
+    blob = b"".join(segments.encode_record(i, p) for i, p in enumerate(payloads, 7))
+    for chunk in (1, 7, 16, 50, 1000):
+        assert [r[3] for r in segments.replay(io.BytesIO(blob), 7, chunk)] == payloads
+        assert [r[3] for r in segments.replay(io.BytesIO(blob[:-1]), 7, chunk)] == payloads[:-1]
+
+
 def test_stream_sink(spark, tmp_path):
     segments.register(spark)
     spark.range(100).selectExpr("'t' AS topic", "0 AS partition", "id AS offset", "cast('z' AS binary) AS payload").coalesce(1).write.parquet(f"{tmp_path}/in")
