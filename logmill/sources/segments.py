@@ -391,7 +391,7 @@ def recover(spark: SparkSession, folder: str, index_bytes: int = INDEX_BYTES) ->
     folder = qualified(spark, folder)
     found = list_segments(folder)
     last = {(s.topic, s.partition): s.base for s in found}
-    rows = [([(s.topic, s.partition, s.base, s.path, s.base < last[s.topic, s.partition]) for s in task.held],) for task in (Segments([s]) for s in found)]
+    rows = [([(s.topic, s.partition, s.base, s.path, s.base < last[s.topic, s.partition]) for s in task.held],) for task in packed(found)]
     listed = spark.createDataFrame(rows, "segments array<struct<topic: string, partition: int, base: long, path: string, sealed: boolean>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -504,6 +504,16 @@ def test_replay_of_records_longer_than_a_read(tmp_path):
         assert [r[3] for r in segments.replay(io.BytesIO(blob[:-1]), 7, chunk)] == payloads[:-1]
 
 
+def test_recovery_of_small_segments_shares_tasks(spark, tmp_path):
+    folder = _many_segments(spark, f"file://{tmp_path}/log")
+    torn = segments.list_segments(folder)[300]
+    with open(torn.path, "rb+") as f:
+        f.truncate(torn.size - 1)
+    told = segments.recover(spark, folder, 8)
+    assert told.count() == 1000 and len(told.inputFiles()) <= 2 * segments.TASKS
+    assert rows(told.filter("torn_bytes > 0"), "partition", "segment_base", "records") == [(torn.partition, torn.base, 0)]
+
+
 def test_stream_sink(spark, tmp_path):
     segments.register(spark)
     spark.range(100).selectExpr("'t' AS topic", "0 AS partition", "id AS offset", "cast('z' AS binary) AS payload").coalesce(1).write.parquet(f"{tmp_path}/in")
