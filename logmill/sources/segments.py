@@ -196,7 +196,7 @@ class SegmentStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict):
         name = lambda s: f"{s.topic}/{s.partition}"
-        return [Segments([s]) for s in list_segments(self.folder) if start.get(name(s), -1) < s.base <= end.get(name(s), -1)] or [Segments()]
+        return packed([s for s in list_segments(self.folder) if start.get(name(s), -1) < s.base <= end.get(name(s), -1)]) or [Segments()]
 
     def read(self, partition):
         return SegmentReader(self.folder).read(partition)

@@ -514,6 +514,16 @@ def test_recovery_of_small_segments_shares_tasks(spark, tmp_path):
     assert rows(told.filter("torn_bytes > 0"), "partition", "segment_base", "records") == [(torn.partition, torn.base, 0)]
 
 
+def test_a_stream_of_small_segments_shares_tasks(spark, tmp_path):
+    folder = _many_segments(spark, f"file://{tmp_path}/log")
+    stream = segments.SegmentStream(folder)
+    end = stream.latestOffset()
+    assert len(stream.partitions({}, end)) <= 2 * segments.TASKS and not stream.partitions(end, end)[0].held
+    assert [s.base for t in stream.partitions({"t/0": 497, "t/1": 499}, end) for s in t.held] == [498, 499]
+    got = all_available(spark.readStream.format("segments").load(folder).select("partition", "offset"))
+    assert sorted(map(tuple, got.collect())) == [(p, o) for p in range(2) for o in range(500)]
+
+
 def test_stream_sink(spark, tmp_path):
     segments.register(spark)
     spark.range(100).selectExpr("'t' AS topic", "0 AS partition", "id AS offset", "cast('z' AS binary) AS payload").coalesce(1).write.parquet(f"{tmp_path}/in")
