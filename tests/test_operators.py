@@ -524,6 +524,18 @@ def test_a_stream_of_small_segments_shares_tasks(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(p, o) for p in range(2) for o in range(500)]
 
 
+def test_reads_of_small_segments_are_pruned_and_share_tasks(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
+
+    folder = _many_segments(spark, f"file://{tmp_path}/log")
+    reader = segments.SegmentReader(folder)
+    list(reader.pushFilters([EqualTo(("partition",), 1), GreaterThanOrEqual(("offset",), 50)]))
+    tasks = reader.partitions()
+    assert len(tasks) <= 2 * segments.TASKS and [(s.partition, s.base) for t in tasks for s in t.held] == [(1, o) for o in range(50, 500)]
+    df = spark.read.format("segments").load(folder).filter("partition = 1 AND offset >= 50")
+    assert sorted(r["offset"] for r in df.collect()) == list(range(50, 500))
+
+
 def test_stream_sink(spark, tmp_path):
     segments.register(spark)
     spark.range(100).selectExpr("'t' AS topic", "0 AS partition", "id AS offset", "cast('z' AS binary) AS payload").coalesce(1).write.parquet(f"{tmp_path}/in")
