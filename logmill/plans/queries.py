@@ -17,6 +17,8 @@ from . import bindings as b
 
 P = b.PARTITIONS
 SEGMENT_BYTES, INDEX_BYTES, DAY_MS, HOUR_MS = 4096, 512, 86_400_000, 3_600_000
+#: State keys of a stream whose processor takes many streams a key.
+BUCKETS = 1024
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -530,4 +532,4 @@ def stream_playout(spark, sf):
     came = F.col("arrival_ms") + DAY_MS
     b.arrived(spark, sf).select("stream", "sequence", came.alias("arrival_ms"), "payload", F.timestamp_millis(came).alias("at")).write.parquet(f"{folder}/packets")
     rows = spark.readStream.schema("stream long, sequence long, arrival_ms long, payload string, at timestamp").parquet(f"{folder}/packets")
-    return all_available(processors.keyed(rows, "stream", processors.Playout(b.INTERVAL_MS, b.DELAY_MS), "at"))
+    return all_available(processors.keyed(rows, "stream", processors.Playout(b.INTERVAL_MS, b.DELAY_MS), "at", buckets=BUCKETS))

@@ -139,116 +139,153 @@ class Sessions(StatefulProcessor):
 
 
 class Waiting:
-    """The packets of one stream that wait for their slots, over a map state of blocks of BLOCK slots. A block is read
-    when it is first asked for and, if it changed, written once, by save(). new: there is no state yet."""
+    """The packets that wait for their slots, over a map state of blocks: those of all streams of a key whose deadlines lie
+    in the same BLOCK slots of time. A block is read when it is first asked for and, if it changed, written once, by
+    save(). stored: the numbers of the blocks that the state has."""
 
     BLOCK = 64
-    KEY, VALUE = StructType([StructField("block", LongType())]), StructType([StructField("sequences", ArrayType(LongType())), StructField("payloads", ArrayType(StringType()))])
+    KEY = StructType([StructField("block", LongType())])
+    VALUE = StructType([StructField(c, ArrayType(LongType())) for c in ("streams", "sequences")] + [StructField("payloads", ArrayType(StringType()))])
 
-    def __init__(self, state, new: bool):
-        self.state, self.new = state, new
-        self.blocks: dict[int, dict[int, str | None]] = {}
-        self.stored: set[int] = set()
+    def __init__(self, state, stored: list[int], interval_ms: int):
+        self.state, self.stored, self.width_ms = state, set(stored), self.BLOCK * interval_ms
+        self.blocks: dict[int, dict[tuple[int | None, int], str | None]] = {}
         self.changed: set[int] = set()
 
-    def _block(self, n: int) -> dict[int, str | None]:
+    def _block(self, n: int) -> dict[tuple[int | None, int], str | None]:
         if n not in self.blocks:
-            known = not self.new and self.state.containsKey((n,))
-            if known:
-                self.stored.add(n)
-            self.blocks[n] = dict(zip(*self.state.getValue((n,)), strict=True)) if known else {}
+            streams, sequences, payloads = self.state.getValue((n,)) if n in self.stored else ((), (), ())
+            self.blocks[n] = dict(zip(zip(streams, sequences, strict=True), payloads, strict=True))
         return self.blocks[n]
 
-    def put(self, sequence: int, payload: str | None) -> None:
-        n = sequence // self.BLOCK
-        self._block(n)[sequence] = payload
+    def put(self, stream: int | None, sequence: int, deadline_ms: int, payload: str | None) -> None:
+        n = deadline_ms // self.width_ms
+        self._block(n)[stream, sequence] = payload
         self.changed.add(n)
 
-    def take(self, sequence: int) -> tuple[str | None] | None:
-        n = sequence // self.BLOCK
-        held = self._block(n)
-        if sequence not in held:
+    def take(self, stream: int | None, sequence: int, deadline_ms: int) -> tuple[str | None] | None:
+        n = deadline_ms // self.width_ms
+        if n not in self.stored or (stream, sequence) not in self._block(n):
             return None
         self.changed.add(n)
-        return (held.pop(sequence),)
+        return (self.blocks[n].pop((stream, sequence)),)
 
-    def save(self) -> None:
+    def save(self) -> list[int]:
+        """Writes what changed; returns the numbers of the blocks that the state has now."""
         for n in self.changed:
             if self.blocks[n]:
-                self.state.updateValue((n,), (list(self.blocks[n]), list(self.blocks[n].values())))
+                self.state.updateValue((n,), (*(list(c) for c in zip(*self.blocks[n], strict=True)), list(self.blocks[n].values())))
+                self.stored.add(n)
             elif n in self.stored:
                 self.state.removeKey((n,))
+                self.stored.remove(n)
+        return sorted(self.stored)
 
 
 class Playout(StatefulProcessor):
     """Input (stream, sequence, arrival_ms, payload): slots in order, packet or concealed with the last payload. A slot's
     packet must have come by its deadline; a slot is settled by the first later packet or by a timer at the deadline
-    of the newest packet. A stream's place is read and written once a batch, and the packets that wait in blocks."""
+    of the newest packet.
+
+    A key is a stream, or holds all packets of many (see keyed()): keys cost more than packets, as each access to the state
+    goes to the JVM and back. The places of a key's streams are one value, read and written once a batch, the packets that
+    wait are in blocks, and its only timer is that of the stream to end first; all that have ended are settled with it."""
 
     OUT = StructType([StructField("stream", LongType()), StructField("sequence", LongType()), StructField("kind", StringType()), StructField("payload", StringType())])
+    PLACES = StructType(
+        [StructField(c, ArrayType(LongType())) for c in ("stream", "base_ms", "next")]
+        + [StructField("last", ArrayType(StringType())), StructField("newest", ArrayType(LongType())), StructField("blocks", ArrayType(LongType())), StructField("due", LongType())]
+    )
 
     def __init__(self, interval_ms: int, delay_ms: int):
         self.interval_ms, self.delay_ms = interval_ms, delay_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("at", StructType([StructField("base_ms", LongType()), StructField("next", LongType()), StructField("last", StringType()), StructField("newest", LongType()), StructField("due", LongType())]))
-        self.waiting = handle.getMapState("blocks", Waiting.KEY, Waiting.VALUE)
+        self.places = handle.getValueState("places", self.PLACES)
+        self.waiting = handle.getMapState("waiting", Waiting.KEY, Waiting.VALUE)
 
-    def _play(self, place: list, waiting: Waiting, until_ms: int, out: list[tuple]) -> None:
-        """Slots whose deadline is before ``until_ms``, up to the newest packet. place: (base_ms, next, last, newest)."""
+    def _read(self) -> tuple[dict[int | None, list], Waiting, int | None]:
+        """The places of the key's streams, (base_ms, next, last, newest) each, their packets and when the timer is due."""
+        *columns, blocks, due = self.places.get() or ([],) * 6 + (None,)
+        return {s: place for s, *place in zip(*columns, strict=True)}, Waiting(self.waiting, blocks, self.interval_ms), due
+
+    def _keep(self, places: dict[int | None, list], waiting: Waiting, due: int | None) -> None:
+        """Writes all back, and sets the timer, which is at ``due``, to the first end of a stream that isn't settled."""
+        first = min((base_ms + newest * self.interval_ms + 1 for base_ms, at, _, newest in places.values() if at <= newest), default=None)
+        if first != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if first is not None:
+                self.handle.registerTimer(first)
+        columns = zip(*((s, *place) for s, place in places.items()), strict=True)
+        self.places.update((*(list(c) for c in columns), waiting.save(), first))
+
+    def _play(self, stream: int | None, place: list, came: dict[int, str | None], waiting: Waiting, until_ms: int, out: list[tuple]) -> None:
+        """Slots whose deadline is before ``until_ms``, up to the newest packet. came: packets of this batch that wait."""
         base_ms, at, last, newest = place
-        while at <= newest and base_ms + at * self.interval_ms < until_ms:
-            held = waiting.take(at)
+        stop = min(newest, (until_ms - base_ms - 1) // self.interval_ms)
+        while at <= stop:
+            held = waiting.take(stream, at, base_ms + at * self.interval_ms) if waiting.stored else None
+            if at in came:
+                held = (came.pop(at),)
             if held is not None:
                 last = held[0]
-            out.append((at, "packet" if held is not None else "concealed", last))
+            out.append((stream, at, "concealed" if held is None else "packet", last))
             at += 1
         place[1:3] = at, last
 
-    def _told(self, key, out: list[tuple]) -> Iterator[pd.DataFrame]:
+    def _told(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if out:
-            sequences, kinds, payloads = zip(*out, strict=True)
-            yield pd.DataFrame({"stream": key[0], "sequence": sequences, "kind": kinds, "payload": payloads})
+            yield pd.DataFrame(dict(zip(self.OUT.names, zip(*out, strict=True), strict=True)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.place.get()
-        place, due = (list(before[:4]), before[4]) if before is not None else (None, None)
-        waiting, out = Waiting(self.waiting, before is None), []
-        packets = [p for frame in rows for p in zip(*(frame[c].tolist() for c in ("arrival_ms", "sequence", "payload")), strict=True)]
-        for arrival_ms, sequence, payload in sorted(packets, key=lambda p: p[:2]):
+        places, waiting, due = self._read()
+        packets, out = [], []
+        for frame in rows:
+            streams = frame["stream"].tolist() if "stream" in frame else [key[0]] * len(frame)
+            packets += zip((None if pd.isna(s) else int(s) for s in streams), *(frame[c].tolist() for c in ("arrival_ms", "sequence", "payload")), strict=True)
+        packets.sort(key=lambda p: p[1:3])
+        each: dict[int | None, list] = {}
+        for stream, *packet in packets:
+            each.setdefault(stream, []).append(packet)
+        for stream, mine in each.items():
+            came: dict[int, str | None] = {}
+            place = places.get(stream)
             if place is None:
-                place = [arrival_ms + self.delay_ms - sequence * self.interval_ms, sequence, None, sequence]
-            self._play(place, waiting, arrival_ms, out)
-            if sequence >= place[1]:
-                # slots between are still open, or are settled as concealed once this one is the newest
-                place[3] = max(place[3], sequence)
-                if arrival_ms <= place[0] + sequence * self.interval_ms:
-                    waiting.put(sequence, payload)
-                self._play(place, waiting, arrival_ms, out)
-        waiting.save()
-        ends = place[0] + place[3] * self.interval_ms + 1
-        if ends != due:
-            if due is not None:
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer(ends)
-        self.place.update((*place, ends))
-        yield from self._told(key, out)
+                arrival_ms, sequence, _ = mine[0]
+                place = places[stream] = [arrival_ms + self.delay_ms - sequence * self.interval_ms, sequence, None, sequence]
+            for arrival_ms, sequence, payload in mine:
+                self._play(stream, place, came, waiting, arrival_ms, out)
+                if sequence >= place[1]:
+                    # slots between are still open, or are settled as concealed once this one is the newest
+                    place[3] = max(place[3], sequence)
+                    if arrival_ms <= place[0] + sequence * self.interval_ms:
+                        came[sequence] = payload
+                    self._play(stream, place, came, waiting, arrival_ms, out)
+            for sequence, payload in came.items():
+                waiting.put(stream, sequence, place[0] + sequence * self.interval_ms, payload)
+        self._keep(places, waiting, due)
+        yield from self._told(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        before = self.place.get()
-        place, waiting, out = list(before[:4]), Waiting(self.waiting, False), []
-        self._play(place, waiting, 1 << 62, out)
-        waiting.save()
-        self.place.update((*place, None))
-        yield from self._told(key, out)
+        places, waiting, _ = self._read()
+        over, out = timerValues.getCurrentWatermarkInMs(), []
+        for stream, place in places.items():
+            if place[0] + place[3] * self.interval_ms < over:
+                self._play(stream, place, {}, waiting, 1 << 62, out)
+        self._keep(places, waiting, None)  # the timer that fired is gone
+        yield from self._told(out)
 
     def close(self) -> None:
         pass
 
 
-def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, ts: str | None = None, late: str = "0 seconds") -> DataFrame:
-    """A stateful processor per key; with ``ts`` its timers run on event time."""
+def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, ts: str | None = None, late: str = "0 seconds", buckets: int | None = None) -> DataFrame:
+    """A stateful processor per key; with ``ts`` its timers run on event time. With ``buckets`` that many keys, each with all
+    rows of some of the values of ``key``, for processors that tell these apart."""
     if ts:
         stream = stream.withWatermark(ts, late)
+    if buckets:
+        stream, key = stream.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))), "_bucket"
     return stream.groupBy(key).transformWithStateInPandas(processor, outputStructType=processor.OUT, outputMode="Append", timeMode="EventTime" if ts else "None")

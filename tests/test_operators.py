@@ -246,6 +246,42 @@ def test_playout_takes_few_state_calls():
     assert got == [(3, s, "packet", str(s) if s < 2000 else f"early {s}") for s in range(2200)] and handle.calls < 70 and not played.waiting.held
 
 
+def test_playout_keys_hold_many_streams():
+    """A key for each stream costs state calls, a timer and a frame for each. Two streams have the same numbers, as all others."""
+    import pandas as pd
+
+    rng = random.Random(8)
+    data = [(k, s, 1000 + 20 * s + rng.randrange(120) - (3000 if s > 160 and rng.random() < 0.3 else 0), f"{k}-{s}") for k in range(200) for s in range(rng.randrange(1, 300)) if rng.random() > 0.1]
+    frames = [pd.DataFrame([p for p in data if a <= p[2] < b], columns=["stream", "sequence", "arrival_ms", "payload"]) for a, b in ((0, 2500), (2500, 4000), (4000, 1 << 40))]
+    told = lambda out: [tuple(r) for f in out for r in f.itertuples(index=False)]
+
+    def played(key, frames):
+        processor, handle = processors.Playout(20, 60), CountedState()
+        processor.init(handle)
+        got = []
+        for watermark, frame in zip((2500, 4000, 1 << 50), frames, strict=True):
+            if len(frame):
+                got.append(sorted(told(processor.handleInputRows(key, iter([frame[::2], frame[1::2]]), None))))
+            assert len(handle.timers) <= 1
+            got.append(sorted(handle.fire(processor, key, watermark)))
+        assert not processor.waiting.held and not handle.timers
+        return sorted(r for part in got for r in part), handle.calls
+
+    all_of, calls = played((0,), frames)
+    each = [played((k,), [f[f["stream"] == k] for f in frames])[0] for k in range(200)]
+    assert all_of == sorted(r for one in each for r in one) and calls < 100
+
+
+def test_stream_playout_in_buckets_is_the_batch_one(spark, tmp_path):
+    rng = random.Random(9)
+    data = [(k, s, 1000 + 20 * s + rng.randrange(120), f"{k}-{s}") for k in range(40) for s in range(30) if rng.random() > 0.1]
+    df = spark.createDataFrame(data + [(99, 0, 10_000_000, "end")], "stream long, sequence long, arrival_ms long, payload string")
+    df.withColumn("at", F.timestamp_millis("arrival_ms")).coalesce(1).write.parquet(f"{tmp_path}/p")
+    stream = spark.readStream.schema("stream long, sequence long, arrival_ms long, payload string, at timestamp").parquet(f"{tmp_path}/p")
+    got = all_available(processors.keyed(stream, "stream", processors.Playout(20, 60), "at", buckets=4))
+    assert rows(got.filter("stream < 99")) == rows(playout.playout(df.filter("stream < 99"), 20, 60, False))
+
+
 def test_stream_playout_over_batches_is_the_batch_one(spark, tmp_path):
     """Packets wait over several batches, in several blocks."""
     import os
