@@ -26,7 +26,9 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -360,18 +362,58 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SegmentSource)
 
 
-def arranged(records: DataFrame) -> DataFrame:
-    """(topic, partition, offset, payload, maybe segment_base) in the order that the sink takes them: a segment, or a log
-    partition where segments are cut by the sink, is one task's."""
-    of = ["topic", "partition", *(["segment_base"] if "segment_base" in records.columns else [])]
+def rolled(records: DataFrame, segment_bytes: int) -> DataFrame:
+    """Adds segment_base to (topic, partition, offset, payload), where the sink would cut. Only this walks a log partition in
+    one task, a step a segment; after it each segment can be written by any task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, base, at = None, 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            topics, parts, offsets, payloads = batch.columns
+            whole = HEADER_BYTES + pc.fill_null(pc.binary_length(payloads), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if n and whole.max() > segment_bytes:
+                raise ValueError(f"record too large: {whole.max()} bytes in segments of {segment_bytes}")
+            ends, numbers, bases = np.cumsum(whole), offsets.to_numpy(zero_copy_only=False), np.zeros(n, np.int64)
+            codes = topics.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False), parts.fill_null(-1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])) + 1
+            for i, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True) if n else ():
+                log = topics[i].as_py(), parts[i].as_py()
+                if log != now:
+                    now, base, at = log, int(numbers[i]), 0
+                while i < stop:
+                    done = int(ends[i - 1]) if i else 0
+                    fit = min(stop, int(np.searchsorted(ends, done + segment_bytes - at, side="right")))
+                    if fit == i:  # full: the next segment starts here
+                        base, at = int(numbers[i]), 0
+                        continue
+                    bases[i:fit] = base
+                    at += int(ends[fit - 1]) - done
+                    i = fit
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bases)], names=[*batch.schema.names, "segment_base"])
+
+    rows = _typed(records, "topic", "partition", "offset", "payload").repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
+    return rows.mapInArrow(run, "topic string, partition int, offset long, payload binary, segment_base long")
+
+
+def _typed(records: DataFrame, *columns: str) -> DataFrame:
     kinds = {"topic": "string", "partition": "int", "segment_base": "long", "offset": "long", "payload": "binary"}
-    return records.select(*(F.col(c).cast(kinds[c]).alias(c) for c in (*of, "offset", "payload"))).repartition(*of).sortWithinPartitions(*of, "offset")
+    return records.select(*(F.col(c).cast(kinds[c]).alias(c) for c in columns))
+
+
+def arranged(records: DataFrame, segment_bytes: int) -> DataFrame:
+    """(topic, partition, offset, payload, maybe segment_base) in the order that the sink takes them: a segment is one task's,
+    and a log partition's segments are spread over many."""
+    if "segment_base" not in records.columns:
+        records = rolled(records, segment_bytes)
+    of = ["topic", "partition", "segment_base"]
+    return _typed(records, *of, "offset", "payload").repartition(*of).sortWithinPartitions(*of, "offset")
 
 
 def append(records: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, index_bytes: int = INDEX_BYTES) -> str:
     """Appends records to the log in ``folder``; returns the folder as it can be read."""
     folder = qualified(records.sparkSession, folder)
-    arranged(records).write.format("segments").option("segmentBytes", segment_bytes).option("indexBytes", index_bytes).mode("append").save(folder)
+    arranged(records, segment_bytes).write.format("segments").option("segmentBytes", segment_bytes).option("indexBytes", index_bytes).mode("append").save(folder)
     return folder
 
 

@@ -112,6 +112,35 @@ def test_segment_stream_and_random_round_trip(spark, tmp_path):
     assert sorted(r["offset"] for r in all_available(stream).collect()) == list(range(400))
 
 
+def test_a_log_partition_is_written_by_many_tasks(spark, tmp_path):
+    """It was one task's. Segments are cut as the sink cuts, over batches and logs, and appended to a log that is there."""
+    rng = random.Random(11)
+    data = [(t, p, i, rng.choice([None, b"", bytes(rng.randrange(1, 48))]) if i else b"first") for t in ("a", "b") for p in (0, 1) for i in range(500)]
+    df = spark.createDataFrame(data, "topic string, partition int, offset long, payload binary")
+    want = set()
+    for log_of in {r[:2] for r in data}:
+        sizes = [len(r[3] or b"") for r in data if r[:2] == log_of]
+        want |= {(*log_of, offset, base) for offset, base, *_ in brute_layout(sizes, 300, 100)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = segments.arranged(df, 300).withColumn("task", F.spark_partition_id()).collect()
+        segments.register(spark)
+        folder = segments.append(df.filter("offset < 400"), f"file://{tmp_path}/log", 300)
+        segments.append(df.filter("offset >= 400"), folder, 300)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r["topic"], r["partition"], r["offset"], r["segment_base"]) for r in placed} == want and len(placed) == len(data)
+    tasks = {}
+    for r in placed:
+        tasks.setdefault((r["topic"], r["partition"]), set()).add(r["task"])
+    assert all(len(of_log) > 1 for of_log in tasks.values())
+    assert rows(spark.read.format("segments").load(folder), "topic", "partition", "offset", "payload") == sorted(((t, p, i, bytearray(b or b"")) for t, p, i, b in data), key=str)
+    with pytest.raises(Exception, match="record too large"):
+        segments.append(df, f"file://{tmp_path}/small", 40)
+
+
 def test_groups(spark):
     hwm = spark.createDataFrame([(0, 20, 20), (1, 0, 0)], "partition int, records long, next_offset long")
     one = spark.createDataFrame([(0, "g", 0), (1, "g", 0)], "partition int, grp string, committed long")
